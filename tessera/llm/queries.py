@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontaminate, langid, licenses, media, mixing, tokens, warc
+from tessera.llm import chat, decontaminate, langid, licenses, lm, media, mixing, tokens, warc
 from tessera.llm._store import read_table
 
 
@@ -48,6 +48,12 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rest = _crc() % 7
+    found = lm.score(read_table(spark, sf_dir, "documents"), rest != 2)
+    return found.select("doc_id", F.coalesce(rest == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.scan(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -94,7 +100,7 @@ FROM placed
 """
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_language_id, op4_license_scan, op5_media, op6_warc, op8_decontaminate, op9_chat_format, op10_mix)}
+    return {f.__name__: f for f in (op1_token_counts, op3_language_id, op4_license_scan, op5_media, op6_warc, op7_lm_score, op8_decontaminate, op9_chat_format, op10_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
