@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontaminate, langid, licenses, lm, media, mixing, tokens, warc
+from tessera.llm import chat, decontaminate, langid, licenses, lm, media, mixing, neardup, tokens, warc
 from tessera.llm._store import read_table
 
 
@@ -19,6 +19,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(read_table(spark, sf_dir, "documents"), tokens.load(), columns=["doc_id"])
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(read_table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = langid.train(docs, may_learn=_crc() % 3 != 1)
@@ -100,7 +104,7 @@ FROM placed
 """
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_language_id, op4_license_scan, op5_media, op6_warc, op7_lm_score, op8_decontaminate, op9_chat_format, op10_mix)}
+    return {f.__name__: f for f in (op1_token_counts, op2_near_duplicates, op3_language_id, op4_license_scan, op5_media, op6_warc, op7_lm_score, op8_decontaminate, op9_chat_format, op10_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
