@@ -162,3 +162,21 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text", columns:
             yield pa.RecordBatch.from_arrays([*out, pa.array(languages[best], pa.string()), pa.array(score), pa.array(flag)], [*names, "lang_pred", "score", "ambiguous"])
 
     return source.mapInArrow(run, schema)
+
+
+def identified(docs: DataFrame, model: Model, *, text_col: str = "text", least_score: float = 0.5) -> DataFrame:
+    """The rows, with all their columns, whose language is known: not `und`, nor flagged with a score under least_score."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            text = rows_of(batch, text_col).cast(pa.large_string())
+            keep = pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_numpy(zero_copy_only=False).copy()
+            if model.languages:
+                for low, high, x in features(text):
+                    _, score, flag = model.decode(x)
+                    keep[low:high] &= ~(flag & (score < least_score))
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
