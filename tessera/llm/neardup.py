@@ -1,8 +1,8 @@
 """Near-duplicate documents: improved consistent weighted sampling over TF-IDF shingles, banded, verified exactly.
 
 A shingle is five words; it weighs its count in the text times an inverse document frequency. Documents that agree in all
-samples of a band meet in a bucket and are compared with one of its members by their weighted Jaccard similarity. Those
-that aren't similar to it are compared with others of the bucket until each has met its own kind. Links make components.
+samples of a band meet in a bucket and are compared with its most central member by their weighted Jaccard similarity.
+Those that aren't similar to it are compared with others of the bucket. Links make components.
 
 The inverse document frequency is 1 + ln(N / df), and 1 + ln(N / (FREQUENT N)) for all shingles that fewer than a share of
 FREQUENT of the documents have: so a large group of near copies isn't torn apart by the rare shingles of their edits, and
@@ -19,7 +19,6 @@ import pyarrow as pa
 import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.llm import _text as tx
 from tessera.llm._store import rows_of, written
@@ -274,37 +273,84 @@ def _verified(source: DataFrame, pairs: DataFrame, weights: Weights, least: floa
     return written(rows.mapInArrow(run, f"a {kind}, b {kind}, similarity double"), "links")
 
 
+def _overlaps(first: np.ndarray, found: np.ndarray, counts: np.ndarray, weights: Weights) -> np.ndarray:
+    """Weighted Jaccard similarities of all rows with each other: sums of least weights as a product of 0-1 matrices whose
+    columns are a shingle's first, second, ... occurrence."""
+    n = len(first) - 1
+    row = np.repeat(np.arange(n), np.diff(first))
+    weight = weights.of(found, counts)
+    total = np.bincount(row, weight, n)
+    times = np.repeat(np.arange(len(found)), counts)
+    nth = np.arange(len(times)) - np.repeat(np.cumsum(counts) - counts, counts)
+    column, place, held = np.unique(tx.mixed(found[times] ^ (nth.astype(np.uint64) << np.uint64(50))), return_inverse=True, return_counts=True)
+    both = np.zeros((n, n))
+    some = np.flatnonzero(held[place] > 1)
+    kept = np.unique(place[some])
+    unit = np.zeros(len(column), np.float32)
+    unit[place] = np.sqrt(weights.of(found, np.ones(len(found), np.int64)))[times]
+    for at in range(0, len(kept), 1 << 14):
+        part = kept[at : at + (1 << 14)]
+        number = np.full(len(column), -1, np.int64)
+        number[part] = np.arange(len(part))
+        mine = some[number[place[some]] >= 0]
+        dense = np.zeros((n, len(part)), np.float32)
+        dense[row[times[mine]], number[place[mine]]] = unit[place[mine]]
+        both += dense @ dense.T
+    union = total[:, None] + total[None, :] - both
+    return np.where(union > 0, both / np.maximum(union, 1e-300), 0.0)
+
+
+def _blocks(source: DataFrame, left: DataFrame, weights: Weights, least: float) -> DataFrame:
+    """The links among the rows (key, id) that share a key. A key's members are dealt into blocks of about CHUNK / 2; each
+    two blocks meet in a task, which holds their texts and returns links alone."""
+    shared = source.sparkSession.sparkContext.broadcast(weights)
+    sizes = left.groupBy("key").agg(F.ceil(F.count("*") * 2 / CHUNK).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
+    dealt = left.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    met = dealt.select("key", "id", "own", other).select("key", "id", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    rows = met.withColumnRenamed("id", "need").join(source, F.col("need") == F.col("id")).select("key", "x", "y", "id", "text")
+    kind = source.schema["id"].dataType.simpleString()
+
+    def run(table: pa.Table) -> pa.Table:
+        ids = table["id"].combine_chunks()
+        parts = [shingles(data, offsets)[:3] for _, _, data, offsets in _chunks(table["text"].combine_chunks())]
+        sizes = np.concatenate([np.diff(f) for f, _, _ in parts])
+        first = np.concatenate([[0], np.cumsum(sizes)])
+        same = _overlaps(first, np.concatenate([f for _, f, _ in parts]), np.concatenate([c for _, _, c in parts]), shared.value)
+        i, j = np.nonzero(np.triu(same >= least, 1))
+        a, b = ids.take(pa.array(i)), ids.take(pa.array(j))
+        return pa.table({"a": a, "b": b, "similarity": pa.array(same[i, j])})
+
+    found = rows.groupBy("key", "x", "y").applyInArrow(run, f"a {kind}, b {kind}, similarity double")
+    return written(found.where("a <> b"), "links")
+
+
 def links(source: DataFrame, buckets: DataFrame, weights: Weights, least: float = LEAST) -> DataFrame:
     """a, b, similarity: enough verified links of the buckets' members (key, id) to join each to its own kind.
 
-    All members of a bucket are compared with the one of least id. Those unlike it are compared with two more members and
-    with the four of least id among themselves, what is left with the next 16, 64 ... until none is left: no partner is
-    dropped, and pairs are many only where a bucket's members differ, which its band's samples make rare.
+    A bucket's representative is its most central member: that whose buckets have most members in all, as an original has
+    beside its edited copies (of equal ones that of least id). Members unlike it are compared with that of the largest id
+    and with the most central of themselves; what is still left meets all others left in its bucket, block by block.
     """
-    sizes = buckets.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.min_by("id", F.xxhash64("id", "key")).alias("h"), F.count("*").alias("n")).where("n > 1").drop("n")
-    members = written(buckets.join(sizes, "key"), "members")
-    left = members.where("id <> a")
-    pairs = left.select("a", F.col("id").alias("b")).distinct()
-    found = [_verified(source, pairs, weights, least)]
-    tested = written(pairs, "tested")
-    left = written(left.join(found[0].select("a", F.col("b").alias("id")), ["a", "id"], "left_anti").select("key", "id", "z", "h"), "left")
-    others = [F.col("z"), F.col("h")]
-    m = 4
-    while left.limit(1).count():
-        ranked = left.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("id")))
-        reps = ranked.where(F.col("rank") <= m).select("key", F.col("id").alias("a"), F.col("rank").alias("r"))
-        met = ranked.join(reps, "key").where("rank > r").select("key", "a", F.col("id").alias("b"))
-        for other in others:
-            met = met.unionByName(left.where(other != F.col("id")).select("key", F.least(other, F.col("id")).alias("a"), F.greatest(other, F.col("id")).alias("b")))
-        others = []
-        met = written(met, "met")
-        pairs = met.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-        new = _verified(source, pairs, weights, least)
+    sizes = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = written(buckets.join(sizes, "key"), "shared")
+    central = shared.groupBy("id").agg(F.sum("n").alias("c")).withColumnRenamed("id", "id_")
+    ranked = written(shared.join(central, F.col("id") == F.col("id_")).select("key", "id", "c"), "ranked")
+    first = F.struct((-F.col("c")).alias("c"), "id")
+    members = ranked.join(ranked.groupBy("key").agg(F.min(first)["id"].alias("a"), F.max("id").alias("z")), "key")
+    found, left = [], written(members.where("id <> a"), "members")
+    for step in range(2):
+        if step:
+            left = left.select("key", "id", "c", F.col("z").alias("z_")).join(left.groupBy("key").agg(F.min(first)["id"].alias("a")), "key")
+            left = written(left.withColumnRenamed("z_", "z"), "left")
+        pairs = left.where("id <> a").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
+        if step:
+            pairs = pairs.unionByName(left.where("id <> z").select(F.least("z", "id").alias("a"), F.greatest("z", "id").alias("b")))
+        new = _verified(source, pairs.distinct(), weights, least)
         found.append(new)
-        tested = written(tested.unionByName(pairs), "tested")
-        joined = met.join(new.select("a", "b"), ["a", "b"]).select("key", F.col("b").alias("id")).distinct()
-        left = written(ranked.where(F.col("rank") > m).drop("rank").join(joined, ["key", "id"], "left_anti"), "left")
-        m *= 4
+        ends = new.select("a", F.col("b").alias("id")).unionByName(new.select(F.col("b").alias("a"), F.col("a").alias("id")))
+        left = written(left.where("id <> a").join(ends, ["a", "id"], "left_anti"), "left")
+    found.append(_blocks(source, left.select("key", "id"), weights, least))
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)
