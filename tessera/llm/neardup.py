@@ -245,7 +245,7 @@ def _verified(source: DataFrame, pairs: DataFrame, weights: Weights, least: floa
     parted = pairs.join(sizes, F.col("a") == F.col("a_")).select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / CHUNK)).alias("part"))
     parted = written(parted, "pairs")
     need = parted.select(F.col("b").alias("need"), "a", "part", F.lit(1).alias("member")).unionByName(parted.select(F.col("a").alias("need"), "a", "part", F.lit(0).alias("member")).distinct())
-    rows = need.join(source, F.col("need") == F.col("id")).select("a", "part", "member", "id", "text")
+    rows = need.hint("merge").join(source, F.col("need") == F.col("id")).select("a", "part", "member", "id", "text")
     rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", "member", "id")
     kind = source.schema["id"].dataType.simpleString()
 
@@ -308,7 +308,7 @@ def _blocks(source: DataFrame, left: DataFrame, weights: Weights, least: float)
     dealt = left.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     met = dealt.select("key", "id", "own", other).select("key", "id", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
-    rows = met.withColumnRenamed("id", "need").join(source, F.col("need") == F.col("id")).select("key", "x", "y", "id", "text")
+    rows = met.withColumnRenamed("id", "need").hint("merge").join(source, F.col("need") == F.col("id")).select("key", "x", "y", "id", "text")
     kind = source.schema["id"].dataType.simpleString()
 
     def run(table: pa.Table) -> pa.Table:
