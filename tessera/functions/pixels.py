@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions import png
 
@@ -34,7 +35,7 @@ def as_lanes(column: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), np.uint32) for x in column]
 
 
-@F.arrow_udf("int")
+@F.arrow_udf(T.IntegerType())
 def tile_diff(left: pa.Array, right: pa.Array) -> pa.Array:
     """The differing pixels of two RGBA byte strings; null if either is null or their sizes differ."""
     out = []
@@ -44,7 +45,7 @@ def tile_diff(left: pa.Array, right: pa.Array) -> pa.Array:
     return pa.array(out, pa.int32())
 
 
-@F.arrow_udf("struct<px: binary, width: int, height: int, error_code: int, error_text: string>")
+@F.arrow_udf(T.StructType().add("px", T.BinaryType()).add("width", T.IntegerType()).add("height", T.IntegerType()).add("error_code", T.IntegerType()).add("error_text", T.StringType()))
 def decode_png(content: pa.Array) -> pa.Array:
     """RGBA bytes and size of a PNG file, or the number and text of what's wrong with it; null reads as an empty file."""
     out = []
