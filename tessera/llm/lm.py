@@ -30,7 +30,7 @@ LEAST_NEXT, LEAST_NEXT_COUNT = 1e-6, 2
 DEPTH = 2
 #: Tokens that a context's suffix counts for in its distribution.
 SMOOTHING = 5.0
-SHARD_BYTES = 12 << 20
+SHARD_BYTES = 6 << 20
 END = np.uint64(0x5E5E5E5E5E5E5E5E)
 _BITS = 20  # of a symbol's number; LEAST_SHARE allows 50,000
 
