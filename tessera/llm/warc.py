@@ -113,8 +113,12 @@ def parse(raw: bytes) -> dict:
 
 
 def _dictionary(pages: DataFrame) -> bytes:
-    """A dictionary fitted on a bounded sample of pages; from few pages, their bytes."""
-    sample = [bytes(r.part) for r in pages.select(F.expr(f"substring(payload, 1, {SAMPLE_BYTES})").alias("part"), F.xxhash64("page").alias("h")).where("length(part) > 0").orderBy("h", "part").limit(SAMPLE_PAGES).collect()]
+    """A dictionary fitted on about SAMPLE_PAGES pages, those of least hash, and four times as many at most; from few
+    pages, their bytes."""
+    share = SAMPLE_PAGES / max(1, pages.count())
+    place = F.pmod(F.xxhash64("page", "url"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    part = F.expr(f"substring(payload, 1, {SAMPLE_BYTES})")
+    sample = sorted(bytes(r.part) for r in pages.where(place < share).select(part.alias("part")).where("length(part) > 0").limit(4 * SAMPLE_PAGES).collect())
     try:
         return zstd.train_dictionary(DICTIONARY_BYTES, sample).as_bytes()
     except (zstd.ZstdError, ValueError):
