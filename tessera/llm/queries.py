@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import chat, decontaminate, langid, licenses, lm, media, mixing, neardup, tokens, warc
-from tessera.llm._store import read_table
+from tessera.llm._store import read_table, written
 
 
 def _crc(column: str = "doc_id") -> F.Column:
@@ -37,7 +37,8 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     inner = F.concat_ws("/", top, (F.floor(F.col("doc_id") / 100) % 10).cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
     path = F.when(F.col("doc_id") % 50 == 0, F.concat(top, F.lit("/LICENSE."), F.col("doc_id").cast("string"))).otherwise(inner)
     files = docs.select("doc_id", path.alias("path"), "text")
-    return licenses.inherit(licenses.scan(files, columns=["doc_id", "path"])).select("doc_id", "path", "own_license", "own_score", "own_line", "license", "license_from", "license_dir")
+    scanned = written(licenses.scan(files, columns=["doc_id", "path"]))  # without texts; it's read more than once
+    return licenses.inherit(scanned).select("doc_id", "path", "own_license", "own_score", "own_line", "license", "license_from", "license_dir")
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
