@@ -2,7 +2,8 @@
 
 A shingle is five words; it weighs its count in the text times an inverse document frequency. Documents that agree in all
 samples of a band meet in a bucket and are compared with its most central member by their weighted Jaccard similarity.
-Those that aren't similar to it are compared with others of the bucket. Links make components.
+Links make components. Members of a bucket outside its largest component are compared with all others of the bucket, so no
+two similar members of a bucket stay apart.
 
 The inverse document frequency is 1 + ln(N / df), and 1 + ln(N / (FREQUENT N)) for all shingles that fewer than a share of
 FREQUENT of the documents have: so a large group of near copies isn't torn apart by the rare shingles of their edits, and
@@ -33,6 +34,8 @@ FREQUENT = 1 / 64
 SKETCH_BITS = 20
 #: Members that a task compares with a representative at a time.
 CHUNK = 256
+#: What a similarity may miss the least one by: sums of weights are rounded, and ties are links.
+ROUNDING = 1e-9
 _HASH = np.uint64((1 << 50) - 1)
 _DOC = np.uint64(50)
 
@@ -263,7 +266,7 @@ def _verified(source: DataFrame, pairs: DataFrame, weights: Weights, least: floa
                         key, own = (a[i], part[i]), (found[at], weight[at])
                     elif key == (a[i], part[i]) and len(own[0]):
                         s = similarity(own, (found[at], weight[at]))
-                        if s >= least:
+                        if s >= least - ROUNDING:
                             left.append(a[i])
                             right.append(ids[i])
                             how.append(s)
@@ -300,37 +303,47 @@ def _overlaps(first: np.ndarray, found: np.ndarray, counts: np.ndarray, weights:
     return np.where(union > 0, both / np.maximum(union, 1e-300), 0.0)
 
 
-def _blocks(source: DataFrame, left: DataFrame, weights: Weights, least: float) -> DataFrame:
-    """The links among the rows (key, id) that share a key. A key's members are dealt into blocks of about CHUNK / 2; each
-    two blocks meet in a task, which holds their texts and returns links alone."""
+def _blocks(source: DataFrame, apart: DataFrame, weights: Weights, least: float) -> DataFrame:
+    """The links of each key's members (key, id, major) that aren't both major. Members are dealt into blocks of about
+    CHUNK / 2, minor ones first; each block of minor ones and each block meet in a task, which holds their texts and
+    returns links alone."""
     shared = source.sparkSession.sparkContext.broadcast(weights)
-    sizes = left.groupBy("key").agg(F.ceil(F.count("*") * 2 / CHUNK).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
-    dealt = left.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    met = dealt.select("key", "id", "own", other).select("key", "id", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
-    rows = met.withColumnRenamed("id", "need").hint("merge").join(source, F.col("need") == F.col("id")).select("key", "x", "y", "id", "text")
+    blocks = lambda some: F.ceil(F.count_if(some) * 2 / CHUNK).cast("int")
+    sizes = apart.groupBy("key").agg(blocks(~F.col("major")).alias("minors"), blocks(F.col("major")).alias("majors"))
+    at = F.when(F.col("major"), F.col("minors") + F.pmod(F.xxhash64("id"), F.col("majors"))).otherwise(F.pmod(F.xxhash64("id"), F.col("minors"))).cast("int")
+    dealt = apart.join(sizes, "key").withColumn("own", at)
+    other = F.explode(F.sequence(F.lit(0), F.when(F.col("major"), F.col("minors")).otherwise(F.col("minors") + F.col("majors")) - 1)).alias("other")
+    met = dealt.select("key", "id", "major", "own", other).select("key", "id", "major", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    rows = met.withColumnRenamed("id", "need").hint("merge").join(source, F.col("need") == F.col("id")).select("key", "x", "y", "id", "major", "text")
     kind = source.schema["id"].dataType.simpleString()
 
     def run(table: pa.Table) -> pa.Table:
-        ids = table["id"].combine_chunks()
+        ids, major = table["id"].combine_chunks(), table["major"].to_numpy()
         parts = [shingles(data, offsets)[:3] for _, _, data, offsets in _chunks(table["text"].combine_chunks())]
         sizes = np.concatenate([np.diff(f) for f, _, _ in parts])
         first = np.concatenate([[0], np.cumsum(sizes)])
-        same = _overlaps(first, np.concatenate([f for _, f, _ in parts]), np.concatenate([c for _, _, c in parts]), shared.value)
-        i, j = np.nonzero(np.triu(same >= least, 1))
-        a, b = ids.take(pa.array(i)), ids.take(pa.array(j))
-        return pa.table({"a": a, "b": b, "similarity": pa.array(same[i, j])})
+        found, counts = np.concatenate([f for _, f, _ in parts]), np.concatenate([c for _, _, c in parts])
+        near = np.triu(_overlaps(first, found, counts, shared.value) >= least - 1e-3, 1) & ~(major[:, None] & major[None, :])
+        i, j = np.nonzero(near)
+        weight = shared.value.of(found, counts)
+        rows = [(found[a:b], weight[a:b]) for a, b in zip(first, first[1:], strict=False)]
+        same = np.array([similarity(rows[a], rows[b]) for a, b in zip(i, j, strict=True)])  # products are in single precision
+        some = same >= least - ROUNDING
+        a, b = ids.take(pa.array(i[some])), ids.take(pa.array(j[some]))
+        return pa.table({"a": a, "b": b, "similarity": pa.array(same[some], pa.float64())})
 
     found = rows.groupBy("key", "x", "y").applyInArrow(run, f"a {kind}, b {kind}, similarity double")
     return written(found.where("a <> b"), "links")
 
 
-def links(source: DataFrame, buckets: DataFrame, weights: Weights, least: float = LEAST) -> DataFrame:
-    """a, b, similarity: enough verified links of the buckets' members (key, id) to join each to its own kind.
+def grouped(source: DataFrame, buckets: DataFrame, weights: Weights, least: float = LEAST) -> tuple[DataFrame, DataFrame]:
+    """Links a, b, similarity: enough verified ones of the buckets' members (key, id) to join all that are similar. And id,
+    label of the ends of links: the least id of its component.
 
     A bucket's representative is its most central member: that whose buckets have most members in all, as an original has
     beside its edited copies (of equal ones that of least id). Members unlike it are compared with that of the largest id
-    and with the most central of themselves; what is still left meets all others left in its bucket, block by block.
+    and with the most central of themselves. These links make components; in a bucket that several of them share, members
+    outside its largest meet all of the bucket, block by block.
     """
     sizes = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = written(buckets.join(sizes, "key"), "shared")
@@ -348,13 +361,27 @@ def links(source: DataFrame, buckets: DataFrame, weights: Weights, least: float
             pairs = pairs.unionByName(left.where("id <> z").select(F.least("z", "id").alias("a"), F.greatest("z", "id").alias("b")))
         new = _verified(source, pairs.distinct(), weights, least)
         found.append(new)
-        ends = new.select("a", F.col("b").alias("id")).unionByName(new.select(F.col("b").alias("a"), F.col("a").alias("id")))
-        left = written(left.where("id <> a").join(ends, ["a", "id"], "left_anti"), "left")
-    found.append(_blocks(source, left.select("key", "id"), weights, least))
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionByName(x)
-    return out
+        if not step:
+            ends = new.select("a", F.col("b").alias("id")).unionByName(new.select(F.col("b").alias("a"), F.col("a").alias("id")))
+            left = written(left.where("id <> a").join(ends, ["a", "id"], "left_anti"), "left")
+    labels = components(found[0].unionByName(found[1]))
+    named = labels.withColumnRenamed("id", "id_")
+    parts = written(ranked.join(named, F.col("id") == F.col("id_"), "left").select("key", "id", F.coalesce("label", "id").alias("label")), "parts")
+    kinds = parts.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "label"))["label"].alias("most"), F.count("*").alias("kinds"))
+    apart = parts.join(kinds.where("kinds > 1"), "key").select("key", "id", (F.col("label") == F.col("most")).alias("major"))
+    new = _blocks(source, written(apart, "apart"), weights, least)
+    # components of components: what the new links join
+    ends = new.select(F.col("a").alias("id")).unionByName(new.select(F.col("b").alias("id"))).distinct()
+    labels = written(labels.unionByName(ends.join(labels, "id", "left_anti").select("id", F.col("id").alias("label"))), "labels")
+    of_a, of_b = (labels.select(F.col("id").alias(end), F.col("label").alias(f"{end}_")) for end in ("a", "b"))
+    joined = new.join(of_a, "a").join(of_b, "b").where("a_ <> b_").select(F.col("a_").alias("a"), F.col("b_").alias("b"))
+    more = components(joined).select(F.col("id").alias("label"), F.col("label").alias("least"))
+    return found[0].unionByName(found[1]).unionByName(new), labels.join(more, "label", "left").select("id", F.coalesce("least", "label").alias("label"))
+
+
+def links(source: DataFrame, buckets: DataFrame, weights: Weights, least: float = LEAST) -> DataFrame:
+    """The links that join all similar members (key, id) of a bucket: a, b, similarity."""
+    return grouped(source, buckets, weights, least)[0]
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -386,8 +413,7 @@ def classes(docs: DataFrame, *, least: float = LEAST, id_col: str = "doc_id", te
     known = signed.where("c1 is not null and id is not null")
     reps = written(known.groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), "classes")
     buckets = reps.select(F.explode("bands").alias("key"), F.col("rep").alias("id")).distinct()
-    found = links(source.where("id is not null"), buckets, weighed, least)
-    labels = components(found)
+    _, labels = grouped(source.where("id is not null"), buckets, weighed, least)
     final = reps.select("c1", "c2", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("c1", "c2", F.coalesce("label", "rep").alias("group_id"))
     out = signed.select("id", "c1", "c2").join(final, ["c1", "c2"], "left").select("id", F.coalesce("group_id", "id").alias("group_id"))
     return out.withColumn("kept", F.coalesce(F.col("id") == F.col("group_id"), F.col("group_id").isNull())).withColumnRenamed("id", id_col)

@@ -111,6 +111,28 @@ def test_bucket_without_centre(spark):
     assert {(r.a, r.b) for r in found.collect()} >= {(k * 2, k * 2 + 1) for k in range(150)}
 
 
+def test_no_link_lost_in_a_bucket(spark):
+    """A chain whose ends aren't alike: one end is like a member that is like the bucket's centre, but unlike the centre."""
+    words = [f"w{i}" for i in range(120)]
+    docs = {k: " ".join(words[k * 6 : k * 6 + 60]) for k in range(8)}  # neighbours: 50 of 62 shingles; next but one: 44 of 68
+    docs |= {100 + k: " ".join(f"z{k}w{i}" for i in range(20)) for k in range(700)}  # chain shingles stay infrequent
+    source = table(spark, docs).select(F.col("doc_id").alias("id"), "text")
+    buckets = source.select(F.lit(1).cast("long").alias("key"), "id")
+    found, labels = neardup.grouped(source, buckets, neardup.weights(source))
+    assert {(r.a, r.b) for r in found.collect()} == {(k, k + 1) for k in range(7)}
+    assert {r.id: r.label for r in labels.collect()} == dict.fromkeys(range(8), 0)
+
+
+def test_ties_are_links(spark):
+    """Similarities of 0.8 exactly: 8 of 10 shingles."""
+    words = [f"w{i}" for i in range(13)]
+    docs = {1: " ".join(words), 2: " ".join(words[:12]), 3: " ".join(f"v{i}" for i in range(14)), 4: " ".join(f"v{i}" for i in range(12))}
+    docs |= {100 + k: f"z{k}" for k in range(200)}  # so many that shingles of two documents weigh as much as others
+    source = table(spark, docs).select(F.col("doc_id").alias("id"), "text")
+    buckets = source.select(F.lit(1).cast("long").alias("key"), "id")
+    assert {(r.a, r.b) for r in neardup.links(source, buckets, neardup.weights(source)).collect()} == {(1, 2), (3, 4)}
+
+
 def test_sampling_estimates_similarity():
     random.seed(2)
     a = [f"w{i}" for i in range(400)]
