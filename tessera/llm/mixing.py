@@ -62,7 +62,8 @@ def thresholds(sized: DataFrame, goals: DataFrame) -> DataFrame:
 
     Level by level the sums by source and bucket show the bucket in which the budget ends; the next level reads that
     bucket alone. The last bucket, of one place, is taken if that brings the words nearer to the target. Sums are made
-    before they are shuffled, so a source with most documents costs 2^14 sums a task at most.
+    before they are shuffled, so a source with most documents costs 2^14 sums a task at most. Tables of sources are
+    written, so their sizes are known: Spark broadcasts them only below its own threshold.
     """
     goals = goals.withColumn("copies", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
     edge = goals.withColumn("rest", F.col("target") - F.col("copies") * F.col("source_size")).withColumn("low", F.lit(0).cast("long"))
@@ -70,15 +71,15 @@ def thresholds(sized: DataFrame, goals: DataFrame) -> DataFrame:
         width = 1 << (LEVEL_BITS * (LEVELS - level))
         rows = sized
         if level > 1:
-            found = F.broadcast(edge.select(F.col("source").alias("s"), "low"))
+            found = edge.select(F.col("source").alias("s"), "low")
             rows = sized.join(found, F.col("source").eqNullSafe(F.col("s")) & (F.col("place") >= F.col("low")) & (F.col("place") < F.col("low") + width * (1 << LEVEL_BITS)))
         sums = rows.groupBy("source", F.shiftright("place", LEVEL_BITS * (LEVELS - level)).alias("bucket")).agg(F.sum("size").alias("words"))
         inside = Window.partitionBy("source").orderBy("bucket")
         sums = sums.withColumn("until", F.sum("words").over(inside)).withColumnRenamed("source", "s")
         # the first bucket that reaches the budget; without one, the whole range fits under it
-        reached = sums.join(F.broadcast(edge.select(F.col("source").alias("e"), "rest")), F.col("s").eqNullSafe(F.col("e"))).where("until >= rest")
+        reached = sums.join(edge.select(F.col("source").alias("e"), "rest"), F.col("s").eqNullSafe(F.col("e"))).where("until >= rest")
         first = reached.groupBy("s").agg(F.min(F.struct("bucket", "words", "until")).alias("b"))
-        edge = edge.join(F.broadcast(first), F.col("source").eqNullSafe(F.col("s")), "left")
+        edge = edge.join(first, F.col("source").eqNullSafe(F.col("s")), "left")
         low = F.coalesce(F.col("b.bucket") * width, F.col("low"))
         if level < LEVELS:
             before = F.coalesce(F.col("rest") - (F.col("b.until") - F.col("b.words")), F.col("rest"))
