@@ -48,6 +48,21 @@ def greedy(ids: list[int], px: list[bytes], max_diff: int, leaders: list[tuple[i
     return out
 
 
+def absorbed(tiles: DataFrame, leaders: list[tuple[int, np.ndarray]], max_diff: int) -> DataFrame:
+    """tile_id, px and mirror_id: the first of the leaders, a block that is broadcast, that a tile is near to, or null."""
+    shared = tiles.sparkSession.sparkContext.broadcast(leaders)
+
+    def absorb(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for raw in batch.column(1):
+                lanes = np.frombuffer(raw.as_buffer(), np.uint32)
+                found.append(next((i for i, x in shared.value if np.count_nonzero(x != lanes) <= max_diff), None))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int64())], ["tile_id", "px", "mirror_id"])
+
+    return written(tiles.select("tile_id", "px").mapInArrow(absorb, "tile_id long, px binary, mirror_id long"))
+
+
 def reduce_by_blocks(tiles: DataFrame, max_diff: int, *, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """tile_id, mirror_id of different tiles (tile_id, px). The first undecided tiles, block_bytes of them, are reduced among
     themselves; their leaders are broadcast, absorb later undecided tiles near them, and the rest goes into the next round.
@@ -65,17 +80,7 @@ def reduce_by_blocks(tiles: DataFrame, max_diff: int, *, block_bytes: int = BLOC
         done.append(spark.createDataFrame(decided, schema))
         if len(block) < n:
             break
-        shared = spark.sparkContext.broadcast(leaders)
-
-        def absorb(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found = []
-                for raw in batch.column(1):
-                    lanes = np.frombuffer(raw.as_buffer(), np.uint32)
-                    found.append(next((i for i, x in shared.value if np.count_nonzero(x != lanes) <= max_diff), None))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int64())], ["tile_id", "px", "mirror_id"])
-
-        later = written(rest.where(F.col("tile_id") > block[-1].tile_id).mapInArrow(absorb, "tile_id long, px binary, mirror_id long"))
+        later = absorbed(rest.where(F.col("tile_id") > block[-1].tile_id), leaders, max_diff)
         done.append(later.where("mirror_id is not null").select("tile_id", "mirror_id"))
         rest = later.where("mirror_id is null").select("tile_id", "px")
     out = done[0]

@@ -2,32 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tessera.operators.reduce import BLOCK_BYTES, _distinct, reduce_by_blocks
+from tessera.operators.reduce import BLOCK_BYTES, _distinct, absorbed, reduce_by_blocks
 
 
 class StreamReducer:
-    """Holds the leaders so far as a table under `folder`, one subfolder for each batch, and the mirrors beside it."""
+    """Holds the leaders so far as a table under `folder`, a partition for each batch, and the mirrors beside it."""
 
     def __init__(self, folder: str, max_diff: int, *, block_bytes: int = BLOCK_BYTES) -> None:
         self.folder, self.max_diff, self.block_bytes = folder.rstrip("/"), max_diff, block_bytes
 
+    def _leaders(self, spark: SparkSession, number: int) -> Iterator[list[tuple[int, np.ndarray]]]:
+        """The leaders of the batches before this one, in order of arrival, block_bytes of pixels at a time."""
+        if not number:
+            return
+        top, block, held = f"{self.folder}/leaders", [], 0
+        known = spark.read.option("basePath", top).schema("tile_id long, px binary, batch int").parquet(*[f"{top}/batch={k}" for k in range(number)])
+        for row in known.orderBy("batch", "tile_id").toLocalIterator():
+            block.append((row.tile_id, np.frombuffer(bytes(row.px), np.uint32)))
+            held += len(row.px)
+            if held >= self.block_bytes:
+                yield block
+                block, held = [], 0
+        if block:
+            yield block
+
     def batch(self, tiles: DataFrame, number: int) -> None:
-        """Reduces a batch (tile_id, px): earlier leaders come first, in order. A batch that runs again overwrites itself."""
-        spark = tiles.sparkSession
-        old = [f"{self.folder}/leaders/{k}" for k in range(number)]
-        fresh = tiles.select(F.col("tile_id").cast("long").alias("tile_id"), "px", F.lit(1).alias("new"))
-        known = spark.read.schema("tile_id long, px binary").parquet(*old).withColumn("new", F.lit(0)) if old else fresh.limit(0)
-        both = known.unionByName(fresh)
-        same, reps = _distinct(both.select("tile_id", "px"))
-        reduced = reduce_by_blocks(reps, self.max_diff, block_bytes=self.block_bytes).withColumnRenamed("tile_id", "rep")
-        result = same.join(reduced, "rep").select("tile_id", "mirror_id").join(fresh.select("tile_id"), "tile_id", "left_semi")
+        """Reduces a batch (tile_id, px). Leaders of earlier batches come first, in order, whatever their ids; they meet the
+        batch's different tiles, not each other. Within a batch ids decide. A batch that runs again overwrites itself."""
+        fresh = tiles.select(F.col("tile_id").cast("long").alias("tile_id"), "px")
+        same, rest = _distinct(fresh)
+        done = []
+        for block in self._leaders(tiles.sparkSession, number):
+            later = absorbed(rest, block, self.max_diff)
+            done.append(later.where("mirror_id is not null").select("tile_id", "mirror_id"))
+            rest = later.where("mirror_id is null").select("tile_id", "px")
+        reduced = reduce_by_blocks(rest, self.max_diff, block_bytes=self.block_bytes)
+        for part in done:
+            reduced = reduced.unionByName(part)
+        result = same.join(reduced.withColumnRenamed("tile_id", "rep"), "rep").select("tile_id", "mirror_id")
         result.write.mode("overwrite").parquet(f"{self.folder}/mirrors/{number}")
-        kept = spark.read.parquet(f"{self.folder}/mirrors/{number}").where("tile_id = mirror_id").select("tile_id")
-        fresh.join(kept, "tile_id", "left_semi").select("tile_id", "px").write.mode("overwrite").parquet(f"{self.folder}/leaders/{number}")
+        kept = tiles.sparkSession.read.parquet(f"{self.folder}/mirrors/{number}").where("tile_id = mirror_id").select("tile_id")
+        fresh.join(kept, "tile_id", "left_semi").write.mode("overwrite").parquet(f"{self.folder}/leaders/batch={number}")
 
     def start(self, stream: DataFrame, checkpoint: str) -> StreamingQuery:
         return stream.writeStream.foreachBatch(self.batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -135,3 +135,17 @@ def test_stream(spark, tmp_path):
     stream = spark.readStream.schema("tile_id long, px binary").parquet(str(tmp_path / "source"))
     StreamReducer(str(tmp_path / "own"), 0).start(stream, str(tmp_path / "mark")).awaitTermination()
     assert mapping(spark.read.parquet(str(tmp_path / "own/mirrors/*"))) == loop(rows, 0)
+
+
+def test_stream_order_of_arrival(spark, tmp_path):
+    """Earlier leaders decide, even over tiles of lower ids and over equal ones, however many blocks leaders take."""
+    rng = np.random.default_rng(3)
+    ids = rng.permutation(40).tolist()
+    rows = [(i, rng.integers(0, 2, 6, dtype="u4").tobytes()) for i in ids]
+    batches = [sorted(rows[k : k + 10]) for k in range(0, 40, 10)]
+    for name, size in (("some", 120), ("all", 1 << 20)):
+        reducer = StreamReducer(str(tmp_path / name), 2, block_bytes=size)
+        for number, part in enumerate(batches):
+            reducer.batch(frame(spark, part), number)
+        reducer.batch(frame(spark, []), 4)
+        assert mapping(spark.read.parquet(str(tmp_path / name / "mirrors/*"))) == loop([x for part in batches for x in part], 2)
