@@ -1,18 +1,19 @@
 """A probabilistic suffix tree over words, and scores of whole texts.
 
-The tree's alphabet is the words with a probability of at least LEAST_SHARE, an end mark, and one symbol for all other
-words; within it words go by their unigram probability. Contexts of up to DEPTH symbols that are about as probable are
-candidates, and are kept if what follows them diverges from what follows their longest kept suffix. Tree and alphabet are
-bounded by those shares, whatever the corpus's size; unigram counts, which aren't, meet their texts in a shuffle.
-
-Texts are read once, into shards of numbered words. A shard sends each of its words once, with its count, so that a word
-that is a third of all words costs no more than others.
+The tree's alphabet is the words that training texts have LEAST_COUNT times, an end mark, and one symbol for all other
+words; within it words go by their unigram probability. Contexts of up to DEPTH symbols with that count are candidates, and
+are kept if what follows them diverges from what follows their longest kept suffix. The counts are absolute, so alphabet and
+tree grow with the corpus: neither is gathered or broadcast. The contexts of a depth are dealt to owners, which count, test
+and number them, and what they know of a shard's contexts meets its texts in a shuffle.
+
+Texts are read once, into shards of numbered words. A shard sends each of its words, and each of its contexts with what
+follows, once, with its count, so that a word that is a third of all words costs no more than others.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -23,16 +24,18 @@ from pyspark.sql import functions as F
 from tessera.llm import _text as tx
 from tessera.llm._store import rows_of, shuffle_partitions, written
 
-#: A context's and a symbol's least share of all training tokens, and the least number of times.
-LEAST_SHARE, LEAST_COUNT = 2e-5, 4
-#: A next symbol's least share of the tokens and number of times to have a probability of its own after a context.
-LEAST_NEXT, LEAST_NEXT_COUNT = 1e-6, 2
-DEPTH = 2
+#: How often a context or a symbol is in the training texts at least.
+LEAST_COUNT = 4
+#: How often a next symbol follows a context at least to have a probability of its own after it.
+LEAST_NEXT_COUNT = 2
+DEPTH = 4
 #: Tokens that a context's suffix counts for in its distribution.
 SMOOTHING = 5.0
 SHARD_BYTES = 6 << 20
 END = np.uint64(0x5E5E5E5E5E5E5E5E)
-_BITS = 20  # of a symbol's number; LEAST_SHARE allows 50,000
+_BITS = 20  # of a symbol's number in a Tree
+#: Shards for each owner of contexts, at most.
+_SHARDS_AN_OWNER = 16
 
 
 def _zip(x: np.ndarray) -> bytes:
@@ -76,7 +79,7 @@ class _Shard:
     def __init__(self, row: dict) -> None:
         self.learn = np.frombuffer(row["learn"], np.uint8).astype(bool)
         self.first = np.frombuffer(row["first"], np.int64)
-        self.vocabulary = np.frombuffer(row["vocabulary"], np.uint64)
+        self.vocabulary = np.frombuffer(row.get("vocabulary", b""), np.uint64)
         self.tokens = _unzip(row["tokens"], np.uint32)
 
     def learnt(self) -> np.ndarray:
@@ -119,9 +122,26 @@ def _messages(number: int, keys: np.ndarray, counts: np.ndarray, owner: np.ndarr
 _MESSAGE = "owner int, shard long, keys binary, counts binary"
 
 
-def unigrams(store: DataFrame, least_share: float = LEAST_SHARE, least: int = LEAST_COUNT) -> tuple[DataFrame, int, int, np.ndarray, np.ndarray]:
-    """For each shard and owner the counts of its words in all training texts; N; V; and the frequent words' hashes and
-    counts, of which there are 1 / least_share at most."""
+@dataclass
+class Sizes:
+    """What all shards know of the training texts; `offsets` holds for each depth the number before an owner's first symbol
+    (depth 0) or context."""
+
+    n_tokens: int
+    n_types: int
+    other: float  #: probability of the symbol for all other words
+    bits: int  #: of a symbol's number
+    offsets: list[np.ndarray]
+
+
+def _offsets(answers: DataFrame, n: int) -> np.ndarray:
+    found = {r.owner: r.k for r in answers.groupBy("owner").agg(F.sum("fresh").alias("k")).collect()}
+    return np.cumsum([0, *(found.get(k, 0) for k in range(n))])
+
+
+def _word_counts(store: DataFrame, least: int) -> tuple[DataFrame, Sizes]:
+    """For each shard and owner the counts of its words in all training texts, and their places among the owner's frequent
+    words, from 1 (others: 0)."""
     n = _owners(store)
     bits = np.uint64(64 - int(np.log2(n)))
 
@@ -133,28 +153,36 @@ def unigrams(store: DataFrame, least_share: float = LEAST_SHARE, least: int = LE
 
     def answer(table: pa.Table) -> pa.Table:
         _, total, places = _totals(table)
-        known = total > 0
-        n_tokens, n_types = int(total.sum()), int(known.sum())
-        return pa.table({"shard": table["shard"], "owner": table["owner"], "totals": pa.array([_zip(total[x]) for x in places], pa.binary()), "n": pa.array([n_tokens] + [0] * (len(places) - 1), pa.int64()), "v": pa.array([n_types] + [0] * (len(places) - 1), pa.int64())})
+        known, frequent = total > 0, total >= least
+        rank = np.where(frequent, np.cumsum(frequent), 0)
+        rest = [0] * (len(places) - 1)
+        sums = {"n": int(total.sum()), "v": int(known.sum()), "fresh": int(frequent.sum()), "mass": int(total[frequent].sum())}
+        return pa.table({"shard": table["shard"], "owner": table["owner"], "totals": pa.array([_zip(total[x]) for x in places], pa.binary()), "ranks": pa.array([_zip(rank[x]) for x in places], pa.binary()), **{k: pa.array([x, *rest], pa.int64()) for k, x in sums.items()}})
 
     asked = store.select("shard", "learn", "first", "vocabulary", "tokens").mapInArrow(ask, _MESSAGE)
-    answers = written(asked.groupBy("owner").applyInArrow(answer, "shard long, owner int, totals binary, n long, v long"), "totals")
-    size = answers.agg(F.sum("n"), F.sum("v")).first()
-    n_tokens, n_types = int(size[0] or 0), int(size[1] or 0)
-    limit = max(least, least_share * n_tokens)
+    answers = written(asked.groupBy("owner").applyInArrow(answer, "shard long, owner int, totals binary, ranks binary, n long, v long, fresh long, mass long"), "totals")
+    n_tokens, n_types, fresh, mass = (int(x or 0) for x in answers.agg(F.sum("n"), F.sum("v"), F.sum("fresh"), F.sum("mass")).first())
+    everything = n_tokens + n_types + 1
+    return answers, Sizes(n_tokens, n_types, (everything - mass - fresh) / everything, max(1, fresh.bit_length()), [_offsets(answers, n)])
+
+
+def unigrams(store: DataFrame, least: int = LEAST_COUNT) -> tuple[DataFrame, int, int, np.ndarray, np.ndarray]:
+    """For each shard and owner the counts of its words in all training texts; N; V; and the frequent words' hashes and
+    counts, gathered: for corpora of which the driver can hold the tree."""
+    answers, sizes = _word_counts(store, least)
     vocabularies = store.select("shard", "vocabulary")
 
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for vocabulary, parts in zip(rows_of(batch, "vocabulary").to_pylist(), rows_of(batch, "parts").to_pylist(), strict=True):
                 total = _joined(parts)
-                some = total >= limit
+                some = total >= least
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(vocabulary, np.uint64)[some].view(np.int64)), pa.array(total[some])], ["word", "n"])
 
     found = vocabularies.join(_by_shard(answers), "shard").mapInArrow(frequent, "word long, n long").groupBy("word").agg(F.max("n").alias("n")).toPandas()
     words = found["word"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(words)
-    return answers, n_tokens, n_types, words[order], found["n"].to_numpy(np.int64)[order]
+    return answers, sizes.n_tokens, sizes.n_types, words[order], found["n"].to_numpy(np.int64)[order]
 
 
 def _by_shard(answers: DataFrame) -> DataFrame:
@@ -183,7 +211,7 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 @dataclass
 class Tree:
     """Symbols 1..A are the frequent words by hash, 0 all other words. Node 0 is the root; the child of a node by a symbol
-    is the context one symbol longer to the left. Bounded by the shares: it's what is broadcast."""
+    is the context one symbol longer to the left. The tree of a corpus that fits in memory; score() doesn't gather it."""
 
     words: np.ndarray
     n_tokens: int
@@ -259,8 +287,8 @@ def _followers(store: DataFrame, tree: Tree, depth: int, least: float) -> tuple[
     return found["key"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
 
 
-def grow(store: DataFrame, n_tokens: int, n_types: int, words: np.ndarray, counts: np.ndarray, *, depth: int = DEPTH, least_share: float = LEAST_SHARE, least: int = LEAST_COUNT, smoothing: float = SMOOTHING) -> Tree:
-    """The tree. A context is kept if the log likelihood that its own next-symbol distribution gains over that of its
+def grow(store: DataFrame, n_tokens: int, n_types: int, words: np.ndarray, counts: np.ndarray, *, depth: int = 2, least: int = LEAST_COUNT, smoothing: float = SMOOTHING) -> Tree:
+    """The tree that score() uses, to this depth, in the driver's memory. A context is kept if the log likelihood that its own next-symbol distribution gains over that of its
     longest kept suffix exceeds half a log of its count for each of its next symbols."""
     root = np.zeros(len(words) + 1)
     root[1:] = (counts + 1) / (n_tokens + n_types + 1)
@@ -268,11 +296,14 @@ def grow(store: DataFrame, n_tokens: int, n_types: int, words: np.ndarray, count
     tree = Tree(words, n_tokens, n_types, root)
     if not n_tokens or not len(words):
         return tree
-    limit, limit_next = max(least, least_share * n_tokens), max(LEAST_NEXT_COUNT, LEAST_NEXT * n_tokens)
+    if len(words) >= 1 << _BITS:
+        raise ValueError("too many symbols for a tree in memory")
+    limit, limit_next = least, LEAST_NEXT_COUNT
     # nodes of a depth as strings, the latest symbol last; all frequent words are candidates, but the end follows all
     strings = [(s,) for s in range(1, len(words) + 1) if words[s - 1] != END]
     number = {(): 0}
     frequency = {(s,): int(counts[s - 1]) for (s,) in strings}
+    up = np.zeros(1, np.int64)
     for d in range(1, depth + 1):
         strings = [x for x in strings if x[1:] in number]
         if not strings:
@@ -292,7 +323,7 @@ def grow(store: DataFrame, n_tokens: int, n_types: int, words: np.ndarray, count
         for x in strings:
             total[number[x]] = frequency[x]
         # what the longest kept suffix says of the same next symbols
-        up = np.zeros(len(number), np.int64)
+        up = np.concatenate([up, np.zeros(len(number) - len(up), np.int64)])
         for x in strings:
             y = x[1:]
             while y and not tree.kept[number[y]]:
@@ -330,6 +361,104 @@ def grow(store: DataFrame, n_tokens: int, n_types: int, words: np.ndarray, count
     return tree
 
 
+class _Walk:
+    """A shard's positions under the contexts of rising depth, as far as owners have answered. Of each position `p` is the
+    probability of its symbol so far and `context` the number of the candidate before it, or 0."""
+
+    def __init__(self, row: dict, sizes: Sizes) -> None:
+        self.shard, self.sizes = _Shard(row), sizes
+        words = sorted((x for x in row["parts"] if x["depth"] == 0), key=lambda x: x["owner"])
+        self.total = np.concatenate([_unzip(x["totals"], np.int64) for x in words])
+        ranks = [_unzip(x["ranks"], np.int64) for x in words]
+        number = np.concatenate([np.where(r > 0, r + sizes.offsets[0][x["owner"]], 0) for x, r in zip(words, ranks, strict=True)])
+        self.base = (self.total + 1) / (sizes.n_tokens + sizes.n_types + 1)
+        first, tokens = self.shard.first, self.shard.tokens
+        self.inner = number == 0
+        self.symbols = number[tokens]
+        self.p = np.where(self.inner, sizes.other, self.base)[tokens]
+        self.inside = np.arange(len(tokens)) - np.repeat(first[:-1], np.diff(first))
+        self.context = np.concatenate([[0], self.symbols[:-1]])
+        for d in range(1, len(sizes.offsets)):
+            self.step(d, sorted((x for x in row["parts"] if x["depth"] == d), key=lambda x: x["owner"]))
+
+    def pairs(self, d: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The positions with a context of this depth; their different pairs of context and next symbol, which stand by owner;
+        the pairs' owners; and for each position the place of its pair."""
+        live = np.flatnonzero((self.inside >= d) & (self.context > 0))
+        keys, place = np.unique(self.context[live] << self.sizes.bits | self.symbols[live], return_inverse=True)
+        owner = (tx.mixed(keys >> self.sizes.bits) % np.uint64(n)).astype(np.int64)
+        order = np.argsort(owner, kind="stable")
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return live, keys[order], owner[order], back[place]
+
+    def step(self, d: int, parts: list[dict]) -> None:
+        offsets = self.sizes.offsets[d]
+        live, keys, owner, place = self.pairs(d, len(offsets) - 1)
+        self.context = np.zeros(len(self.symbols), np.int64)
+        if not len(live):
+            return
+        n, rank = (np.concatenate([_unzip(x[name], np.uint32) for x in parts]).astype(np.int64) for name in ("totals", "ranks"))
+        kept, total, mass = np.concatenate([_unzip(x["contexts"], np.int64).reshape(-1, 3) for x in parts]).T
+        which = np.cumsum(np.diff(keys >> self.sizes.bits, prepend=-1) != 0) - 1
+        own = np.where(n >= LEAST_NEXT_COUNT, n, 0) / (total[which] + SMOOTHING)
+        rest = ((total - mass + SMOOTHING) / (total + SMOOTHING))[which]
+        mine = (kept > 0)[which]
+        own, rest = np.where(mine, own, 0.0), np.where(mine, rest, 1.0)
+        self.p[live] = own[place] + rest[place] * self.p[live]
+        number = np.where(rank > 0, rank + offsets[owner], 0)
+        after = live[live + 1 < len(self.symbols)]
+        self.context[after + 1] = number[place[: len(after)]]
+
+
+_ANSWER = "shard long, owner int, depth int, totals binary, ranks binary, contexts binary, fresh long"
+
+
+def _deepen(joined: DataFrame, sizes: Sizes, d: int, n: int, least: int) -> DataFrame:
+    """For each shard and owner, of its pairs of a context of depth d and a next symbol: how often training texts have the
+    pair, its place among the owner's candidates of the next depth (from 1, others 0), and of its contexts whether each is
+    kept, how often it occurs and how often with next symbols of their own. By grow()'s test."""
+    shared = joined.sparkSession.sparkContext.broadcast(sizes)
+    bits = sizes.bits
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _each(batches):
+            walk = _Walk(row, shared.value)
+            live, keys, owner, place = walk.pairs(d, n)
+            counts = np.bincount(place[walk.shard.learnt()[live]], minlength=len(keys))
+            above = np.zeros(len(keys), np.float32)
+            above[place] = walk.p[live]
+            batch = _messages(row["shard"], keys.astype(np.uint64), counts, owner, n)
+            cuts = np.searchsorted(owner, np.arange(n + 1))
+            sent = [_zip(above[cuts[k] : cuts[k + 1]]) for k in batch["owner"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sent, pa.binary())], [*batch.schema.names, "above"])
+
+    def answer(table: pa.Table) -> pa.Table:
+        keys, total, places = _totals(table)
+        above = np.ones(len(keys))
+        for place, x in zip(places, table["above"].to_pylist(), strict=True):
+            above[place] = _unzip(x, np.float32)
+        contexts, at = np.unique(keys >> np.uint64(bits), return_inverse=True)
+        times = np.bincount(at, total, len(contexts)).astype(np.int64)
+        some = total >= LEAST_NEXT_COUNT
+        n_some, where = total[some], at[some]
+        gain = np.bincount(where, n_some * np.log(np.maximum(n_some / times[where], 1e-12) / np.maximum(above[some], 1e-300)), len(contexts))
+        kinds = np.bincount(where, minlength=len(contexts))
+        mass = np.bincount(where, n_some, len(contexts)).astype(np.int64)
+        keep = (kinds > 0) & (gain > 0.5 * kinds * np.log(np.maximum(times, 2)))
+        fresh = (total >= least) & ((keys & np.uint64((1 << bits) - 1)) > 0)
+        rank = np.where(fresh, np.cumsum(fresh), 0)
+        about = np.stack([keep.astype(np.int64), times, mass], 1)
+        own = [about[x[np.diff(x, prepend=-1) != 0]] for x in (at[place] for place in places)]
+        return pa.table({
+            "shard": table["shard"], "owner": table["owner"], "depth": pa.array([d] * len(places), pa.int32()),
+            "totals": pa.array([_zip(total[x].astype(np.uint32)) for x in places], pa.binary()), "ranks": pa.array([_zip(rank[x].astype(np.uint32)) for x in places], pa.binary()),
+            "contexts": pa.array([_zip(x) for x in own], pa.binary()), "fresh": pa.array([int(fresh.sum()), *[0] * (len(places) - 1)], pa.int64()),
+        })
+
+    return written(joined.mapInArrow(ask, f"{_MESSAGE}, above binary").groupBy("owner").applyInArrow(answer, _ANSWER), f"contexts{d}")
+
+
 def score(docs: DataFrame, learns: Column, *, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its id, n_tokens (blank-separated words with A-Z read as a-z, and an end), n_known (those that
     a training text has), train_tokens, base_score (log10 probability under add-one unigrams) and score (under the tree).
@@ -338,27 +467,37 @@ def score(docs: DataFrame, learns: Column, *, depth: int = DEPTH, id_col: str =
     rows are learnt from each time and all scored. Without training tokens both scores are 0. Other columns aren't read.
     """
     store = shards(docs, learns, id_col=id_col, text_col=text_col)
-    answers, n_tokens, n_types, words, counts = unigrams(store)
-    tree = grow(store, n_tokens, n_types, words, counts, depth=depth)
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
+    answers, sizes = _word_counts(store, LEAST_COUNT)
+    answers = answers.select("shard", "owner", F.lit(0).alias("depth"), "totals", "ranks", F.lit(None).cast("binary").alias("contexts"))
+    n = max(_owners(store), 1 << int(np.ceil(np.log2(max(1, store.count() / _SHARDS_AN_OWNER)))))
+
+    def joined() -> DataFrame:
+        parts = answers.groupBy("shard").agg(F.collect_list(F.struct("owner", "depth", "totals", "ranks", "contexts")).alias("parts"))
+        return store.drop("vocabulary").join(parts, "shard")
+
+    for d in range(1, depth + 1):
+        if int(sizes.offsets[-1][-1]).bit_length() + sizes.bits > 63:
+            raise ValueError("too many contexts to number")
+        if not sizes.offsets[-1][-1]:
+            break
+        found = _deepen(joined().drop("ids"), sizes, d, n, LEAST_COUNT)
+        answers = answers.unionByName(found.select(answers.columns))
+        sizes = replace(sizes, offsets=[*sizes.offsets, _offsets(found, n)])
+    shared = docs.sparkSession.sparkContext.broadcast(sizes)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = shared.value
+        sizes = shared.value
         for row in _each(batches):
-            shard = _Shard(row)
-            total = _joined(row["parts"])
-            base = (total + 1) / (tree.n_tokens + tree.n_types + 1)
-            number = tree.symbols(shard.vocabulary)
-            inside = np.where(number == 0, np.log10(base) - np.log10(max(tree.root[0], 1e-300)), 0.0)
-            symbols = number[shard.tokens]
-            found = np.log10(np.maximum(tree.score(symbols, shard.first), 1e-300)) + inside[shard.tokens]
-            at = shard.first[:-1]
+            walk = _Walk(row, sizes)
+            tokens, total, base = walk.shard.tokens, walk.total, walk.base
+            inside = np.where(walk.inner, np.log10(base) - np.log10(sizes.other), 0.0)
+            found = np.log10(np.maximum(walk.p, 1e-300)) + inside[tokens]
+            at = walk.shard.first[:-1]
             yield pa.RecordBatch.from_arrays(
-                [row["ids"], pa.array(np.diff(shard.first)), pa.array(np.add.reduceat((total > 0)[shard.tokens].astype(np.int64), at)), pa.array([tree.n_tokens] * len(at), pa.int64()), pa.array(np.add.reduceat(np.log10(base)[shard.tokens], at)), pa.array(np.add.reduceat(found, at))],
+                [row["ids"], pa.array(np.diff(walk.shard.first)), pa.array(np.add.reduceat((total > 0)[tokens].astype(np.int64), at)), pa.array([sizes.n_tokens] * len(at), pa.int64()), pa.array(np.add.reduceat(np.log10(base)[tokens], at)), pa.array(np.add.reduceat(found, at))],
                 ["id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
 
-    joined = store.join(_by_shard(answers), "shard")
-    out = joined.mapInArrow(run, f"id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = joined().mapInArrow(run, f"id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("id", id_col)

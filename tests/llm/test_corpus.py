@@ -193,6 +193,31 @@ def test_tree_is_a_distribution_and_learns_contexts(spark):
     assert lm.score(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_scores_are_those_of_the_tree_in_memory(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    learns = F.col("doc_id") % 5 != 2
+    store = lm.shards(docs, learns)
+    tree = lm.grow(store, *lm.unigrams(store)[1:], depth=lm.DEPTH)
+    assert tree.depth == lm.DEPTH and tree.kept.sum() > 20
+    got = {r.doc_id: r.score - r.base_score for r in lm.score(docs, learns).collect()}
+    for row in store.collect():
+        shard = lm._Shard(row.asDict())
+        symbols = tree.symbols(shard.vocabulary)[shard.tokens]
+        gain = np.log10(tree.score(symbols, shard.first)) - np.log10(tree.root[symbols])
+        for d, x in zip(row.ids, np.add.reduceat(gain, shard.first[:-1]), strict=True):
+            assert abs(got[d] - x) < 1e-6
+
+
+def test_counts_not_shares_make_contexts(spark):
+    rare = "qa qb qc qd qe"
+    filler = [(k, " ".join(f"w{(k * 31 + i * i) % 900}" for i in range(4000))) for k in range(100)]
+    deep = [(200 + k, f"{a} m n o {b}") for k, (a, b) in enumerate([("l1", "r1"), ("l2", "r2"), ("l3", "r3")] * 60)]
+    df = spark.createDataFrame([*filler, *deep, *[(500 + k, rare) for k in range(6)], (900, rare), (901, "l1 m n o r1"), (902, "l1 m n o r2")], "doc_id long, text string")
+    got = {r.doc_id: r for r in lm.score(df, F.col("doc_id") < 900).where("doc_id >= 900").collect()}
+    assert got[900].train_tokens > 400_000 and got[900].score > got[900].base_score + 10  # six of 400,000 are a share of 1.5e-5
+    assert got[901].score > got[902].score + 1  # told apart by the fourth word back
+
+
 # --- decontamination
 
 
