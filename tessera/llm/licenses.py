@@ -1,4 +1,4 @@
-"""License scans: TF-IDF cosine of lines to licence templates, then inheritance from the nearest ancestor directory."""
+"""License scans: TF-IDF cosine of lines and windows of words to licence templates, then inheritance from the nearest ancestor directory."""
 
 from __future__ import annotations
 
@@ -16,6 +16,8 @@ from tessera.llm.decontaminate import _member
 
 #: Least cosine of a line to a template.
 LEAST_COSINE = 0.75
+#: Templates of so many words are also compared with windows of as many words, across line ends.
+LEAST_WINDOW = 8
 
 #: Notices by which works name their licence.
 TEMPLATES = (
@@ -39,6 +41,25 @@ TEMPLATES = (
     ("CC0-1.0", "Released under CC0 1.0 Universal public domain dedication"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
     ("All-rights-reserved", "All rights reserved"),
+    # headers of files, and of whole licences the text or, of long ones, its opening
+    ("GPL-3.0", 'This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.'),
+    ("GPL-2.0", 'This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.'),
+    ("AGPL-3.0", 'This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.'),
+    ("LGPL-3.0", 'This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.'),
+    ("LGPL-2.1", 'This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.'),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
+    ("Apache-2.0", 'Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION'),
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.'),
+    ("BSD-3-Clause", 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.'),
+    ("BSD-2-Clause", 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.'),
+    ("GPL-3.0", 'GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed. Preamble The GNU General Public License is a free, copyleft license for software and other kinds of works.'),
+    ("GPL-2.0", 'GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed. Preamble The licenses for most software are designed to take away your freedom to share and change it.'),
+    ("LGPL-3.0", 'GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.'),
+    ("LGPL-2.1", 'GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999 Copyright (C) 1991, 1999 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.'),
+    ("AGPL-3.0", 'GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.'),
+    ("MPL-2.0", 'This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.'),
+    ("ISC", 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.'),
+    ("Unlicense", 'This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.'),
 )
 #: Names (without suffix, lower case) of the files whose licence holds for their directory.
 LICENCE_FILES = ("license", "licence", "copying", "notice", "unlicense")
@@ -60,6 +81,7 @@ class Scanner:
     other: float
     matrix: np.ndarray  #: words x templates
     least: float
+    sizes: np.ndarray  #: words of each template
 
     @classmethod
     def of(cls, templates: Sequence[tuple[str, str]], vocabulary: np.ndarray, n: int, df: np.ndarray, least: float) -> Scanner:
@@ -69,11 +91,11 @@ class Scanner:
         np.add.at(matrix, (np.searchsorted(vocabulary, words), tx.owners(first)), 1)
         matrix *= idf[:, None]
         matrix /= np.maximum(np.sqrt((matrix**2).sum(0)), 1e-300)
-        return cls([x for x, _ in templates], vocabulary, idf, float(np.log(1 + n) + 1), matrix, least)
+        return cls([x for x, _ in templates], vocabulary, idf, float(np.log(1 + n) + 1), matrix, least, np.diff(first))
 
     def best(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each text the template that some line of it is nearest to (-1: none at the least cosine), that cosine and the
-        line's number; of equal cosines the first template of the first line."""
+        """Of each text the template that some line or window of words is nearest to (-1: none at the least cosine), that
+        cosine and the number of its first line; of equal cosines lines before windows, the first template of the first one."""
         n = len(offsets) - 1
         breaks = np.flatnonzero(data == 10) + 1
         lines = np.unique(np.concatenate([offsets, breaks]))
@@ -110,8 +132,37 @@ class Scanner:
                     d, s = doc[a + k], cosine[k, top[k]]
                     if s > score[d]:
                         out[d], score[d], where[d] = top[k], s, which[a + k] - begins[d]
+        self._windows(words, inside, line, lines, offsets, out, score, where)
         return out, score, where
 
+    def _windows(self, words: np.ndarray, inside: np.ndarray, line: np.ndarray, lines: np.ndarray, offsets: np.ndarray, out: np.ndarray, score: np.ndarray, where: np.ndarray) -> None:
+        """Compares every window of as many words as a template has, from each word to the text's end at most."""
+        if not len(words):
+            return
+        k = len(self.vocabulary)
+        number = np.full(len(words), k)
+        number[inside] = np.searchsorted(self.vocabulary, words[inside])
+        doc = np.searchsorted(offsets, lines[line], "right") - 1
+        begins = np.searchsorted(lines, offsets[:-1])
+        stop = np.searchsorted(doc, doc, "right")
+        squares = np.append(self.idf**2, self.other**2)
+        # counts are at least their square roots: this is the least length that a window can have
+        length = np.concatenate([[0], np.cumsum(squares[number])])
+        at = np.arange(len(words))
+        for t in np.flatnonzero(self.sizes >= LEAST_WINDOW):
+            weight = np.append(self.idf * self.matrix[:, t], 0.0)
+            dot = np.concatenate([[0], np.cumsum(weight[number])])
+            end = np.minimum(at + self.sizes[t], stop)
+            product = dot[end] - dot[:-1]
+            found = np.flatnonzero((weight[number] > 0) & (product * (1 + 1e-6) >= self.least * np.sqrt(length[end] - length[:-1])) & (product > 0))
+            for i in found:
+                d = doc[i]
+                tf = np.bincount(number[i : end[i]], minlength=k + 1)
+                norm = np.sqrt(((tf[:k] * self.idf) ** 2).sum() + tf[k] * self.other**2)
+                s = np.round((tf[:k] * self.idf) @ self.matrix[:, t] / norm, 12)
+                if s >= self.least and s > score[d]:
+                    out[d], score[d], where[d] = t, s, line[i] - begins[d]
+
 
 def _frequencies(files: DataFrame, vocabulary: np.ndarray, text_col: str) -> tuple[int, np.ndarray]:
     """How many texts there are, and how many have each of the templates' words; tasks send a count for each word."""
@@ -137,7 +188,8 @@ def scan(files: DataFrame, *, templates: Sequence[tuple[str, str]] = TEMPLATES,
     """The given columns (all, if none are given) of every row, own_license (null if no line comes near a template),
     own_score, the cosine (0 then), and own_line, its line's number from 0 (null then).
 
-    Every line of the whole text is compared. Document frequencies of the templates' words are counted over all rows;
+    Every line of the whole text is compared, and every window of as many words as a template of LEAST_WINDOW words or more
+    has, so that notices wrapped into comments or standing in long lines are found. Document frequencies of the templates' words are counted over all rows;
     other words weigh as words that no text has. Null and empty texts have no licence; of ties the first line and template
     stay; columns of these names are replaced.
     """

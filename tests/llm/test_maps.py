@@ -177,6 +177,18 @@ def test_license_against_plain_cosine(spark):
     assert any(got.values())
 
 
+def test_wrapped_license_headers(spark):
+    gpl = "This program is free software; you can redistribute it and/or\nmodify it under the terms of the GNU General Public License\nas published by the Free Software Foundation; either version {}\nof the License, or (at your option) any later version.\n\nThis program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\nGNU General Public License for more details."
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"
+    comment = lambda t: "\n".join(["int x;", *(" * " + x for x in t.split("\n")), "int main() { return 0; }"])
+    whole = "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n\n                            Preamble\n\n  The GNU General Public License is a free, copyleft license for\nsoftware and other kinds of works.\n"
+    cases = [(1, comment(gpl.format(2)), "GPL-2.0", 3), (2, comment(gpl.format(3)), "GPL-3.0", 3), (3, comment(bsd), "BSD-3-Clause", 1), (4, whole, "GPL-3.0", 0), (5, gpl.format(3).replace("\n", " "), "GPL-3.0", 0)]
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select((-1 - F.col("doc_id")).alias("doc_id"), "text")
+    df = docs.unionByName(spark.createDataFrame([c[:2] for c in cases], "doc_id long, text string"))
+    got = {r.doc_id: (r.own_license, r.own_line) for r in licenses.scan(df, columns=["doc_id"]).collect() if r.doc_id > 0}
+    assert got == {k: (name, line) for k, _, name, line in cases}
+
+
 # --- media
 
 
