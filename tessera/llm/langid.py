@@ -23,8 +23,9 @@ SAMPLE_ROWS = 3000
 #: Hashed byte trigrams beside the 256 single bytes.
 TRIGRAMS = 4096
 UNKNOWN = "und"
-#: Texts whose two nearest codewords differ by less in weighted loss per unit of weight are flagged.
-LEAST_GAP = 0.05
+#: Texts whose two nearest codewords differ by less in weighted loss per unit of weight are flagged: at least this, and
+#: this share of the gap that all but one in a thousand of the rows learnt from have.
+LEAST_GAP, GAP_SHARE = 0.05, 0.5
 _ROWS = 2048
 
 
@@ -74,15 +75,21 @@ class Model:
     trust: np.ndarray  #: weight of each bit's loss: log odds that its classifier was right in training
     least_gap: float = LEAST_GAP
 
+    def losses(self, x: np.ndarray) -> np.ndarray:
+        margins = x @ self.weights + self.bias
+        return (np.logaddexp(0, -margins[:, None, :] * self.code[None]) * self.trust).sum(2)
+
+    def gaps(self, loss: np.ndarray) -> np.ndarray:
+        two = np.partition(loss, 1, axis=1)
+        return (two[:, 1] - two[:, 0]) / self.trust.sum()
+
     def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each row the language's index, a score from 0 to 1, and whether a second codeword is about as near."""
         if len(self.languages) < 2:
             return np.zeros(len(x), int), np.ones(len(x)), np.zeros(len(x), bool)
-        margins = x @ self.weights + self.bias
-        loss = (np.logaddexp(0, -margins[:, None, :] * self.code[None]) * self.trust).sum(2)
+        loss = self.losses(x)
         odds = np.exp(-(loss - loss.min(1, keepdims=True)))
-        two = np.partition(loss, 1, axis=1)
-        return loss.argmin(1), (odds.max(1) / odds.sum(1)).astype(float), (two[:, 1] - two[:, 0]) / self.trust.sum() < self.least_gap
+        return loss.argmin(1), (odds.max(1) / odds.sum(1)).astype(float), self.gaps(loss) < self.least_gap
 
 
 def fit(x: np.ndarray, labels: list[str], steps: int = 200, penalty: float = 1e-5) -> Model:
@@ -103,7 +110,13 @@ def fit(x: np.ndarray, labels: list[str], steps: int = 200, penalty: float = 1e-
             w, b = w + vw, b + vb
         b = b - mean @ w
     wrong = (((x @ w + b) * y <= 0) * share[:, None]).sum(0)
-    return Model(languages, code, w.astype(np.float32), b.astype(np.float32), np.log((1 - wrong + 1e-3) / (wrong + 1e-3)).clip(0.05).astype(np.float32))
+    model = Model(languages, code, w.astype(np.float32), b.astype(np.float32), np.log((1 - wrong + 1e-3) / (wrong + 1e-3)).clip(0.05).astype(np.float32))
+    if y.shape[1]:
+        loss = model.losses(x)
+        right = loss.argmin(1) == index
+        if right.any():
+            model.least_gap = max(LEAST_GAP, GAP_SHARE * float(np.quantile(model.gaps(loss[right]), 0.001)))
+    return model
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,8 +177,8 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text", columns:
     return source.mapInArrow(run, schema)
 
 
-def identified(docs: DataFrame, model: Model, *, text_col: str = "text", least_score: float = 0.5) -> DataFrame:
-    """The rows, with all their columns, whose language is known: not `und`, nor flagged with a score under least_score."""
+def identified(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose language is known: not `und`, nor flagged as between two languages."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,8 +188,7 @@ def identified(docs: DataFrame, model: Model, *, text_col: str = "text", least_s
             keep = pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_numpy(zero_copy_only=False).copy()
             if model.languages:
                 for low, high, x in features(text):
-                    _, score, flag = model.decode(x)
-                    keep[low:high] &= ~(flag & (score < least_score))
+                    keep[low:high] &= ~model.decode(x)[2]
             yield batch.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)

@@ -116,6 +116,17 @@ def test_language_id(spark):
     assert langid.identify(odd.limit(0), model).count() == 0
 
 
+def test_mixed_and_unknown_languages_go(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").where("lang is not null and text is not null")
+    first = {r.lang: r.t for r in docs.where("length(text) > 800").groupBy("lang").agg(F.min(F.substring("text", 1, 800)).alias("t")).collect()}
+    model = langid.train(docs)
+    unknown = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. " * 5
+    rows = [(1, first["en"] + " " + first["de"]), (2, unknown), *[(10 + k, t) for k, t in enumerate(first.values())]]
+    odd = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in langid.identified(odd, model).collect()) == [10 + k for k in range(len(first))]
+    assert langid.identified(docs, model).count() == docs.count()
+
+
 # --- licences
 
 
