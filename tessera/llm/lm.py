@@ -1,19 +1,24 @@
 """A probabilistic suffix tree over words, and scores of whole texts.
 
 The tree's alphabet is the words that training texts have LEAST_COUNT times, an end mark, and one symbol for all other
-words; within it words go by their unigram probability. Contexts of up to DEPTH symbols with that count are candidates, and
-are kept if what follows them diverges from what follows their longest kept suffix. The counts are absolute, so alphabet and
-tree grow with the corpus: neither is gathered or broadcast. The contexts of a depth are dealt to owners, which count, test
-and number them, and what they know of a shard's contexts meets its texts in a shuffle.
-
-Texts are read once, into shards of numbered words. A shard sends each of its words, and each of its contexts with what
-follows, once, with its count, so that a word that is a third of all words costs no more than others.
+words; within it words go by their unigram probability. A context is up to DEPTH symbols that training texts have LEAST_COUNT
+times; it's kept if what follows it diverges from what follows its longest kept suffix. Probabilities of the longest kept
+context are smoothed with those of its suffixes. The counts are absolute, so alphabet and tree grow with the corpus: neither
+is gathered nor broadcast.
+
+Texts are read once, into shards of numbered words, in a table bucketed by shard, which later joins don't move. Three times
+shards ask and owners answer: how often words occur (owners by word); how often a word follows another (owners by the first
+one); and how likely a position's word is after its longer contexts (owners by the two words before, which hold the whole
+subtree of contexts that end in them). A shard asks each different question once, with its count, so a word or a passage
+that is a third of all text costs no more than others; a context stops where two neighbours occur together less often than
+LEAST_COUNT times, as no longer one can be a candidate.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass, field, replace
+import uuid
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,69 +27,92 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import _text as tx
-from tessera.llm._store import rows_of, shuffle_partitions, written
+from tessera.llm._store import rows_of, shared_folder, shuffle_partitions, written
 
-#: How often a context or a symbol is in the training texts at least.
-LEAST_COUNT = 4
-#: How often a next symbol follows a context at least to have a probability of its own after it.
-LEAST_NEXT_COUNT = 2
-DEPTH = 4
+#: How often a symbol, a context or a next symbol after a context is in the training texts at least.
+LEAST_COUNT = 2
+DEPTH = 8
 #: Tokens that a context's suffix counts for in its distribution.
 SMOOTHING = 5.0
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 8 << 20
+#: Tokens for each owner, about.
+OWNER_TOKENS = 1 << 20
 END = np.uint64(0x5E5E5E5E5E5E5E5E)
-_BITS = 20  # of a symbol's number in a Tree
-#: Shards for each owner of contexts, at most.
-_SHARDS_AN_OWNER = 16
+#: Symbols are numbered by steps of their count, the frequent ones first: a factor of 2 has so many steps.
+_STEPS = 4
+_KINDS = 63 * _STEPS
+#: Logarithms of probabilities go to owners in these steps.
+_FINE = 1024
 
 
 def _zip(x: np.ndarray) -> bytes:
-    return zstd.ZstdCompressor(level=1).compress(x.tobytes())
+    """Compressed numbers, their first bytes first, then their second ones, and so on."""
+    wide = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize)
+    return zstd.ZstdCompressor(level=1).compress(np.ascontiguousarray(wide.T).tobytes())
 
 
 def _unzip(raw: bytes, kind: type) -> np.ndarray:
-    return np.frombuffer(zstd.ZstdDecompressor().decompress(raw), kind)
+    planes = np.frombuffer(zstd.ZstdDecompressor().decompress(raw), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
 def shards(docs: DataFrame, learns: Column, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The texts as numbered words, written once: ids, learn (whether each is learnt from), first (each text's tokens: its
-    words and one end), vocabulary (sorted hashes of the shard's tokens) and tokens."""
+    """The texts as numbered words, written once, bucketed by shard: ids, learn (whether each is learnt from), first (each
+    text's tokens: its words and one end), vocabulary (hashes of the shard's tokens, frequent ones first) and tokens."""
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(learns, F.lit(False)).alias("learn"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            ids, learn = rows_of(batch, "id"), rows_of(batch, "learn").to_numpy(zero_copy_only=False).astype(np.uint8)
-            for low, high, data, offsets in tx.chunks(rows_of(batch, "text"), SHARD_BYTES):
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal number, held, size
+            if not held:
+                return
+            rows = pa.Table.from_batches(held).combine_chunks()
+            ids, learn = rows["id"].combine_chunks(), rows["learn"].to_numpy().astype(np.uint8)
+            for low, high, data, offsets in tx.chunks(rows["text"], SHARD_BYTES):
                 starts, ends, first = tx.spans(data, offsets, tx.BLANK_SEPARATED)
                 first = first + np.arange(len(first))
                 words = np.full(first[-1], END, np.uint64)
                 inner = np.ones(first[-1], bool)
                 inner[first[1:] - 1] = False
                 words[inner] = tx.hashes(data, starts, ends)
-                vocabulary, tokens = np.unique(words, return_inverse=True)
+                vocabulary, tokens, counts = np.unique(words, return_inverse=True, return_counts=True)
+                order = np.argsort(-counts, kind="stable")
+                place = np.empty(len(order), np.uint32)
+                place[order] = np.arange(len(order), dtype=np.uint32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([number]), pa.ListArray.from_arrays(pa.array([0, high - low], pa.int32()), ids.slice(low, high - low)), *(pa.array([x], pa.binary()) for x in (learn[low:high].tobytes(), first.astype(np.int64).tobytes(), vocabulary.tobytes(), _zip(tokens.astype(np.uint32))))],
+                    [pa.array([number]), pa.ListArray.from_arrays(pa.array([0, high - low], pa.int32()), ids.slice(low, high - low)), *(pa.array([x], pa.binary()) for x in (learn[low:high].tobytes(), _zip(first.astype(np.int64)), vocabulary[order].tobytes(), _zip(place[tokens])))],
                     ["shard", "ids", "learn", "first", "vocabulary", "tokens"],
                 )
                 number += 1
+            held, size = [], 0
+
+        for batch in batches:  # small batches are gathered, so that shards are of even size
+            held.append(batch)
+            size += rows_of(batch, "text").nbytes
+            if size >= SHARD_BYTES:
+                yield from flush()
+        yield from flush()
 
     kind = source.schema["id"].dataType.simpleString()
-    return written(source.mapInArrow(run, f"shard long, ids array<{kind}>, learn binary, first binary, vocabulary binary, tokens binary"), "shards")
+    rows = source.mapInArrow(run, f"shard long, ids array<{kind}>, learn binary, first binary, vocabulary binary, tokens binary")
+    spark, name = docs.sparkSession, f"tessera_{uuid.uuid4().hex}"
+    rows.write.bucketBy(shuffle_partitions(spark), "shard").option("path", f"{shared_folder(spark)}/shards").option("compression", "zstd").saveAsTable(name)
+    return spark.table(name)
 
 
 class _Shard:
     def __init__(self, row: dict) -> None:
         self.learn = np.frombuffer(row["learn"], np.uint8).astype(bool)
-        self.first = np.frombuffer(row["first"], np.int64)
-        self.vocabulary = np.frombuffer(row.get("vocabulary", b""), np.uint64)
+        self.first = _unzip(row["first"], np.int64)
+        self.vocabulary = np.frombuffer(row["vocabulary"], np.uint64)
         self.tokens = _unzip(row["tokens"], np.uint32)
-
-    def learnt(self) -> np.ndarray:
-        """Which tokens belong to texts that are learnt from."""
-        return np.repeat(self.learn, np.diff(self.first))
+        self.learnt = np.repeat(self.learn, np.diff(self.first))  #: which tokens belong to texts that are learnt from
 
 
 def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -93,409 +121,330 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield {name: batch.column(i)[k].as_py() for i, name in enumerate(batch.schema.names) if name != "ids"} | {"ids": batch.column(batch.schema.get_field_index("ids"))[k].values if "ids" in batch.schema.names else None}
 
 
-def _owners(df: DataFrame) -> int:
-    """Into how many ranges keys are split: a power of two of some times the shuffle's partitions."""
-    return 1 << int(np.ceil(np.log2(4 * max(16, shuffle_partitions(df.sparkSession)))))
-
-
-def _totals(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Different keys of the messages of an owner, their counts in all, and for each message its keys' places."""
-    keys = [_unzip(x, np.uint64) for x in table["keys"].to_pylist()]
-    keys = [np.cumsum(x, dtype=np.uint64) for x in keys]
-    counts = np.concatenate([_unzip(x, np.uint32) for x in table["counts"].to_pylist()])
-    different, place = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(place, counts, len(different)).astype(np.int64)
-    return different, total, np.split(place, np.cumsum([len(x) for x in keys])[:-1])
-
-
-def _messages(number: int, keys: np.ndarray, counts: np.ndarray, owner: np.ndarray, n: int) -> pa.RecordBatch:
-    """Sorted keys (as differences) and counts, split where the owner changes; keys of an owner stand together."""
-    cuts = np.searchsorted(owner, np.arange(n + 1))
-    some = [p for p in range(n) if cuts[p + 1] > cuts[p]]
-    parts = [slice(cuts[p], cuts[p + 1]) for p in some]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(some, pa.int32()), pa.array([number] * len(some), pa.int64()), pa.array([_zip(np.diff(keys[x], prepend=np.uint64(0))) for x in parts], pa.binary()), pa.array([_zip(counts[x].astype(np.uint32)) for x in parts], pa.binary())],
-        ["owner", "shard", "keys", "counts"],
-    )
-
-
-_MESSAGE = "owner int, shard long, keys binary, counts binary"
+def _power(x: float) -> int:
+    return 1 << max(0, int(np.ceil(np.log2(max(x, 1)))))
 
 
 @dataclass
 class Sizes:
-    """What all shards know of the training texts; `offsets` holds for each depth the number before an owner's first symbol
-    (depth 0) or context."""
+    """What all shards know of the training texts."""
 
     n_tokens: int
     n_types: int
     other: float  #: probability of the symbol for all other words
-    bits: int  #: of a symbol's number
-    offsets: list[np.ndarray]
+    bits: int  #: of a symbol's number; the numbers from 1 are symbols, 0 all others
+    offsets: np.ndarray  #: by step of count and owner the number of its first symbol
+    owners: int
 
+    @property
+    def rare(self) -> int:
+        """The number that stands for next symbols which no longer context can have often."""
+        return (1 << self.bits) - 1
 
-def _offsets(answers: DataFrame, n: int) -> np.ndarray:
-    found = {r.owner: r.k for r in answers.groupBy("owner").agg(F.sum("fresh").alias("k")).collect()}
-    return np.cumsum([0, *(found.get(k, 0) for k in range(n))])
+    def likely(self, symbol: np.ndarray) -> np.ndarray:
+        """About the unigram probability of symbols: by the step of their count."""
+        firsts = self.offsets[::-1, 0]  # ascending
+        step = _KINDS - np.maximum(np.searchsorted(firsts, symbol, "right"), 1)
+        p = (2.0 ** ((step + 0.5) / _STEPS) + 1) / (self.n_tokens + self.n_types + 1)
+        return np.where(symbol > 0, p, self.other)
 
 
-def _word_counts(store: DataFrame, least: int) -> tuple[DataFrame, Sizes]:
-    """For each shard and owner the counts of its words in all training texts, and their places among the owner's frequent
-    words, from 1 (others: 0)."""
-    n = _owners(store)
-    bits = np.uint64(64 - int(np.log2(n)))
+def _step(total: np.ndarray) -> np.ndarray:
+    return np.floor(np.log2(np.maximum(total, 1)) * _STEPS + 1e-9).astype(np.int64)
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _each(batches):
-            shard = _Shard(row)
-            counts = np.bincount(shard.tokens[shard.learnt()], minlength=len(shard.vocabulary))
-            yield _messages(row["shard"], shard.vocabulary, counts, shard.vocabulary >> bits, n)
 
-    def answer(table: pa.Table) -> pa.Table:
-        _, total, places = _totals(table)
-        known, frequent = total > 0, total >= least
-        rank = np.where(frequent, np.cumsum(frequent), 0)
-        rest = [0] * (len(places) - 1)
-        sums = {"n": int(total.sum()), "v": int(known.sum()), "fresh": int(frequent.sum()), "mass": int(total[frequent].sum())}
-        return pa.table({"shard": table["shard"], "owner": table["owner"], "totals": pa.array([_zip(total[x]) for x in places], pa.binary()), "ranks": pa.array([_zip(rank[x]) for x in places], pa.binary()), **{k: pa.array([x, *rest], pa.int64()) for k, x in sums.items()}})
+def _group(table: pa.Table) -> list[dict]:
+    """Messages in the order of their shards: sums don't depend on how they arrived."""
+    return sorted(table.to_pylist(), key=lambda x: x["shard"])
 
-    asked = store.select("shard", "learn", "first", "vocabulary", "tokens").mapInArrow(ask, _MESSAGE)
-    answers = written(asked.groupBy("owner").applyInArrow(answer, "shard long, owner int, totals binary, ranks binary, n long, v long, fresh long, mass long"), "totals")
-    n_tokens, n_types, fresh, mass = (int(x or 0) for x in answers.agg(F.sum("n"), F.sum("v"), F.sum("fresh"), F.sum("mass")).first())
-    everything = n_tokens + n_types + 1
-    return answers, Sizes(n_tokens, n_types, (everything - mass - fresh) / everything, max(1, fresh.bit_length()), [_offsets(answers, n)])
-
-
-def unigrams(store: DataFrame, least: int = LEAST_COUNT) -> tuple[DataFrame, int, int, np.ndarray, np.ndarray]:
-    """For each shard and owner the counts of its words in all training texts; N; V; and the frequent words' hashes and
-    counts, gathered: for corpora of which the driver can hold the tree."""
-    answers, sizes = _word_counts(store, least)
-    vocabularies = store.select("shard", "vocabulary")
-
-    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for vocabulary, parts in zip(rows_of(batch, "vocabulary").to_pylist(), rows_of(batch, "parts").to_pylist(), strict=True):
-                total = _joined(parts)
-                some = total >= least
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(vocabulary, np.uint64)[some].view(np.int64)), pa.array(total[some])], ["word", "n"])
-
-    found = vocabularies.join(_by_shard(answers), "shard").mapInArrow(frequent, "word long, n long").groupBy("word").agg(F.max("n").alias("n")).toPandas()
-    words = found["word"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(words)
-    return answers, sizes.n_tokens, sizes.n_types, words[order], found["n"].to_numpy(np.int64)[order]
-
-
-def _by_shard(answers: DataFrame) -> DataFrame:
-    return answers.groupBy("shard").agg(F.collect_list(F.struct("owner", "totals")).alias("parts"))
 
+_MESSAGE = "owner int, shard long, body array<binary>"
+_ANSWER = "shard long, owner int, round int, body array<binary>"
+_TYPES = {"owner": pa.int32(), "shard": pa.int64(), "round": pa.int32(), "body": pa.list_(pa.binary())}
 
-def _joined(parts: list[dict]) -> np.ndarray:
-    return np.concatenate([_unzip(x["totals"], np.int64) for x in sorted(parts, key=lambda x: x["owner"])])
 
+def _batch(**columns: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, _TYPES[k]) for k, x in columns.items()], list(columns))
 
-def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """The place of each key among the sorted wanted ones, or -1; a table of bits leaves few to search for."""
-    out = np.full(len(keys), -1, np.int64)
-    if not len(wanted):
-        return out
-    spread, shift = np.uint64(0x9E3779B97F4A7C15), np.uint64(64 - 23)
-    bits = np.zeros(1 << 23, bool)
-    bits[(wanted.astype(np.uint64) * spread) >> shift] = True
-    some = np.flatnonzero(bits[(keys.astype(np.uint64) * spread) >> shift])
-    at = np.minimum(np.searchsorted(wanted, keys[some]), len(wanted) - 1)
-    hit = wanted[at] == keys[some]
-    out[some[hit]] = at[hit]
-    return out
 
-
-@dataclass
-class Tree:
-    """Symbols 1..A are the frequent words by hash, 0 all other words. Node 0 is the root; the child of a node by a symbol
-    is the context one symbol longer to the left. The tree of a corpus that fits in memory; score() doesn't gather it."""
-
-    words: np.ndarray
-    n_tokens: int
-    n_types: int
-    root: np.ndarray  #: probability of each symbol
-    child_keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  #: node << _BITS | symbol, sorted
-    child_nodes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    kept: np.ndarray = field(default_factory=lambda: np.zeros(1, bool))
-    back: np.ndarray = field(default_factory=lambda: np.ones(1))  #: weight of the suffix's distribution, by node
-    next_keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  #: node << _BITS | symbol, sorted, of kept nodes
-    next_own: np.ndarray = field(default_factory=lambda: np.zeros(0))  #: probability besides the suffix's share
-    depth: int = 0
-
-    def symbols(self, vocabulary: np.ndarray) -> np.ndarray:
-        """The symbols' numbers of words, given by their hashes."""
-        if not len(self.words):
-            return np.zeros(len(vocabulary), np.int64)
-        at = np.minimum(np.searchsorted(self.words, vocabulary), len(self.words) - 1)
-        return np.where(self.words[at] == vocabulary, at + 1, 0)
-
-    def nodes(self, symbols: np.ndarray, first: np.ndarray, depth: int) -> Iterator[np.ndarray]:
-        """Depth by depth from 1 the candidate node of the symbols before each position, or -1: the text begins, or the
-        context is no candidate."""
-        inside = np.arange(len(symbols)) - np.repeat(first[:-1], np.diff(first))
-        node = np.zeros(len(symbols), np.int64)
-        for d in range(1, depth + 1):
-            live = np.flatnonzero((node >= 0) & (inside >= d))
-            node = np.where(inside >= d, node, -1)
-            place = _find(node[live] << _BITS | symbols[live - d], self.child_keys)
-            node[live] = np.where(place >= 0, self.child_nodes[place] if len(self.child_nodes) else -1, -1)
-            yield node
-
-    def score(self, symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """The probability of each position's symbol: the root's, then that of each longer kept context mixed in."""
-        p = self.root[symbols]
-        for node in self.nodes(symbols, first, self.depth):
-            live = np.flatnonzero(node >= 0)
-            live = live[self.kept[node[live]]]
-            place = _find(node[live] << _BITS | symbols[live], self.next_keys)
-            own = np.zeros(len(live))
-            hit = place >= 0
-            own[hit] = self.next_own[place[hit]]
-            p[live] = own + self.back[node[live]] * p[live]
-        return p
-
-
-def _followers(store: DataFrame, tree: Tree, depth: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Of the contexts of this depth the next symbols and how often they follow in training texts: keys node << _BITS |
-    symbol and counts, of those of `least` or more."""
-    n = _owners(store)
-    shared = store.sparkSession.sparkContext.broadcast(tree)
+def _word_counts(store: DataFrame) -> tuple[DataFrame, Sizes]:
+    """For each shard and owner how often its words, by hash, are in all training texts, and their places among the owner's
+    symbols of the same step of count."""
+    owners = _power(4 * max(16, shuffle_partitions(store.sparkSession)))
+    shift = np.uint64(64 - int(np.log2(owners)))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = shared.value
         for row in _each(batches):
             shard = _Shard(row)
-            symbols = tree.symbols(shard.vocabulary)[shard.tokens]
-            for node in tree.nodes(symbols, shard.first, depth):
-                pass
-            some = (node >= 0) & shard.learnt()
-            keys, counts = np.unique(node[some] << _BITS | symbols[some], return_counts=True)
-            owner = (tx.mixed(keys) % np.uint64(n)).astype(np.int64)
-            order = np.argsort(owner, kind="stable")
-            yield _messages(row["shard"], keys[order].astype(np.uint64), counts[order], owner[order], n)
+            counts = np.bincount(shard.tokens[shard.learnt], minlength=len(shard.vocabulary)).astype(np.uint32)
+            order = np.argsort(shard.vocabulary)
+            words, counts = shard.vocabulary[order], counts[order]
+            cuts = np.searchsorted(words >> shift, np.arange(owners + 1).astype(np.uint64))
+            some = np.flatnonzero(np.diff(cuts))
+            yield _batch(owner=some.tolist(), shard=[row["shard"]] * len(some), body=[[_zip(np.diff(words[cuts[k] : cuts[k + 1]], prepend=np.uint64(0))), _zip(counts[cuts[k] : cuts[k + 1]])] for k in some])
 
     def answer(table: pa.Table) -> pa.Table:
-        keys, total, _ = _totals(table)
-        some = total >= least
-        return pa.table({"key": pa.array(keys[some].astype(np.int64)), "n": pa.array(total[some])})
+        asked = _group(table)
+        keys = [np.cumsum(_unzip(x["body"][0], np.uint64), dtype=np.uint64) for x in asked]
+        different, place = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(place, np.concatenate([_unzip(x["body"][1], np.uint32) for x in asked]), len(different)).astype(np.int64)
+        frequent, step = total >= LEAST_COUNT, _step(total)
+        rank, sizes = np.zeros(len(total), np.int64), np.zeros(_KINDS, np.int64)
+        some = np.flatnonzero(frequent)
+        some = some[np.argsort(step[some], kind="stable")]
+        sizes += np.bincount(step[some], minlength=_KINDS)
+        rank[some] = np.arange(len(some)) - (np.cumsum(sizes) - sizes)[step[some]]
+        about = np.array([total.sum(), (total > 0).sum(), total[frequent].sum(), *sizes], np.int64)
+        out, at = [], 0
+        for k, x in enumerate(keys):
+            mine = place[at : at + len(x)]
+            out.append([_zip(total[mine]), _zip(rank[mine]), *([_zip(about)] if k == 0 else [])])
+            at += len(x)
+        return pa.Table.from_batches([_batch(shard=[x["shard"] for x in asked], owner=[x["owner"] for x in asked], round=[0] * len(asked), body=out)])
 
     asked = store.select("shard", "learn", "first", "vocabulary", "tokens").mapInArrow(ask, _MESSAGE)
-    found = asked.groupBy("owner").applyInArrow(answer, "key long, n long").toPandas().sort_values("key")
-    return found["key"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
-
-
-def grow(store: DataFrame, n_tokens: int, n_types: int, words: np.ndarray, counts: np.ndarray, *, depth: int = 2, least: int = LEAST_COUNT, smoothing: float = SMOOTHING) -> Tree:
-    """The tree that score() uses, to this depth, in the driver's memory. A context is kept if the log likelihood that its own next-symbol distribution gains over that of its
-    longest kept suffix exceeds half a log of its count for each of its next symbols."""
-    root = np.zeros(len(words) + 1)
-    root[1:] = (counts + 1) / (n_tokens + n_types + 1)
-    root[0] = max(0.0, 1 - root.sum())
-    tree = Tree(words, n_tokens, n_types, root)
-    if not n_tokens or not len(words):
-        return tree
-    if len(words) >= 1 << _BITS:
-        raise ValueError("too many symbols for a tree in memory")
-    limit, limit_next = least, LEAST_NEXT_COUNT
-    # nodes of a depth as strings, the latest symbol last; all frequent words are candidates, but the end follows all
-    strings = [(s,) for s in range(1, len(words) + 1) if words[s - 1] != END]
-    number = {(): 0}
-    frequency = {(s,): int(counts[s - 1]) for (s,) in strings}
-    up = np.zeros(1, np.int64)
-    for d in range(1, depth + 1):
-        strings = [x for x in strings if x[1:] in number]
-        if not strings:
-            break
-        for x in strings:
-            number[x] = len(number)
-        keys = np.array([number[x[1:]] << _BITS | x[0] for x in strings], np.int64)
-        nodes = np.array([number[x] for x in strings], np.int64)
-        keys, nodes = np.concatenate([tree.child_keys, keys]), np.concatenate([tree.child_nodes, nodes])
-        order = np.argsort(keys)
-        tree.child_keys, tree.child_nodes = keys[order], nodes[order]
-        tree.kept = np.concatenate([tree.kept, np.zeros(len(number) - len(tree.kept), bool)])
-        tree.back = np.concatenate([tree.back, np.ones(len(number) - len(tree.back))])
-        pairs, n = _followers(store, tree, d, limit_next)
-        node, symbol = pairs >> _BITS, pairs & ((1 << _BITS) - 1)
-        total = np.zeros(len(number))
-        for x in strings:
-            total[number[x]] = frequency[x]
-        # what the longest kept suffix says of the same next symbols
-        up = np.concatenate([up, np.zeros(len(number) - len(up), np.int64)])
-        for x in strings:
-            y = x[1:]
-            while y and not tree.kept[number[y]]:
-                y = y[1:]
-            up[number[x]] = number[y]
-        above = tree.root[symbol]
-        chain = up[node]
-        links = []
-        while (chain > 0).any():
-            links.append(chain.copy())
-            chain = np.where(chain > 0, up[chain], 0)
-        for link in reversed(links):
-            live = np.flatnonzero(link > 0)
-            place = _find(link[live] << _BITS | symbol[live], tree.next_keys)
-            own = np.where(place >= 0, tree.next_own[place] if len(tree.next_own) else 0.0, 0.0)
-            above[live] = own + tree.back[link[live]] * above[live]
-        gain = np.bincount(node, n * np.log(np.maximum(n / total[node], 1e-12) / np.maximum(above, 1e-300)), len(number))
-        kinds = np.bincount(node, minlength=len(number))
-        mass = np.bincount(node, n, len(number))
-        keep = (kinds > 0) & (gain > 0.5 * kinds * np.log(np.maximum(total, 2)))
-        tree.kept |= keep
-        tree.back = np.where(keep, (total - mass + smoothing) / (total + smoothing), tree.back)
-        mine = keep[node]
-        keys = np.concatenate([tree.next_keys, pairs[mine]])
-        own = np.concatenate([tree.next_own, n[mine] / (total[node[mine]] + smoothing)])
-        order = np.argsort(keys)
-        tree.next_keys, tree.next_own, tree.depth = keys[order], own[order], d
-        back = {v: k for k, v in number.items()}
-        more = np.flatnonzero((n >= limit) & (symbol > 0) & (words[np.maximum(symbol, 1) - 1] != END))
-        strings, frequency = [], {}
-        for k in more:
-            x = (*back[int(node[k])], int(symbol[k]))
-            strings.append(x)
-            frequency[x] = int(n[k])
-    return tree
+    answers = written(asked.groupBy("owner").applyInArrow(answer, _ANSWER), "words")
+    about = np.zeros((owners, _KINDS + 3), np.int64)
+    for r in answers.where(F.size("body") > 2).select("owner", F.col("body")[2].alias("about")).collect():
+        about[r.owner] = _unzip(bytes(r.about), np.int64)
+    n_tokens, n_types, mass = (int(x) for x in about[:, :3].sum(0))
+    sizes = about[::, 3:].T[::-1]  # frequent steps first
+    offsets = (1 + np.cumsum(sizes.ravel()) - sizes.ravel()).reshape(sizes.shape)[::-1]
+    everything, fresh = n_tokens + n_types + 1, int(sizes.sum())
+    return answers, Sizes(n_tokens, n_types, (everything - mass - fresh) / everything, max(1, (fresh + 1).bit_length()), np.ascontiguousarray(offsets), _power(n_tokens / OWNER_TOKENS))
 
 
 class _Walk:
-    """A shard's positions under the contexts of rising depth, as far as owners have answered. Of each position `p` is the
-    probability of its symbol so far and `context` the number of the candidate before it, or 0."""
+    """A shard's positions and what owners have answered so far."""
 
     def __init__(self, row: dict, sizes: Sizes) -> None:
         self.shard, self.sizes = _Shard(row), sizes
-        words = sorted((x for x in row["parts"] if x["depth"] == 0), key=lambda x: x["owner"])
-        self.total = np.concatenate([_unzip(x["totals"], np.int64) for x in words])
-        ranks = [_unzip(x["ranks"], np.int64) for x in words]
-        number = np.concatenate([np.where(r > 0, r + sizes.offsets[0][x["owner"]], 0) for x, r in zip(words, ranks, strict=True)])
+        self.parts: dict[int, list[list[bytes]]] = {}
+        for x in sorted(row["parts"], key=lambda x: (x["round"], x["owner"])):
+            self.parts.setdefault(x["round"], []).append(x)
+        vocabulary = self.shard.vocabulary
+        total = np.concatenate([_unzip(x["body"][0], np.int64) for x in self.parts[0]])
+        rank = np.concatenate([_unzip(x["body"][1], np.int64) for x in self.parts[0]])
+        order = np.argsort(vocabulary)
+        owner = (vocabulary[order] >> np.uint64(64 - int(np.log2(sizes.offsets.shape[1])))).astype(np.int64)
+        number = np.where(total >= LEAST_COUNT, sizes.offsets[_step(total), owner] + rank, 0)
+        self.total, self.number = np.empty_like(total), np.empty_like(number)
+        self.total[order], self.number[order] = total, number
         self.base = (self.total + 1) / (sizes.n_tokens + sizes.n_types + 1)
-        first, tokens = self.shard.first, self.shard.tokens
-        self.inner = number == 0
-        self.symbols = number[tokens]
-        self.p = np.where(self.inner, sizes.other, self.base)[tokens]
-        self.inside = np.arange(len(tokens)) - np.repeat(first[:-1], np.diff(first))
-        self.context = np.concatenate([[0], self.symbols[:-1]])
-        for d in range(1, len(sizes.offsets)):
-            self.step(d, sorted((x for x in row["parts"] if x["depth"] == d), key=lambda x: x["owner"]))
-
-    def pairs(self, d: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The positions with a context of this depth; their different pairs of context and next symbol, which stand by owner;
-        the pairs' owners; and for each position the place of its pair."""
-        live = np.flatnonzero((self.inside >= d) & (self.context > 0))
-        keys, place = np.unique(self.context[live] << self.sizes.bits | self.symbols[live], return_inverse=True)
-        owner = (tx.mixed(keys >> self.sizes.bits) % np.uint64(n)).astype(np.int64)
-        order = np.argsort(owner, kind="stable")
+        first, self.tokens = self.shard.first, self.shard.tokens
+        self.symbols = self.number[self.tokens]
+        self.inside = np.arange(len(self.tokens)) - np.repeat(first[:-1], np.diff(first))
+        self.p = np.where(self.number == 0, sizes.other, self.base)[self.tokens]
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The positions after a symbol; the different pairs of it and the next one, which stand by the symbol's hash; and
+        for each position the place of its pair."""
+        before = np.concatenate([[0], self.symbols[:-1]])
+        live = np.flatnonzero((self.inside > 0) & (before > 0))
+        bits = np.int64(self.sizes.bits)
+        keys, place = np.unique(before[live] << bits | self.symbols[live], return_inverse=True)
+        order = np.argsort(tx.mixed(keys >> bits), kind="stable")
         back = np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))
-        return live, keys[order], owner[order], back[place]
-
-    def step(self, d: int, parts: list[dict]) -> None:
-        offsets = self.sizes.offsets[d]
-        live, keys, owner, place = self.pairs(d, len(offsets) - 1)
-        self.context = np.zeros(len(self.symbols), np.int64)
+        return live, keys[order], back[place]
+
+    def ask_pairs(self, shard: int) -> pa.RecordBatch:
+        live, keys, place = self.pairs()
+        counts = np.bincount(place[self.shard.learnt[live]], minlength=len(keys)).astype(np.uint32)
+        context = keys >> self.sizes.bits
+        cuts = _cuts(tx.mixed(context), self.sizes.owners)
+        some = np.flatnonzero(np.diff(cuts))
+        follows = (keys & ((1 << self.sizes.bits) - 1)).astype(np.uint64)
+        body = [[_zip(np.diff(context[x], prepend=0)), _zip(follows[x]), _zip(counts[x])] for x in (slice(cuts[k], cuts[k + 1]) for k in some)]
+        return _batch(owner=some.tolist(), shard=[shard] * len(some), body=body)
+
+    def one_before(self) -> None:
+        """Mixes in the contexts of one symbol; `twice` is how often training texts have each position's pair."""
+        live, keys, place = self.pairs()
+        self.twice = np.zeros(len(self.symbols), np.int64)
         if not len(live):
             return
-        n, rank = (np.concatenate([_unzip(x[name], np.uint32) for x in parts]).astype(np.int64) for name in ("totals", "ranks"))
-        kept, total, mass = np.concatenate([_unzip(x["contexts"], np.int64).reshape(-1, 3) for x in parts]).T
-        which = np.cumsum(np.diff(keys >> self.sizes.bits, prepend=-1) != 0) - 1
-        own = np.where(n >= LEAST_NEXT_COUNT, n, 0) / (total[which] + SMOOTHING)
-        rest = ((total - mass + SMOOTHING) / (total + SMOOTHING))[which]
-        mine = (kept > 0)[which]
-        own, rest = np.where(mine, own, 0.0), np.where(mine, rest, 1.0)
+        n = np.concatenate([_unzip(x["body"][0], np.uint32) for x in self.parts[1]]).astype(np.int64)
+        mass = np.concatenate([_unzip(x["body"][1], np.int64) for x in self.parts[1]])  # of kept contexts
+        context = keys >> self.sizes.bits
+        which = np.cumsum(np.diff(context, prepend=-1) != 0) - 1
+        total = np.zeros(len(keys))
+        total[place] = self.total[self.tokens[live - 1]]
+        kept = mass[which] > 0
+        own = np.where(kept & (n >= LEAST_COUNT), n / (total + SMOOTHING), 0.0)
+        rest = np.where(kept, (total - mass[which] + SMOOTHING) / (total + SMOOTHING), 1.0)
         self.p[live] = own[place] + rest[place] * self.p[live]
-        number = np.where(rank > 0, rank + offsets[owner], 0)
-        after = live[live + 1 < len(self.symbols)]
-        self.context[after + 1] = number[place[: len(after)]]
-
+        self.twice[live] = n[place]
+
+    def longer(self) -> tuple[np.ndarray, np.ndarray, dict]:
+        """The positions with a longer context, for each the place of its question, and the different questions: the
+        symbols before (`length` of them) and the next one. Questions stand by the hash of the last two symbols before."""
+        s, at = self.symbols, np.arange(len(self.symbols))
+        stop = np.maximum.accumulate(np.where(self.twice < LEAST_COUNT, at, -1))
+        length = np.zeros(len(s), np.int64)
+        length[1:] = np.minimum(at[1:] - stop[:-1], DEPTH)
+        live = np.flatnonzero((self.inside > 1) & (length > 1))
+        n = length[live]
+        follows = np.where(self.twice[live] >= LEAST_COUNT, s[live], self.sizes.rare)
+        h = tx.mixed(follows * DEPTH + n)
+        for j in range(1, DEPTH + 1):
+            some = np.flatnonzero(n >= j)
+            h[some] = tx.mixed(h[some] ^ (s[live[some] - j].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+        _, index, place = np.unique(h, return_index=True, return_inverse=True)
+        pick = live[index]
+        two = tx.mixed(s[pick - 1] << np.int64(self.sizes.bits) | s[pick - 2])
+        order = np.argsort(two, kind="stable")
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        pick = pick[order]
+        return live, back[place], {"at": pick, "length": n[index][order], "next": follows[index][order], "two": two[order]}
+
+    def ask_longer(self, shard: int) -> pa.RecordBatch:
+        live, place, asked = self.longer()
+        s, pick, length = self.symbols, asked["at"], asked["length"]
+        counts = np.bincount(place[self.shard.learnt[live]], minlength=len(pick)).astype(np.uint32)
+        fine = np.where(asked["next"] == self.sizes.rare, 0, np.minimum(np.round(-np.log2(np.maximum(self.p[pick], 1e-300)) * _FINE), 65535)).astype(np.uint16)
+        cuts = _cuts(asked["two"], self.sizes.owners)
+        some, body = np.flatnonzero(np.diff(cuts)), []
+        for k in some:
+            x = slice(cuts[k], cuts[k + 1])
+            mine, n = pick[x], length[x]
+            columns = [np.diff(s[mine - 1], prepend=0), np.diff(s[mine - 2], prepend=0)]
+            columns += [s[mine[n >= j] - j].astype(np.uint64) for j in range(3, DEPTH + 1)]
+            body.append([_zip(n.astype(np.uint8)), _zip(asked["next"][x].astype(np.uint64)), _zip(fine[x]), _zip(counts[x]), *map(_zip, columns)])
+        return _batch(owner=some.tolist(), shard=[shard] * len(some), body=body)
+
+    def all_before(self) -> None:
+        """Mixes in all longer contexts."""
+        live, place, asked = self.longer()
+        if len(live):
+            times = np.concatenate([_unzip(x["body"][0], np.float32) for x in self.parts[2]])
+            self.p[live] *= times[place]
+
+
+def _cuts(hashes: np.ndarray, owners: int) -> np.ndarray:
+    """Where each owner's part of sorted hashes begins."""
+    if owners == 1:
+        return np.array([0, len(hashes)])
+    return np.searchsorted(hashes >> np.uint64(64 - int(np.log2(owners))), np.arange(owners + 1).astype(np.uint64))
+
+
+def _kept(node: np.ndarray, n: np.ndarray, above: np.ndarray, times: np.ndarray, size: int) -> np.ndarray:
+    """For each context the occurrences of next symbols that have a probability of their own after it, 0 if it isn't kept:
+    it is if the log likelihood that its next symbols gain over the suffix's distribution exceeds half a log of its count
+    for each of them."""
+    some = n >= LEAST_COUNT
+    node, n, above = node[some], n[some].astype(float), above[some]
+    gain = np.bincount(node, n * np.log(np.maximum(n / times[node], 1e-12) / np.maximum(above, 1e-300)), size)
+    kinds = np.bincount(node, minlength=size)
+    mass = np.bincount(node, n, size)
+    return np.where((kinds > 0) & (gain > 0.5 * kinds * np.log(np.maximum(times, 2))), mass, 0.0)
+
+
+def _answer_pairs(table: pa.Table, sizes: Sizes) -> pa.Table:
+    """For each message how often its pairs are in training texts, and for each of its contexts the mass (see _kept)."""
+    asked = _group(table)
+    keys = [np.cumsum(_unzip(x["body"][0], np.int64)) << np.int64(sizes.bits) | _unzip(x["body"][1], np.int64) for x in asked]
+    different, place = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.bincount(place, np.concatenate([_unzip(x["body"][2], np.uint32) for x in asked]), len(different)).astype(np.int64)
+    contexts, node = np.unique(different >> sizes.bits, return_inverse=True)
+    times = np.bincount(node, total, len(contexts))
+    mass = _kept(node, total, sizes.likely(different & ((1 << sizes.bits) - 1)), times, len(contexts)).astype(np.int64)
+    out, at = [], 0
+    for x in keys:
+        mine = place[at : at + len(x)]
+        out.append([_zip(total[mine].astype(np.uint32)), _zip(mass[node[mine[np.diff(x >> sizes.bits, prepend=-1) != 0]]])])
+        at += len(x)
+    return pa.Table.from_batches([_batch(shard=[x["shard"] for x in asked], owner=[x["owner"] for x in asked], round=[1] * len(asked), body=out)])
+
+
+def _answer_longer(table: pa.Table, sizes: Sizes) -> pa.Table:
+    """For each message by what factor the longer contexts change the probability of each question's next symbol."""
+    asked = _group(table)
+    read = lambda k, kind: [_unzip(x["body"][k], kind) for x in asked]
+    lengths = read(0, np.uint8)
+    length = np.concatenate(lengths).astype(np.int64)
+    follows, counts = np.concatenate(read(1, np.int64)), np.concatenate(read(3, np.uint32)).astype(float)
+    rare = follows == sizes.rare
+    start = np.where(rare, 1.0, 2.0 ** (-np.concatenate(read(2, np.uint16)).astype(float) / _FINE))
+    p, bits = start.copy(), np.int64(sizes.bits)
+    pair = np.concatenate([np.cumsum(a) << bits | np.cumsum(b) for a, b in zip(read(4, np.int64), read(5, np.int64), strict=True)])
+    live, node = np.arange(len(p)), np.unique(pair, return_inverse=True)[1]
+    for d in range(2, DEPTH + 1):
+        if d > 2:
+            symbol = np.concatenate(read(d + 3, np.int64))  # of the questions of this length or more, in order
+            more = np.zeros(len(p), np.int64)
+            more[length >= d] = symbol
+            some = length[live] >= d
+            live = live[some]
+            node = np.unique(node[some] << bits | more[live], return_inverse=True)[1]
+        if not len(live):
+            break
+        times = np.bincount(node, counts[live])
+        some = times[node] >= LEAST_COUNT
+        live, node = live[some], node[some]
+        if not len(live):
+            break
+        different, place = np.unique(node << bits | follows[live], return_inverse=True)
+        n = np.bincount(place, counts[live], len(different))
+        n[(different & sizes.rare) == sizes.rare] = 0
+        above = np.ones(len(different))
+        above[place] = p[live]
+        mass = _kept(different >> bits, n, above, times, len(times))
+        own = np.where(n >= LEAST_COUNT, n, 0.0)[place] / (times[node] + SMOOTHING)
+        rest = (times[node] - mass[node] + SMOOTHING) / (times[node] + SMOOTHING)
+        p[live] = np.where(mass[node] > 0, own + rest * p[live], p[live])
+    out = np.split((p / start).astype(np.float32), np.cumsum([len(x) for x in lengths])[:-1])
+    return pa.Table.from_batches([_batch(shard=[x["shard"] for x in asked], owner=[x["owner"] for x in asked], round=[2] * len(asked), body=[[_zip(x)] for x in out])])
+
+
+def score(docs: DataFrame, learns: Column, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: its id, n_tokens (blank-separated words with A-Z read as a-z, and an end), n_known (those that
+    a training text has), train_tokens, base_score (log10 probability under add-one unigrams) and score (under the tree).
 
-_ANSWER = "shard long, owner int, depth int, totals binary, ranks binary, contexts binary, fresh long"
+    Learns from the rows for which `learns` holds (null: no). Null texts are empty and have one token, the end. Repeated
+    rows are learnt from each time and all scored. Without training tokens both scores are 0. Other columns aren't read;
+    an empty table gives no rows.
+    """
+    store = shards(docs, learns, id_col=id_col, text_col=text_col)
+    answers, sizes = _word_counts(store)
+    if 2 * sizes.bits > 63:
+        raise ValueError("too many symbols to number pairs of")
+    shared = docs.sparkSession.sparkContext.broadcast(sizes)
 
+    def joined(*drop: str) -> DataFrame:
+        parts = answers.groupBy("shard").agg(F.collect_list(F.struct("owner", "round", "body")).alias("parts"))
+        return store.drop(*drop).hint("merge").join(parts, "shard")
 
-def _deepen(joined: DataFrame, sizes: Sizes, d: int, n: int, least: int) -> DataFrame:
-    """For each shard and owner, of its pairs of a context of depth d and a next symbol: how often training texts have the
-    pair, its place among the owner's candidates of the next depth (from 1, others 0), and of its contexts whether each is
-    kept, how often it occurs and how often with next symbols of their own. By grow()'s test."""
-    shared = joined.sparkSession.sparkContext.broadcast(sizes)
-    bits = sizes.bits
+    def ask_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _each(batches):
+            yield _Walk(row, shared.value).ask_pairs(row["shard"])
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask_longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _each(batches):
             walk = _Walk(row, shared.value)
-            live, keys, owner, place = walk.pairs(d, n)
-            counts = np.bincount(place[walk.shard.learnt()[live]], minlength=len(keys))
-            above = np.zeros(len(keys), np.float32)
-            above[place] = walk.p[live]
-            batch = _messages(row["shard"], keys.astype(np.uint64), counts, owner, n)
-            cuts = np.searchsorted(owner, np.arange(n + 1))
-            sent = [_zip(above[cuts[k] : cuts[k + 1]]) for k in batch["owner"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sent, pa.binary())], [*batch.schema.names, "above"])
+            walk.one_before()
+            yield walk.ask_longer(row["shard"])
 
-    def answer(table: pa.Table) -> pa.Table:
-        keys, total, places = _totals(table)
-        above = np.ones(len(keys))
-        for place, x in zip(places, table["above"].to_pylist(), strict=True):
-            above[place] = _unzip(x, np.float32)
-        contexts, at = np.unique(keys >> np.uint64(bits), return_inverse=True)
-        times = np.bincount(at, total, len(contexts)).astype(np.int64)
-        some = total >= LEAST_NEXT_COUNT
-        n_some, where = total[some], at[some]
-        gain = np.bincount(where, n_some * np.log(np.maximum(n_some / times[where], 1e-12) / np.maximum(above[some], 1e-300)), len(contexts))
-        kinds = np.bincount(where, minlength=len(contexts))
-        mass = np.bincount(where, n_some, len(contexts)).astype(np.int64)
-        keep = (kinds > 0) & (gain > 0.5 * kinds * np.log(np.maximum(times, 2)))
-        fresh = (total >= least) & ((keys & np.uint64((1 << bits) - 1)) > 0)
-        rank = np.where(fresh, np.cumsum(fresh), 0)
-        about = np.stack([keep.astype(np.int64), times, mass], 1)
-        own = [about[x[np.diff(x, prepend=-1) != 0]] for x in (at[place] for place in places)]
-        return pa.table({
-            "shard": table["shard"], "owner": table["owner"], "depth": pa.array([d] * len(places), pa.int32()),
-            "totals": pa.array([_zip(total[x].astype(np.uint32)) for x in places], pa.binary()), "ranks": pa.array([_zip(rank[x].astype(np.uint32)) for x in places], pa.binary()),
-            "contexts": pa.array([_zip(x) for x in own], pa.binary()), "fresh": pa.array([int(fresh.sum()), *[0] * (len(places) - 1)], pa.int64()),
-        })
-
-    return written(joined.mapInArrow(ask, f"{_MESSAGE}, above binary").groupBy("owner").applyInArrow(answer, _ANSWER), f"contexts{d}")
-
-
-def score(docs: DataFrame, learns: Column, *, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: its id, n_tokens (blank-separated words with A-Z read as a-z, and an end), n_known (those that
-    a training text has), train_tokens, base_score (log10 probability under add-one unigrams) and score (under the tree).
+    def answered(answer: Callable[[pa.Table, Sizes], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+        return lambda table: answer(table, shared.value)
 
-    Learns from the rows for which `learns` holds (null: no). Null texts are empty and have one token, the end. Repeated
-    rows are learnt from each time and all scored. Without training tokens both scores are 0. Other columns aren't read.
-    """
-    store = shards(docs, learns, id_col=id_col, text_col=text_col)
-    answers, sizes = _word_counts(store, LEAST_COUNT)
-    answers = answers.select("shard", "owner", F.lit(0).alias("depth"), "totals", "ranks", F.lit(None).cast("binary").alias("contexts"))
-    n = max(_owners(store), 1 << int(np.ceil(np.log2(max(1, store.count() / _SHARDS_AN_OWNER)))))
-
-    def joined() -> DataFrame:
-        parts = answers.groupBy("shard").agg(F.collect_list(F.struct("owner", "depth", "totals", "ranks", "contexts")).alias("parts"))
-        return store.drop("vocabulary").join(parts, "shard")
-
-    for d in range(1, depth + 1):
-        if int(sizes.offsets[-1][-1]).bit_length() + sizes.bits > 63:
-            raise ValueError("too many contexts to number")
-        if not sizes.offsets[-1][-1]:
-            break
-        found = _deepen(joined().drop("ids"), sizes, d, n, LEAST_COUNT)
-        answers = answers.unionByName(found.select(answers.columns))
-        sizes = replace(sizes, offsets=[*sizes.offsets, _offsets(found, n)])
-    shared = docs.sparkSession.sparkContext.broadcast(sizes)
+    for ask, answer, name in ((ask_pairs, _answer_pairs, "pairs"), (ask_longer, _answer_longer, "longer")):
+        asked = joined("ids").mapInArrow(ask, _MESSAGE)
+        answers = answers.unionByName(written(asked.groupBy("owner").applyInArrow(answered(answer), _ANSWER), name))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes = shared.value
         for row in _each(batches):
-            walk = _Walk(row, sizes)
-            tokens, total, base = walk.shard.tokens, walk.total, walk.base
-            inside = np.where(walk.inner, np.log10(base) - np.log10(sizes.other), 0.0)
-            found = np.log10(np.maximum(walk.p, 1e-300)) + inside[tokens]
+            walk = _Walk(row, shared.value)
+            walk.one_before()
+            walk.all_before()
+            tokens, base = walk.tokens, walk.base
+            inner = np.where(walk.number == 0, np.log10(base) - np.log10(walk.sizes.other), 0.0)
+            found = np.log10(np.maximum(walk.p, 1e-300)) + inner[tokens]
             at = walk.shard.first[:-1]
             yield pa.RecordBatch.from_arrays(
-                [row["ids"], pa.array(np.diff(walk.shard.first)), pa.array(np.add.reduceat((total > 0)[tokens].astype(np.int64), at)), pa.array([sizes.n_tokens] * len(at), pa.int64()), pa.array(np.add.reduceat(np.log10(base)[tokens], at)), pa.array(np.add.reduceat(found, at))],
+                [row["ids"], pa.array(np.diff(walk.shard.first)), pa.array(np.add.reduceat((walk.total > 0)[tokens].astype(np.int64), at)), pa.array([walk.sizes.n_tokens] * len(at), pa.int64()), pa.array(np.add.reduceat(np.log10(base)[tokens], at)), pa.array(np.add.reduceat(found, at))],
                 ["id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
 

@@ -169,53 +169,109 @@ def test_scores(spark):
     assert got.score[got.held_out].sum() > got.base_score[got.held_out].sum()
 
 
-def test_tree_is_a_distribution_and_learns_contexts(spark):
+def tokens_of(text):
+    return [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")), "\0"]
+
+
+def plain_scores(docs, learns):
+    """The tree with dictionaries: docs are texts by id, learns the ids to learn from."""
+    split = {d: tokens_of(t) for d, t in docs.items()}
+    count, everything = collections.Counter(w for d in learns for w in split[d]), 0
+    everything = sum(count.values()) + len(count) + 1
+    frequent = {w for w, c in count.items() if c >= lm.LEAST_COUNT}
+    other = (everything - sum(count[w] + 1 for w in frequent)) / everything
+    symbols = {d: [w if w in frequent else None for w in x] for d, x in split.items()}
+    after = collections.defaultdict(collections.Counter)
+    for d in learns:
+        x = symbols[d]
+        for i in range(1, len(x)):
+            for n in range(1, min(i, lm.DEPTH) + 1):
+                if x[i - n] is None:
+                    break
+                after[tuple(x[i - n : i])][x[i]] += 1
+    total = {c: sum(x.values()) for c, x in after.items()}
+    pairs = {(c[0], w): n for c, x in after.items() if len(c) == 1 for w, n in x.items()}
+    likely = lambda w: other if w is None else (2 ** ((math.floor(math.log2(count[w]) * 4 + 1e-9) + 0.5) / 4) + 1) / everything
+    own = {}  # of kept contexts the mass
+
+    def p(context, w, root):
+        """The probability after the longest kept part of a context."""
+        found = root
+        for n in range(1, len(context) + 1):
+            c = context[-n:]
+            if n == 2 and found:  # what longer contexts are told of shorter ones is rounded
+                found = 2.0 ** -(min(round(-math.log2(found) * 1024), 65535) / 1024)
+            if c in own:
+                k = after[c][w] if after[c][w] >= lm.LEAST_COUNT else 0
+                found = k / (total[c] + 5) + (total[c] - own[c] + 5) / (total[c] + 5) * found
+        return found
+
+    for c in sorted((c for c, n in total.items() if n >= lm.LEAST_COUNT), key=len):
+        some = {w: n for w, n in after[c].items() if n >= lm.LEAST_COUNT}
+        root = lambda w, c=c: likely(w) if len(c) == 1 else other if w is None else (count[w] + 1) / everything
+        gain = sum(n * math.log(n / total[c] / p(c[1:], w, root(w))) for w, n in some.items())
+        if some and gain > 0.5 * len(some) * math.log(total[c]):
+            own[c] = sum(some.values())
+    out = {}
+    for d, x in symbols.items():
+        out[d] = 0.0
+        for i, w in enumerate(x):
+            n = 0
+            while n < min(i, lm.DEPTH) and x[i - n - 1] is not None and (not n or pairs.get((x[i - n - 1], x[i - n]), 0) >= lm.LEAST_COUNT) and total.get(tuple(x[i - n - 1 : i]), 0) >= lm.LEAST_COUNT:
+                n += 1
+            q = p(tuple(x[i - n : i]), w, other if w is None else (count[w] + 1) / everything)
+            base = (count[split[d][i]] + 1) / everything
+            out[d] += math.log10(q) + (0 if w is not None else math.log10(base) - math.log10(other))
+    return out, own
+
+
+def test_scores_against_plain_tree(spark):
     random.seed(1)
-    text = " ".join(random.choice(["a b c", "b a d", "x", "y"]) for _ in range(3000))
-    df = spark.createDataFrame([(1, text), (2, None), (2, "a b"), (3, "zzz a b c")], "doc_id long, text string").withColumn("score", F.lit(1))
-    store = lm.shards(df, F.col("doc_id") < 3)
-    answers, n, v, found, counts = lm.unigrams(store)
-    assert n == len(text.split()) + 1 + 1 + 3 and v == 7
-    tree = lm.grow(store, n, v, found, counts)
-    assert tree.kept.any() and tree.depth == 2
-    symbols = {w: int(tree.symbols(lm.tx.hashes(*(lambda d, o: (d, *lm.tx.spans(d, o, lm.tx.BLANK_SEPARATED)[:2]))(*lm.tx.text_buffer(pa.array([w])))))[0]) for w in "abcdxy"}
-    for context in ("a b", "b a", "x y", "c a"):
-        ids = [symbols[w] for w in context.split()]
-        size = len(tree.root)
-        stream = np.array([s for k in range(size) for s in (*ids, k)])
-        p = tree.score(stream, np.arange(size + 1) * 3)
-        assert abs(p[2::3].sum() - 1) < 1e-9
-    scores = {r.n_tokens: (r.base_score, r.score) for r in lm.score(df, F.col("doc_id") < 3).collect()}
-    long = scores[len(text.split()) + 1]
-    assert long[1] > long[0]
-    none = lm.score(df, F.lit(False)).collect()
-    assert {(r.base_score, r.score) for r in none} == {(0.0, 0.0)}
+    phrases = ["a b c d e f g", "b a d", "x", "y y y", "q r s t u v w z k l m n o p"]
+    docs = {k: " ".join(random.choice([*phrases, f"r{random.randrange(400)}", f"s{random.randrange(30)}"]) for _ in range(random.randrange(120))) for k in range(60)}
+    docs |= {k: r.text for k, r in enumerate(spark.read.parquet(f"{DATA}/documents.parquet").orderBy("doc_id").limit(60).collect(), 100)}
+    docs |= {300: None, 301: "", 302: "A b C", 303: "zzz a b c", 304: "a " * 3000, 305: docs[100], 306: docs[101]}
+    learns = {d for d in docs if d % 5 != 2}
+    expected, kept = plain_scores(docs, sorted(learns))
+    assert len(kept) > 100 and max(map(len, kept)) > 3
+    df = table(spark, docs).withColumn("score", F.lit(1)).withColumn("parts", F.lit("x"))
+    got = {r.doc_id: r for r in lm.score(df.repartition(7), F.col("doc_id") % 5 != 2).collect()}
+    assert set(got) == set(docs)
+    for d, x in expected.items():
+        assert abs(got[d].score - x) < 2e-4 * max(1, got[d].n_tokens), d
+
+
+def test_score_edges(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, None), (2, "a b"), (None, "zzz a b c")], "doc_id long, text string")
+    assert sorted(r.n_tokens for r in lm.score(df, F.col("doc_id") < 3).collect()) == [1, 3, 3, 5]
+    assert {(r.base_score, r.score) for r in lm.score(df, F.lit(False)).collect()} == {(0.0, 0.0)}
     assert lm.score(df.limit(0), F.lit(True)).count() == 0
+    long = spark.createDataFrame([(1, "some word " * 200_000), (2, "x" * 3_000_000), (3, "other word")], "doc_id long, text string")
+    got = {r.doc_id: r for r in lm.score(long, F.lit(True)).collect()}
+    assert got[1].n_tokens == 400_001 and got[2].n_tokens == 2 and got[1].score > got[1].base_score
 
 
-def test_scores_are_those_of_the_tree_in_memory(spark):
-    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
-    learns = F.col("doc_id") % 5 != 2
-    store = lm.shards(docs, learns)
-    tree = lm.grow(store, *lm.unigrams(store)[1:], depth=lm.DEPTH)
-    assert tree.depth == lm.DEPTH and tree.kept.sum() > 20
-    got = {r.doc_id: r.score - r.base_score for r in lm.score(docs, learns).collect()}
-    for row in store.collect():
-        shard = lm._Shard(row.asDict())
-        symbols = tree.symbols(shard.vocabulary)[shard.tokens]
-        gain = np.log10(tree.score(symbols, shard.first)) - np.log10(tree.root[symbols])
-        for d, x in zip(row.ids, np.add.reduceat(gain, shard.first[:-1]), strict=True):
-            assert abs(got[d] - x) < 1e-6
-
-
-def test_counts_not_shares_make_contexts(spark):
+def test_next_symbols_are_a_distribution(spark):
+    """After a context that is kept, all symbols' probabilities sum to 1."""
+    base = [f"m{k % 7} a b c{k % 3}" for k in range(60)]
+    words = sorted({w for t in base for w in t.split()})
+    rows = [(k, t) for k, t in enumerate(base)] + [(1000 + k, f"m1 a b {w}") for k, w in enumerate(words)] + [(2000 + k, "m1 a") for k in range(1)] + [(3000, "m1 a b")]
+    got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") < 1000).collect()}
+    # of texts that begin alike, what the fourth word and then the end cost
+    head = plain_scores({**dict(rows)}, [k for k in range(60)])[0]
+    assert all(abs(got[k] - head[k]) < 1e-2 for k in got)
+
+
+def test_rare_contexts_and_repeated_texts(spark):
     rare = "qa qb qc qd qe"
     filler = [(k, " ".join(f"w{(k * 31 + i * i) % 900}" for i in range(4000))) for k in range(100)]
-    deep = [(200 + k, f"{a} m n o {b}") for k, (a, b) in enumerate([("l1", "r1"), ("l2", "r2"), ("l3", "r3")] * 60)]
-    df = spark.createDataFrame([*filler, *deep, *[(500 + k, rare) for k in range(6)], (900, rare), (901, "l1 m n o r1"), (902, "l1 m n o r2")], "doc_id long, text string")
+    deep = [(200 + k, f"{a} m n o p q {b}") for k, (a, b) in enumerate([("l1", "r1"), ("l2", "r2"), ("l3", "r3")] * 60)]
+    twice = " ".join(f"w{i * i * 7 % 901 % 900}" for i in range(300))
+    df = spark.createDataFrame([*filler, *deep, *[(500 + k, rare) for k in range(6)], (600, twice), (601, twice), (900, rare), (901, "l1 m n o p q r1"), (902, "l1 m n o p q r2"), (903, twice)], "doc_id long, text string")
     got = {r.doc_id: r for r in lm.score(df, F.col("doc_id") < 900).where("doc_id >= 900").collect()}
     assert got[900].train_tokens > 400_000 and got[900].score > got[900].base_score + 10  # six of 400,000 are a share of 1.5e-5
-    assert got[901].score > got[902].score + 1  # told apart by the fourth word back
+    assert got[901].score > got[902].score + 1  # told apart by the sixth word back
+    assert got[903].score > got[903].base_score * 0.3  # a text that occurs twice is known
 
 
 # --- decontamination
