@@ -52,4 +52,10 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-__all__ = ["F", "fresh", "read_table", "rows_of", "shared_folder", "shuffle_partitions", "written"]
+def scanned_bytes(df: DataFrame) -> int:
+    """About the bytes of the files behind df, as the optimizer sees them; 0 if it can't tell."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
+
+
+__all__ = ["F", "fresh", "read_table", "rows_of", "scanned_bytes", "shared_folder", "shuffle_partitions", "written"]

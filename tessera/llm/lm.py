@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import _text as tx
-from tessera.llm._store import rows_of, shared_folder, shuffle_partitions, written
+from tessera.llm._store import rows_of, scanned_bytes, shared_folder, shuffle_partitions, written
 
 #: How often a symbol, a context or a next symbol after a context is in the training texts at least.
 LEAST_COUNT = 2
@@ -35,14 +35,16 @@ DEPTH = 8
 #: Tokens that a context's suffix counts for in its distribution.
 SMOOTHING = 5.0
 SHARD_BYTES = 8 << 20
+#: Bytes of input, as stored, for each bucket of shards.
+BUCKET_BYTES = 16 << 20
 #: Tokens for each owner, about.
 OWNER_TOKENS = 1 << 20
 END = np.uint64(0x5E5E5E5E5E5E5E5E)
 #: Symbols are numbered by steps of their count, the frequent ones first: a factor of 2 has so many steps.
 _STEPS = 4
 _KINDS = 63 * _STEPS
-#: Logarithms of probabilities go to owners in these steps.
-_FINE = 1024
+#: Logarithms of probabilities go to owners in these steps of a factor of 2, and those of factors come back in the others.
+_FINE, _FACTORS = 64, 1024
 
 
 def _zip(x: np.ndarray) -> bytes:
@@ -102,7 +104,7 @@ def shards(docs: DataFrame, learns: Column, *, id_col: str = "doc_id", text_col:
     kind = source.schema["id"].dataType.simpleString()
     rows = source.mapInArrow(run, f"shard long, ids array<{kind}>, learn binary, first binary, vocabulary binary, tokens binary")
     spark, name = docs.sparkSession, f"tessera_{uuid.uuid4().hex}"
-    rows.write.bucketBy(shuffle_partitions(spark), "shard").option("path", f"{shared_folder(spark)}/shards").option("compression", "zstd").saveAsTable(name)
+    rows.write.bucketBy(max(shuffle_partitions(spark), scanned_bytes(docs) // BUCKET_BYTES), "shard").option("path", f"{shared_folder(spark)}/shards").option("compression", "zstd").saveAsTable(name)
     return spark.table(name)
 
 
@@ -252,7 +254,7 @@ class _Walk:
         live, keys, place = self.pairs()
         counts = np.bincount(place[self.shard.learnt[live]], minlength=len(keys)).astype(np.uint32)
         context = keys >> self.sizes.bits
-        cuts = _cuts(tx.mixed(context), self.sizes.owners)
+        cuts = np.searchsorted(_owner(tx.mixed(context), self.sizes.owners), np.arange(self.sizes.owners + 1))
         some = np.flatnonzero(np.diff(cuts))
         follows = (keys & ((1 << self.sizes.bits) - 1)).astype(np.uint64)
         body = [[_zip(np.diff(context[x], prepend=0)), _zip(follows[x]), _zip(counts[x])] for x in (slice(cuts[k], cuts[k + 1]) for k in some)]
@@ -278,7 +280,7 @@ class _Walk:
 
     def longer(self) -> tuple[np.ndarray, np.ndarray, dict]:
         """The positions with a longer context, for each the place of its question, and the different questions: the
-        symbols before (`length` of them) and the next one. Questions stand by the hash of the last two symbols before."""
+        symbols before (`length` of them) and the next one. Questions stand by owner and the last two symbols before."""
         s, at = self.symbols, np.arange(len(self.symbols))
         stop = np.maximum.accumulate(np.where(self.twice < LEAST_COUNT, at, -1))
         length = np.zeros(len(s), np.int64)
@@ -291,25 +293,26 @@ class _Walk:
             some = np.flatnonzero(n >= j)
             h[some] = tx.mixed(h[some] ^ (s[live[some] - j].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
         _, index, place = np.unique(h, return_index=True, return_inverse=True)
-        pick = live[index]
-        two = tx.mixed(s[pick - 1] << np.int64(self.sizes.bits) | s[pick - 2])
+        two = s[live[index] - 1] << np.int64(self.sizes.bits) | s[live[index] - 2]
         order = np.argsort(two, kind="stable")
+        owner = _owner(tx.mixed(two[order]), self.sizes.owners)
+        order = order[np.argsort(owner.astype(np.uint16 if self.sizes.owners <= 1 << 16 else np.uint32), kind="stable")]
         back = np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))
-        pick = pick[order]
-        return live, back[place], {"at": pick, "length": n[index][order], "next": follows[index][order], "two": two[order]}
+        index = index[order]
+        return live, back[place], {"at": live[index], "length": n[index], "next": follows[index], "owner": np.sort(owner)}
 
     def ask_longer(self, shard: int) -> pa.RecordBatch:
         live, place, asked = self.longer()
         s, pick, length = self.symbols, asked["at"], asked["length"]
         counts = np.bincount(place[self.shard.learnt[live]], minlength=len(pick)).astype(np.uint32)
         fine = np.where(asked["next"] == self.sizes.rare, 0, np.minimum(np.round(-np.log2(np.maximum(self.p[pick], 1e-300)) * _FINE), 65535)).astype(np.uint16)
-        cuts = _cuts(asked["two"], self.sizes.owners)
+        cuts = np.searchsorted(asked["owner"], np.arange(self.sizes.owners + 1))
         some, body = np.flatnonzero(np.diff(cuts)), []
         for k in some:
             x = slice(cuts[k], cuts[k + 1])
             mine, n = pick[x], length[x]
-            columns = [np.diff(s[mine - 1], prepend=0), np.diff(s[mine - 2], prepend=0)]
+            columns = _steps(s[mine - 1], s[mine - 2])
             columns += [s[mine[n >= j] - j].astype(np.uint64) for j in range(3, DEPTH + 1)]
             body.append([_zip(n.astype(np.uint8)), _zip(asked["next"][x].astype(np.uint64)), _zip(fine[x]), _zip(counts[x]), *map(_zip, columns)])
         return _batch(owner=some.tolist(), shard=[shard] * len(some), body=body)
@@ -318,15 +321,25 @@ class _Walk:
         """Mixes in all longer contexts."""
         live, place, asked = self.longer()
         if len(live):
-            times = np.concatenate([_unzip(x["body"][0], np.float32) for x in self.parts[2]])
-            self.p[live] *= times[place]
+            times = np.concatenate([_unzip(x["body"][0], np.int16) for x in self.parts[2]])
+            self.p[live] *= 2.0 ** (times[place] / _FACTORS)
 
 
-def _cuts(hashes: np.ndarray, owners: int) -> np.ndarray:
-    """Where each owner's part of sorted hashes begins."""
-    if owners == 1:
-        return np.array([0, len(hashes)])
-    return np.searchsorted(hashes >> np.uint64(64 - int(np.log2(owners))), np.arange(owners + 1).astype(np.uint64))
+def _owner(hashes: np.ndarray, owners: int) -> np.ndarray:
+    return (hashes >> np.uint64(64 - int(np.log2(owners)))).astype(np.int64) if owners > 1 else np.zeros(len(hashes), np.int64)
+
+
+def _steps(a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
+    """Sorted pairs of numbers as differences, of b within equal a."""
+    step = np.diff(a, prepend=-1)
+    return [step, np.where(step > 0, b, np.diff(b, prepend=0))]
+
+
+def _pairs(step: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What _steps was given."""
+    total, starts = np.cumsum(b), np.flatnonzero(step > 0)
+    before = total[starts] - b[starts]
+    return np.cumsum(step) - 1, total - np.repeat(before, np.diff(np.append(starts, len(b))))
 
 
 def _kept(node: np.ndarray, n: np.ndarray, above: np.ndarray, times: np.ndarray, size: int) -> np.ndarray:
@@ -368,7 +381,7 @@ def _answer_longer(table: pa.Table, sizes: Sizes) -> pa.Table:
     rare = follows == sizes.rare
     start = np.where(rare, 1.0, 2.0 ** (-np.concatenate(read(2, np.uint16)).astype(float) / _FINE))
     p, bits = start.copy(), np.int64(sizes.bits)
-    pair = np.concatenate([np.cumsum(a) << bits | np.cumsum(b) for a, b in zip(read(4, np.int64), read(5, np.int64), strict=True)])
+    pair = np.concatenate([a << bits | b for a, b in map(_pairs, read(4, np.int64), read(5, np.int64))])
     live, node = np.arange(len(p)), np.unique(pair, return_inverse=True)[1]
     for d in range(2, DEPTH + 1):
         if d > 2:
@@ -394,7 +407,8 @@ def _answer_longer(table: pa.Table, sizes: Sizes) -> pa.Table:
         own = np.where(n >= LEAST_COUNT, n, 0.0)[place] / (times[node] + SMOOTHING)
         rest = (times[node] - mass[node] + SMOOTHING) / (times[node] + SMOOTHING)
         p[live] = np.where(mass[node] > 0, own + rest * p[live], p[live])
-    out = np.split((p / start).astype(np.float32), np.cumsum([len(x) for x in lengths])[:-1])
+    factors = np.round(np.log2(p / start) * _FACTORS).clip(-32768, 32767).astype(np.int16)
+    out = np.split(factors, np.cumsum([len(x) for x in lengths])[:-1])
     return pa.Table.from_batches([_batch(shard=[x["shard"] for x in asked], owner=[x["owner"] for x in asked], round=[2] * len(asked), body=[[_zip(x)] for x in out])])
 
 
@@ -429,9 +443,12 @@ def score(docs: DataFrame, learns: Column, *, id_col: str = "doc_id", text_col:
     def answered(answer: Callable[[pa.Table, Sizes], pa.Table]) -> Callable[[pa.Table], pa.Table]:
         return lambda table: answer(table, shared.value)
 
-    for ask, answer, name in ((ask_pairs, _answer_pairs, "pairs"), (ask_longer, _answer_longer, "longer")):
-        asked = joined("ids").mapInArrow(ask, _MESSAGE)
-        answers = answers.unionByName(written(asked.groupBy("owner").applyInArrow(answered(answer), _ANSWER), name))
+    def answers_to(ask: Callable, answer: Callable) -> DataFrame:
+        asked = joined("ids").mapInArrow(ask, _MESSAGE).repartition(max(shuffle_partitions(docs.sparkSession), sizes.owners), "owner")
+        return asked.groupBy("owner").applyInArrow(answered(answer), _ANSWER)
+
+    answers = answers.unionByName(written(answers_to(ask_pairs, _answer_pairs), "pairs"))
+    answers = answers.unionByName(answers_to(ask_longer, _answer_longer))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

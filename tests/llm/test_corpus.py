@@ -195,21 +195,23 @@ def plain_scores(docs, learns):
     own = {}  # of kept contexts the mass
 
     def p(context, w, root):
-        """The probability after the longest kept part of a context."""
-        found = root
+        """The probability after the longest kept part of a context, and what owners of longer contexts make of it: they
+        are told of shorter ones in rounded steps."""
+        found = rounded = exact = root
         for n in range(1, len(context) + 1):
             c = context[-n:]
-            if n == 2 and found:  # what longer contexts are told of shorter ones is rounded
-                found = 2.0 ** -(min(round(-math.log2(found) * 1024), 65535) / 1024)
             if c in own:
                 k = after[c][w] if after[c][w] >= lm.LEAST_COUNT else 0
                 found = k / (total[c] + 5) + (total[c] - own[c] + 5) / (total[c] + 5) * found
-        return found
+            if n == 1:
+                exact, found = found, 2.0 ** -(min(round(-math.log2(found) * 64), 65535) / 64)
+                rounded = found
+        return exact * found / rounded, found
 
     for c in sorted((c for c, n in total.items() if n >= lm.LEAST_COUNT), key=len):
         some = {w: n for w, n in after[c].items() if n >= lm.LEAST_COUNT}
         root = lambda w, c=c: likely(w) if len(c) == 1 else other if w is None else (count[w] + 1) / everything
-        gain = sum(n * math.log(n / total[c] / p(c[1:], w, root(w))) for w, n in some.items())
+        gain = sum(n * math.log(n / total[c] / p(c[1:], w, root(w))[1]) for w, n in some.items())
         if some and gain > 0.5 * len(some) * math.log(total[c]):
             own[c] = sum(some.values())
     out = {}
@@ -219,7 +221,7 @@ def plain_scores(docs, learns):
             n = 0
             while n < min(i, lm.DEPTH) and x[i - n - 1] is not None and (not n or pairs.get((x[i - n - 1], x[i - n]), 0) >= lm.LEAST_COUNT) and total.get(tuple(x[i - n - 1 : i]), 0) >= lm.LEAST_COUNT:
                 n += 1
-            q = p(tuple(x[i - n : i]), w, other if w is None else (count[w] + 1) / everything)
+            q = p(tuple(x[i - n : i]), w, other if w is None else (count[w] + 1) / everything)[0]
             base = (count[split[d][i]] + 1) / everything
             out[d] += math.log10(q) + (0 if w is not None else math.log10(base) - math.log10(other))
     return out, own
@@ -238,7 +240,7 @@ def test_scores_against_plain_tree(spark):
     got = {r.doc_id: r for r in lm.score(df.repartition(7), F.col("doc_id") % 5 != 2).collect()}
     assert set(got) == set(docs)
     for d, x in expected.items():
-        assert abs(got[d].score - x) < 2e-4 * max(1, got[d].n_tokens), d
+        assert abs(got[d].score - x) < 5e-4 * max(1, got[d].n_tokens), d
 
 
 def test_score_edges(spark):
