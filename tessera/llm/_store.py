@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 import pyarrow as pa
@@ -12,11 +10,13 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir. Only where that is unset, as in tests, under a local temporary folder."""
+    """A new folder under spark.checkpoint.dir. Where that is unset, as in tests, one in the warehouse of a local master; on
+    a cluster it's an error, since executors don't share the driver's folders."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not top:
-        top = f"file://{os.path.join(tempfile.gettempdir(), 'tessera-shared')}"
-        spark.conf.set("spark.checkpoint.dir", top)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/tessera-shared"
     return f"{top.rstrip('/')}/tessera-{uuid.uuid4().hex}"
 
 
@@ -28,6 +28,13 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, column: str, n: int) -> DataFrame:
+    """As written(), dealt by a column into n buckets: joins on it move the other side alone."""
+    spark, name = df.sparkSession, f"tessera_{uuid.uuid4().hex}"
+    df.write.bucketBy(n, column).option("path", f"{shared_folder(spark)}/{name}").option("compression", "zstd").saveAsTable(name)
+    return spark.table(name)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -58,4 +65,4 @@ def scanned_bytes(df: DataFrame) -> int:
     return size if size < 1 << 60 else 0
 
 
-__all__ = ["F", "fresh", "read_table", "rows_of", "scanned_bytes", "shared_folder", "shuffle_partitions", "written"]
+__all__ = ["F", "bucketed", "fresh", "read_table", "rows_of", "scanned_bytes", "shared_folder", "shuffle_partitions", "written"]

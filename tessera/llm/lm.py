@@ -16,7 +16,6 @@ LEAST_COUNT times, as no longer one can be a candidate.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -27,14 +26,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import _text as tx
-from tessera.llm._store import rows_of, scanned_bytes, shared_folder, shuffle_partitions, written
+from tessera.llm._store import bucketed, rows_of, scanned_bytes, shuffle_partitions, written
 
 #: How often a symbol, a context or a next symbol after a context is in the training texts at least.
 LEAST_COUNT = 2
 DEPTH = 8
 #: Tokens that a context's suffix counts for in its distribution.
 SMOOTHING = 5.0
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 12 << 20
 #: Bytes of input, as stored, for each bucket of shards.
 BUCKET_BYTES = 16 << 20
 #: Tokens for each owner, about.
@@ -55,7 +54,7 @@ def _zip(x: np.ndarray) -> bytes:
 
 def _unzip(raw: bytes, kind: type) -> np.ndarray:
     planes = np.frombuffer(zstd.ZstdDecompressor().decompress(raw), np.uint8).reshape(np.dtype(kind).itemsize, -1)
-    return np.ascontiguousarray(planes.T).view(kind).ravel()
+    return planes.T.copy().view(kind).ravel()
 
 
 def shards(docs: DataFrame, learns: Column, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -103,9 +102,7 @@ def shards(docs: DataFrame, learns: Column, *, id_col: str = "doc_id", text_col:
 
     kind = source.schema["id"].dataType.simpleString()
     rows = source.mapInArrow(run, f"shard long, ids array<{kind}>, learn binary, first binary, vocabulary binary, tokens binary")
-    spark, name = docs.sparkSession, f"tessera_{uuid.uuid4().hex}"
-    rows.write.bucketBy(max(shuffle_partitions(spark), scanned_bytes(docs) // BUCKET_BYTES), "shard").option("path", f"{shared_folder(spark)}/shards").option("compression", "zstd").saveAsTable(name)
-    return spark.table(name)
+    return bucketed(rows, "shard", max(shuffle_partitions(docs.sparkSession), scanned_bytes(docs) // BUCKET_BYTES))
 
 
 class _Shard:
@@ -200,7 +197,8 @@ def _word_counts(store: DataFrame) -> tuple[DataFrame, Sizes]:
         out, at = [], 0
         for k, x in enumerate(keys):
             mine = place[at : at + len(x)]
-            out.append([_zip(total[mine]), _zip(rank[mine]), *([_zip(about)] if k == 0 else [])])
+            by_step = np.argsort(step[mine], kind="stable")  # in which ranks rise from step to step
+            out.append([_zip(total[mine]), _zip(np.diff(rank[mine][by_step], prepend=0)), *([_zip(about)] if k == 0 else [])])
             at += len(x)
         return pa.Table.from_batches([_batch(shard=[x["shard"] for x in asked], owner=[x["owner"] for x in asked], round=[0] * len(asked), body=out)])
 
@@ -225,8 +223,10 @@ class _Walk:
         for x in sorted(row["parts"], key=lambda x: (x["round"], x["owner"])):
             self.parts.setdefault(x["round"], []).append(x)
         vocabulary = self.shard.vocabulary
-        total = np.concatenate([_unzip(x["body"][0], np.int64) for x in self.parts[0]])
-        rank = np.concatenate([_unzip(x["body"][1], np.int64) for x in self.parts[0]])
+        totals, ranks = ([_unzip(x["body"][k], np.int64) for x in self.parts[0]] for k in range(2))
+        for n, steps in zip(totals, ranks, strict=True):
+            steps[np.argsort(_step(n), kind="stable")] = np.cumsum(steps)
+        total, rank = np.concatenate(totals), np.concatenate(ranks)
         order = np.argsort(vocabulary)
         owner = (vocabulary[order] >> np.uint64(64 - int(np.log2(sizes.offsets.shape[1])))).astype(np.int64)
         number = np.where(total >= LEAST_COUNT, sizes.offsets[_step(total), owner] + rank, 0)

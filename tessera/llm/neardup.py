@@ -2,8 +2,9 @@
 
 A shingle is five words; it weighs its count in the text times an inverse document frequency. Documents that agree in all
 samples of a band meet in a bucket and are compared with its most central member by their weighted Jaccard similarity.
-Links make components. Members of a bucket outside its largest component are compared with all others of the bucket, so no
-two similar members of a bucket stay apart.
+Links make components. Members of a bucket outside its largest component meet all others of the bucket, block by block,
+by their samples alone; pairs that agree in LIKELY of them are compared by their texts, so that no two similar members of a
+bucket stay apart.
 
 The inverse document frequency is 1 + ln(N / df), and 1 + ln(N / (FREQUENT N)) for all shingles that fewer than a share of
 FREQUENT of the documents have: so a large group of near copies isn't torn apart by the rare shingles of their edits, and
@@ -12,6 +13,7 @@ the frequent shingles that have a weight of their own are a bounded table at any
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,9 +22,10 @@ import pyarrow as pa
 import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tessera.llm import _text as tx
-from tessera.llm._store import rows_of, written
+from tessera.llm._store import bucketed, fresh, rows_of, shuffle_partitions, written
 
 #: Words of a shingle, and the least similarity of a link.
 WORDS, LEAST = 5, 0.8
@@ -32,8 +35,15 @@ BANDS, ROWS = 12, 4
 FREQUENT = 1 / 64
 #: Counters of the sketch that finds which shingles can be frequent; they're then counted exactly.
 SKETCH_BITS = 20
-#: Members that a task compares with a representative at a time.
-CHUNK = 256
+#: Tasks whose sketches are summed together, before those sums are.
+TASKS = 512
+#: Members that a task compares with a representative at a time, by their texts, and that a block holds, by their samples.
+CHUNK, BLOCK = 256, 1024
+#: Samples of BANDS * ROWS in which members of a bucket agree at least to be compared by their texts: documents of similarity
+#: 0.8 agree in fewer with a probability of 2e-6.
+LIKELY = 24
+#: Into how many parts the members of a bucket are dealt.
+_PARTS = 64
 #: What a similarity may miss the least one by: sums of weights are rounded, and ties are links.
 ROUNDING = 1e-9
 _HASH = np.uint64((1 << 50) - 1)
@@ -53,7 +63,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple
     total = np.zeros(len(h), np.uint64)
     row = tx.owners(at)
     left = np.repeat(at[1:], n) - np.arange(len(h))  # words from here to the row's end
-    for k in range(words):
+    for k in range(min(words, len(h))):
         factor = tx.mixed(np.array([k + 1], np.uint64))[0] | np.uint64(1)
         part = np.zeros(len(h), np.uint64)
         part[: len(h) - k] = h[k:]
@@ -104,6 +114,8 @@ def weights(docs: DataFrame, text_col: str = "text", frequent: float = FREQUENT)
     size, slices = 1 << SKETCH_BITS, 64
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         sums, n = np.zeros(size, np.uint32), 0
         for batch in batches:
             for low, high, data, offsets in _chunks(rows_of(batch, "text")):
@@ -112,22 +124,25 @@ def weights(docs: DataFrame, text_col: str = "text", frequent: float = FREQUENT)
                 n += int((np.diff(first) > 0).sum())
         if n:
             parts = [zstd.ZstdCompressor(level=1).compress(x.tobytes()) for x in np.split(sums, slices)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([n] * slices, pa.int64()), pa.array(parts, pa.binary())], ["slice", "n", "sums"])
+            part = TaskContext.get().partitionId() // TASKS
+            yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([part] * slices, pa.int32()), pa.array([n] * slices, pa.int64()), pa.array(parts, pa.binary())], ["slice", "part", "n", "sums"])
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(size // slices, np.uint64)
         for raw in table["sums"]:
-            total += np.frombuffer(zstd.ZstdDecompressor().decompress(raw.as_py()), np.uint32)
-        n, number = sum(table["n"].to_pylist()), table["slice"][0].as_py()
-        return pa.table({"slice": pa.array([number], pa.int32()), "n": pa.array([n], pa.int64()), "sums": pa.array([total.tobytes()], pa.binary())})
-
-    kind = "slice int, n long, sums binary"
-    sums = source.mapInArrow(sketch, kind).groupBy("slice").applyInArrow(add, kind).collect()
+            found = zstd.ZstdDecompressor().decompress(raw.as_py())
+            total += np.frombuffer(found, np.uint32 if len(found) == total.nbytes // 2 else np.uint64)
+        n, number, part = sum(table["n"].to_pylist()), table["slice"][0].as_py(), table["part"][0].as_py()
+        made = zstd.ZstdCompressor(level=1).compress(total.tobytes())
+        return pa.table({"slice": pa.array([number], pa.int32()), "part": pa.array([part], pa.int32()), "n": pa.array([n], pa.int64()), "sums": pa.array([made], pa.binary())})
+
+    kind = "slice int, part int, n long, sums binary"
+    sums = source.mapInArrow(sketch, kind).groupBy("slice", "part").applyInArrow(add, kind).groupBy("slice").applyInArrow(add, kind).collect()
     if not sums:
         return Weights(np.zeros(0, np.uint64), np.zeros(0), 1.0)
     n = sums[0].n
     least = max(frequent * n, 1.0)
-    hot = np.concatenate([np.frombuffer(r.sums, np.uint64) for r in sorted(sums, key=lambda r: r.slice)]) >= least
+    hot = np.concatenate([np.frombuffer(zstd.ZstdDecompressor().decompress(r.sums), np.uint64) for r in sorted(sums, key=lambda r: r.slice)]) >= least
     other = 1 + np.log(n / least)
     if not hot.any():
         return Weights(np.zeros(0, np.uint64), np.zeros(0), float(other))
@@ -219,9 +234,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def _signed(source: DataFrame, weights: Weights) -> DataFrame:
-    """id, c1 and c2 (128 bits of a digest of the words) and bands; null for texts without words."""
-    import hashlib
-
+    """id, c1 and c2 (128 bits of a digest of the words), bands, and samples (16 bits of each); null for texts without words."""
     shared = source.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,27 +243,29 @@ def _signed(source: DataFrame, weights: Weights) -> DataFrame:
             for low, high, data, offsets in _chunks(rows_of(batch, "text")):
                 first, found, counts, raw = shingles(data, offsets)
                 some = np.diff(first) > 0
-                keys = bands(sample(first, found, shared.value.of(found, counts), BANDS * ROWS)).view(np.int64)
+                samples = sample(first, found, shared.value.of(found, counts), BANDS * ROWS)
+                keys = bands(samples).view(np.int64)
+                short = pa.array([x.tobytes() if any_ else None for x, any_ in zip(samples.astype(np.uint16), some, strict=True)], pa.binary())
                 digest = np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in raw), np.int64).reshape(-1, 2)
                 mask = pa.array(~some)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()), mask=mask)
-                yield pa.RecordBatch.from_arrays([ids.slice(low, high - low), pa.array(digest[:, 0], mask=~some), pa.array(digest[:, 1], mask=~some), lists], ["id", "c1", "c2", "bands"])
+                yield pa.RecordBatch.from_arrays([ids.slice(low, high - low), pa.array(digest[:, 0], mask=~some), pa.array(digest[:, 1], mask=~some), lists, short], ["id", "c1", "c2", "bands", "samples"])
 
     kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(run, f"id {kind}, c1 long, c2 long, bands array<long>")
+    return source.mapInArrow(run, f"id {kind}, c1 long, c2 long, bands array<long>, samples binary")
 
 
-def _verified(source: DataFrame, pairs: DataFrame, weights: Weights, least: float) -> DataFrame:
+def _verified(texts: DataFrame, pairs: DataFrame, weights: Weights, least: float) -> DataFrame:
     """Of the pairs a, b those whose texts are similar, written. Texts go to tasks by a and a part of its members: at most
     about CHUNK members at a time, however many a has, and a copy of a's text for each part."""
-    shared = source.sparkSession.sparkContext.broadcast(weights)
+    shared = texts.sparkSession.sparkContext.broadcast(weights)
     sizes = pairs.groupBy("a").agg(F.count("*").alias("n")).withColumnRenamed("a", "a_")
     parted = pairs.join(sizes, F.col("a") == F.col("a_")).select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / CHUNK)).alias("part"))
     parted = written(parted, "pairs")
     need = parted.select(F.col("b").alias("need"), "a", "part", F.lit(1).alias("member")).unionByName(parted.select(F.col("a").alias("need"), "a", "part", F.lit(0).alias("member")).distinct())
-    rows = need.hint("merge").join(source, F.col("need") == F.col("id")).select("a", "part", "member", "id", "text")
+    rows = need.hint("merge").join(texts, F.col("need") == F.col("id")).select("a", "part", "member", "id", "text")
     rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", "member", "id")
-    kind = source.schema["id"].dataType.simpleString()
+    kind = texts.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, key, own = shared.value, None, None
@@ -276,130 +291,118 @@ def _verified(source: DataFrame, pairs: DataFrame, weights: Weights, least: floa
     return written(rows.mapInArrow(run, f"a {kind}, b {kind}, similarity double"), "links")
 
 
-def _overlaps(first: np.ndarray, found: np.ndarray, counts: np.ndarray, weights: Weights) -> np.ndarray:
-    """Weighted Jaccard similarities of all rows with each other: sums of least weights as a product of 0-1 matrices whose
-    columns are a shingle's first, second, ... occurrence."""
-    n = len(first) - 1
-    row = np.repeat(np.arange(n), np.diff(first))
-    weight = weights.of(found, counts)
-    total = np.bincount(row, weight, n)
-    times = np.repeat(np.arange(len(found)), counts)
-    nth = np.arange(len(times)) - np.repeat(np.cumsum(counts) - counts, counts)
-    column, place, held = np.unique(tx.mixed(found[times] ^ (nth.astype(np.uint64) << np.uint64(50))), return_inverse=True, return_counts=True)
-    both = np.zeros((n, n))
-    some = np.flatnonzero(held[place] > 1)
-    kept = np.unique(place[some])
-    unit = np.zeros(len(column), np.float32)
-    unit[place] = np.sqrt(weights.of(found, np.ones(len(found), np.int64)))[times]
-    for at in range(0, len(kept), 1 << 14):
-        part = kept[at : at + (1 << 14)]
-        number = np.full(len(column), -1, np.int64)
-        number[part] = np.arange(len(part))
-        mine = some[number[place[some]] >= 0]
-        dense = np.zeros((n, len(part)), np.float32)
-        dense[row[times[mine]], number[place[mine]]] = unit[place[mine]]
-        both += dense @ dense.T
-    union = total[:, None] + total[None, :] - both
-    return np.where(union > 0, both / np.maximum(union, 1e-300), 0.0)
-
-
-def _blocks(source: DataFrame, apart: DataFrame, weights: Weights, least: float) -> DataFrame:
-    """The links of each key's members (key, id, major) that aren't both major. Members are dealt into blocks of about
-    CHUNK / 2, minor ones first; each block of minor ones and each block meet in a task, which holds their texts and
-    returns links alone."""
-    shared = source.sparkSession.sparkContext.broadcast(weights)
-    blocks = lambda some: F.ceil(F.count_if(some) * 2 / CHUNK).cast("int")
+def _alike(apart: DataFrame, samples: DataFrame) -> DataFrame:
+    """The pairs a, b of each key's members (key, id, major) that aren't both major and agree in LIKELY samples. Members are
+    dealt into blocks of about BLOCK, minor ones first; each block of minor ones and each block meet in a task, as 96 bytes a
+    member. Keys are dealt into parts before their members are repeated for each block."""
+    blocks = lambda some: F.ceil(F.count_if(some) / BLOCK).cast("int")
     sizes = apart.groupBy("key").agg(blocks(~F.col("major")).alias("minors"), blocks(F.col("major")).alias("majors"))
-    at = F.when(F.col("major"), F.col("minors") + F.pmod(F.xxhash64("id"), F.col("majors"))).otherwise(F.pmod(F.xxhash64("id"), F.col("minors"))).cast("int")
-    dealt = apart.join(sizes, "key").withColumn("own", at)
+    sizes = sizes.select("key", "minors", "majors", F.explode(F.sequence(F.lit(0), F.lit(_PARTS - 1))).alias("part"))
+    dealt = apart.join(samples, "id").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(_PARTS)).cast("int")).join(sizes, ["key", "part"])
+    place = F.xxhash64("id", F.lit(1))
+    at = F.when(F.col("major"), F.col("minors") + F.pmod(place, F.col("majors"))).otherwise(F.pmod(place, F.col("minors"))).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.when(F.col("major"), F.col("minors")).otherwise(F.col("minors") + F.col("majors")) - 1)).alias("other")
-    met = dealt.select("key", "id", "major", "own", other).select("key", "id", "major", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
-    rows = met.withColumnRenamed("id", "need").hint("merge").join(source, F.col("need") == F.col("id")).select("key", "x", "y", "id", "major", "text")
-    kind = source.schema["id"].dataType.simpleString()
+    met = dealt.withColumn("own", at).select("key", "id", "own", "samples", other)
+    rows = met.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "samples")
+    kind = apart.schema["id"].dataType.simpleString()
 
     def run(table: pa.Table) -> pa.Table:
-        ids, major = table["id"].combine_chunks(), table["major"].to_numpy()
-        parts = [shingles(data, offsets)[:3] for _, _, data, offsets in _chunks(table["text"].combine_chunks())]
-        sizes = np.concatenate([np.diff(f) for f, _, _ in parts])
-        first = np.concatenate([[0], np.cumsum(sizes)])
-        found, counts = np.concatenate([f for _, f, _ in parts]), np.concatenate([c for _, _, c in parts])
-        near = np.triu(_overlaps(first, found, counts, shared.value) >= least - 1e-3, 1) & ~(major[:, None] & major[None, :])
-        i, j = np.nonzero(near)
-        weight = shared.value.of(found, counts)
-        rows = [(found[a:b], weight[a:b]) for a, b in zip(first, first[1:], strict=False)]
-        same = np.array([similarity(rows[a], rows[b]) for a, b in zip(i, j, strict=True)])  # products are in single precision
-        some = same >= least - ROUNDING
-        a, b = ids.take(pa.array(i[some])), ids.take(pa.array(j[some]))
-        return pa.table({"a": a, "b": b, "similarity": pa.array(same[some], pa.float64())})
-
-    found = rows.groupBy("key", "x", "y").applyInArrow(run, f"a {kind}, b {kind}, similarity double")
-    return written(found.where("a <> b"), "links")
-
-
-def grouped(source: DataFrame, buckets: DataFrame, weights: Weights, least: float = LEAST) -> tuple[DataFrame, DataFrame]:
-    """Links a, b, similarity: enough verified ones of the buckets' members (key, id) to join all that are similar. And id,
-    label of the ends of links: the least id of its component.
+        ids, own = table["id"].combine_chunks(), table["own"].to_numpy()
+        all_samples = np.frombuffer(b"".join(table["samples"].to_pylist()), np.uint16).reshape(len(ids), -1)
+        left, right = (np.flatnonzero(own == table[c][0].as_py()) for c in ("x", "y"))
+        theirs = np.ascontiguousarray(all_samples[right].T)
+        i, j = [], []
+        for k in left:
+            agree = (theirs == all_samples[k][:, None]).sum(0, dtype=np.uint8)
+            some = right[agree >= LIKELY]
+            i.append(np.full(len(some), k))
+            j.append(some)
+        i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (i, j))
+        return pa.table({"a": ids.take(pa.array(i)), "b": ids.take(pa.array(j))})
+
+    found = rows.groupBy("key", "x", "y").applyInArrow(run, f"a {kind}, b {kind}")
+    return found.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def grouped(source: DataFrame, buckets: DataFrame, samples: DataFrame, weights: Weights, least: float = LEAST) -> tuple[DataFrame, DataFrame]:
+    """Links a, b, similarity: enough verified ones of the buckets' members (key, id; samples: id, samples) to join all that
+    are similar. And id, label of the ends of links: the least id of its component.
 
     A bucket's representative is its most central member: that whose buckets have most members in all, as an original has
-    beside its edited copies (of equal ones that of least id). Members unlike it are compared with that of the largest id
-    and with the most central of themselves. These links make components; in a bucket that several of them share, members
-    outside its largest meet all of the bucket, block by block.
+    beside its edited copies (of equal ones that of least id). Their links make components; in a bucket that several of
+    them share, members outside its largest meet all of the bucket (see _alike). Texts of members move once into a table
+    bucketed by id, then to the pairs they're in.
     """
     sizes = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = written(buckets.join(sizes, "key"), "shared")
     central = shared.groupBy("id").agg(F.sum("n").alias("c")).withColumnRenamed("id", "id_")
     ranked = written(shared.join(central, F.col("id") == F.col("id_")).select("key", "id", "c"), "ranked")
+    members = ranked.select("id").distinct()
+    texts = bucketed(source.join(members, "id", "left_semi"), "id", shuffle_partitions(source.sparkSession))
     first = F.struct((-F.col("c")).alias("c"), "id")
-    members = ranked.join(ranked.groupBy("key").agg(F.min(first)["id"].alias("a"), F.max("id").alias("z")), "key")
-    found, left = [], written(members.where("id <> a"), "members")
-    for step in range(2):
-        if step:
-            left = left.select("key", "id", "c", F.col("z").alias("z_")).join(left.groupBy("key").agg(F.min(first)["id"].alias("a")), "key")
-            left = written(left.withColumnRenamed("z_", "z"), "left")
-        pairs = left.where("id <> a").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
-        if step:
-            pairs = pairs.unionByName(left.where("id <> z").select(F.least("z", "id").alias("a"), F.greatest("z", "id").alias("b")))
-        new = _verified(source, pairs.distinct(), weights, least)
-        found.append(new)
-        if not step:
-            ends = new.select("a", F.col("b").alias("id")).unionByName(new.select(F.col("b").alias("a"), F.col("a").alias("id")))
-            left = written(left.where("id <> a").join(ends, ["a", "id"], "left_anti"), "left")
-    labels = components(found[0].unionByName(found[1]))
+    with_first = ranked.join(ranked.groupBy("key").agg(F.min(first)["id"].alias("a")), "key").where("id <> a")
+    found = _verified(texts, with_first.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct(), weights, least)
+    labels = components(found)
     named = labels.withColumnRenamed("id", "id_")
     parts = written(ranked.join(named, F.col("id") == F.col("id_"), "left").select("key", "id", F.coalesce("label", "id").alias("label")), "parts")
     kinds = parts.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "label"))["label"].alias("most"), F.count("*").alias("kinds"))
     apart = parts.join(kinds.where("kinds > 1"), "key").select("key", "id", (F.col("label") == F.col("most")).alias("major"))
-    new = _blocks(source, written(apart, "apart"), weights, least)
+    new = _verified(texts, _alike(written(apart, "apart"), samples), weights, least)
     # components of components: what the new links join
     ends = new.select(F.col("a").alias("id")).unionByName(new.select(F.col("b").alias("id"))).distinct()
     labels = written(labels.unionByName(ends.join(labels, "id", "left_anti").select("id", F.col("id").alias("label"))), "labels")
     of_a, of_b = (labels.select(F.col("id").alias(end), F.col("label").alias(f"{end}_")) for end in ("a", "b"))
     joined = new.join(of_a, "a").join(of_b, "b").where("a_ <> b_").select(F.col("a_").alias("a"), F.col("b_").alias("b"))
     more = components(joined).select(F.col("id").alias("label"), F.col("label").alias("least"))
-    return found[0].unionByName(found[1]).unionByName(new), labels.join(more, "label", "left").select("id", F.coalesce("least", "label").alias("label"))
+    return found.unionByName(new), labels.join(more, "label", "left").select("id", F.coalesce("least", "label").alias("label"))
 
 
-def links(source: DataFrame, buckets: DataFrame, weights: Weights, least: float = LEAST) -> DataFrame:
+def links(source: DataFrame, buckets: DataFrame, samples: DataFrame, weights: Weights, least: float = LEAST) -> DataFrame:
     """The links that join all similar members (key, id) of a bucket: a, b, similarity."""
-    return grouped(source, buckets, weights, least)[0]
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """id, label for each end of an edge a, b: the least id of its component. Each round takes the least label around and
-    then the label's label; rounds are written, and are about as many as the logarithm of the longest path."""
-    both = written(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct(), "edges")
-    labels = written(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("id"), F.least("u", "m").alias("label")), "labels")
-    while True:
-        around = both.join(labels.select(F.col("id").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("near"))
-        nearer = labels.join(around, F.col("id") == F.col("u")).select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = nearer.select(F.col("id").alias("label"), F.col("label").alias("next"))
-        after = written(nearer.join(jump, "label", "left").select("id", "old", F.least("label", F.coalesce("next", "label")).alias("label")), "labels")
-        if not after.where("label <> old").limit(1).count():
-            return after.select("id", "label")
-        labels = after.select("id", "label")
+    return grouped(source, buckets, samples, weights, least)[0]
+
+
+def components(edges: DataFrame, count: list | None = None) -> DataFrame:
+    """id, label for each end of an edge a, b: the least id of its component. By stars: every round links the larger
+    neighbours of each id to the least id around it, then the smaller ones, until all edges lead to their component's least
+    id. Rounds are written; their number rises as the logarithm of the longest path, whatever the order of its ids, and is
+    appended to `count`."""
+    star = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+
+    def mark(t: DataFrame) -> tuple:
+        return tuple(t.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 30)))).first())
+
+    before, rounds = mark(star), 0
+    while before[0]:
+        both = star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
+        star = written(small.where("u <> v").distinct(), "stars")
+        rounds, after = rounds + 1, mark(star)
+        if after == before:
+            break
+        before = after
+    if count is not None:
+        count.append(rounds)
+    return star.select(F.col("u").alias("id"), F.col("v").alias("label")).unionByName(star.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct())
+
+
+def _classes(source: DataFrame, least: float, frequent: float) -> tuple[DataFrame, DataFrame]:
+    """Of rows id, text: id, c1, c2; and c1, c2, group_id of the texts that have an id."""
+    weighed = weights(source, "text", frequent)
+    signed = written(_signed(source, weighed), "signed")
+    known = signed.where("c1 is not null and id is not null")
+    reps = written(known.groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("samples").alias("samples")), "classes")
+    buckets = reps.select(F.explode("bands").alias("key"), F.col("rep").alias("id")).distinct()
+    samples = reps.groupBy(F.col("rep").alias("id")).agg(F.min("samples").alias("samples"))
+    _, labels = grouped(source.where("id is not null"), buckets, samples, weighed, least)
+    final = reps.select("c1", "c2", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("c1", "c2", F.coalesce("label", "rep").alias("group_id"))
+    return signed.select("id", "c1", "c2"), final
 
 
-def classes(docs: DataFrame, *, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classes(docs: DataFrame, *, least: float = LEAST, frequent: float = FREQUENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: its id, group_id, the least id of its class, and kept, whether it's that one.
 
     Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` with A-Z read as a-z. Texts of equal words are one before anything is
@@ -408,18 +411,44 @@ def classes(docs: DataFrame, *, least: float = LEAST, id_col: str = "doc_id", te
     share a class. Other columns aren't read; an empty table gives no rows.
     """
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    weighed = weights(source, "text")
-    signed = written(_signed(source, weighed), "signed")
-    known = signed.where("c1 is not null and id is not null")
-    reps = written(known.groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), "classes")
-    buckets = reps.select(F.explode("bands").alias("key"), F.col("rep").alias("id")).distinct()
-    _, labels = grouped(source.where("id is not null"), buckets, weighed, least)
-    final = reps.select("c1", "c2", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("c1", "c2", F.coalesce("label", "rep").alias("group_id"))
-    out = signed.select("id", "c1", "c2").join(final, ["c1", "c2"], "left").select("id", F.coalesce("group_id", "id").alias("group_id"))
+    signed, final = _classes(source, least, frequent)
+    out = signed.join(final, ["c1", "c2"], "left").select("id", F.coalesce("group_id", "id").alias("group_id"))
     return out.withColumn("kept", F.coalesce(F.col("id") == F.col("group_id"), F.col("group_id").isNull())).withColumnRenamed("id", id_col)
 
 
-def deduplicated(docs: DataFrame, *, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stand for their class, with all their columns; of rows that share an id all or none."""
-    gone = classes(docs, least=least, id_col=id_col, text_col=text_col).where(~F.col("kept") & F.col(id_col).isNotNull())
-    return docs.join(gone.select(F.col(id_col).alias("__gone")).distinct(), F.col(id_col) == F.col("__gone"), "left_anti")
+def _digested(docs: DataFrame, text_col: str, names: list[str]) -> DataFrame:
+    """docs and the digest of each text's words in two columns, as in _signed()."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = []
+            for _, _, data, offsets in _chunks(rows_of(batch, text_col).cast(pa.large_string())):
+                starts, ends, at = tx.spans(data, offsets, tx.ALNUM)
+                h = tx.hashes(data, starts, ends)
+                parts += [hashlib.blake2b(h[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(at, at[1:], strict=False)]
+            made = [pa.array([None if x is None else int.from_bytes(x[k : k + 8], "little", signed=True) for x in parts], pa.int64()) for k in (0, 8)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, *names])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *(StructField(x, LongType()) for x in names)]))
+
+
+def deduplicated(docs: DataFrame, *, least: float = LEAST, frequent: float = FREQUENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs for each class, with all its columns: that of the class's least id.
+
+    Rows whose id is null or occurs again are judged by their texts: those without words stay; one of each text stays if
+    its id is its class's least one, or if no row with an id has a text of its class. Other rows are judged by their id.
+    """
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    signed, final = _classes(source, least, frequent)
+    final = written(final, "final")
+    gone, c1, c2, d1, d2, group = fresh(docs, "gone", "c1", "c2", "d1", "d2", "group")
+    again = written(signed.where("id is not null").groupBy("id").count().where("count > 1").select(F.col("id").alias(gone)), "again")
+    drop = signed.where("id is not null").join(final, ["c1", "c2"]).where("id <> group_id").select(F.col("id").alias(gone))
+    out = docs.where(F.col(id_col).isNotNull()).join(drop.unionByName(again).distinct(), F.col(id_col) == F.col(gone), "left_anti")
+    odd = docs.where(F.col(id_col).isNull()).unionByName(docs.join(again, F.col(id_col) == F.col(gone), "left_semi"))
+    odd = _digested(odd, text_col, [c1, c2])
+    found = final.select(F.col("c1").alias(d1), F.col("c2").alias(d2), F.col("group_id").alias(group))
+    odd = odd.join(found, (F.col(c1) == F.col(d1)) & (F.col(c2) == F.col(d2)), "left")
+    stays = F.when(F.col(id_col).isNull(), F.col(group).isNull()).otherwise(F.col(id_col) == F.col(group))
+    worded = odd.where(F.col(c1).isNotNull() & stays).dropDuplicates([id_col, c1, c2])
+    return out.unionByName(worded.select(*docs.columns)).unionByName(odd.where(F.col(c1).isNull()).select(*docs.columns))

@@ -11,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from conftest import DATA
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -29,12 +31,12 @@ def shingles(text):
     return collections.Counter([tuple(w[i : i + 5]) for i in range(len(w) - 4)] or ([tuple(w)] if w else []))
 
 
-def classes(docs):
+def classes(docs, frequent=1 / 64):
     """Links of all pairs of different texts, joined; documents without words stay alone."""
     sets = {k: shingles(t) for k, t in docs.items()}
     df = collections.Counter(s for x in sets.values() for s in x)
     n = sum(1 for x in sets.values() if x)
-    idf = {s: 1 + math.log(n / max(v, n / 64, 1)) for s, v in df.items()}
+    idf = {s: 1 + math.log(n / max(v, n * frequent, 1)) for s, v in df.items()}
     parent = {k: k for k in docs}
 
     def top(k):
@@ -60,6 +62,60 @@ def table(spark, docs):
     return spark.createDataFrame(list(docs.items()), "doc_id long, text string").withColumn("a", F.lit(1)).withColumn("key", F.lit("x"))
 
 
+def sampled(source):
+    weights = neardup.weights(source)
+    return neardup._signed(source, weights).select("id", "samples"), weights
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.lists(st.sampled_from(["a", "b", "c"]), max_size=7).map(" ".join)), max_size=4))
+def test_shingles_of_tiny_chunks(texts):
+    first, found, counts, raw = neardup.shingles(*tx.text_buffer(pa.array(texts, pa.string())))
+    expected = [shingles(t) for t in texts]
+    assert len(raw) == len(texts) and np.diff(first).tolist() == [len(x) for x in expected]
+    for i, x in enumerate(expected):
+        assert sorted(counts[first[i] : first[i + 1]]) == sorted(x.values())
+
+
+def test_short_texts_alone_in_their_partitions(spark):
+    rows = [(k, t) for k, t in enumerate(["some text here", "a b", "x", None, "", "Some, text here", "one two three four"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7, "doc_id")
+    assert {r.doc_id: r.group_id for r in neardup.classes(df).collect()} == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 0, 6: 6}
+    one = spark.createDataFrame([(9, "some text here", "en", "web", 14)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r.doc_id for r in neardup.deduplicated(one).collect()] == [9]
+
+
+def test_pairs_near_the_least_similarity(spark):
+    """Recall over pairs whose weighted similarity is 0.8 to 0.9, and both settings of the least document frequency."""
+    random.seed(8)
+    docs, pairs = {}, []
+    for k in range(1200):
+        n = random.randint(50, 160)
+        base = [f"{k}w{i}" for i in range(n)]
+        copy = base[: n - random.randint(0, (n - 4) // 5)] + [f"{k}v{i}" for i in range(random.randint(0, 4))]
+        docs[2 * k], docs[2 * k + 1] = " ".join(base), " ".join(copy)
+        a, b = shingles(docs[2 * k]), shingles(docs[2 * k + 1])
+        both = sum((a & b).values())
+        if 0.8 <= both / (sum(a.values()) + sum(b.values()) - both) < 0.9:
+            pairs.append(2 * k)
+    assert len(pairs) > 400
+    got = {r.doc_id: r.group_id for r in neardup.classes(table(spark, docs)).collect()}
+    found = sum(got[k] == got[k + 1] for k in pairs)
+    assert found >= 0.99 * len(pairs)
+    few = {k: docs[k] for k in list(docs)[:200]}
+    for frequent in (1 / 64, 1 / 10_000):
+        assert {r.doc_id: r.group_id for r in neardup.classes(table(spark, few), frequent=frequent).collect()} == classes(few, frequent)
+
+
+def test_deduplicated_by_text_where_ids_dont_tell(spark):
+    text, other = "the quick brown fox jumps over the lazy dog", "quite another text that nobody else has at all here"
+    rows = [(1, text), (7, text), (7, other), (8, other + " x"), (None, text), (None, "alone " * 9), (None, "alone " * 9), (None, None), (5, "p q r s t u v"), (5, "p q r s t u v")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("__gone", F.lit(1)).withColumn("GONE", F.lit(2)).withColumn("c1", F.lit("z"))
+    got = neardup.deduplicated(df)
+    assert got.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(1, text), (7, other), (8, other + " x"), (None, "alone " * 9), (None, None), (5, "p q r s t u v")], key=str)
+
+
 def test_near_duplicates(spark):
     random.seed(3)
     vocabulary = [f"w{i}" for i in range(3000)]
@@ -107,7 +163,7 @@ def test_bucket_without_centre(spark):
             docs[kind * 2 + k] = " ".join(base[: 40 - k])
     source = table(spark, docs).select(F.col("doc_id").alias("id"), "text")
     buckets = source.select(F.lit(1).cast("long").alias("key"), "id")
-    found = neardup.links(source, buckets, neardup.weights(source))
+    found = neardup.links(source, buckets, *sampled(source))
     assert {(r.a, r.b) for r in found.collect()} >= {(k * 2, k * 2 + 1) for k in range(150)}
 
 
@@ -118,7 +174,7 @@ def test_no_link_lost_in_a_bucket(spark):
     docs |= {100 + k: " ".join(f"z{k}w{i}" for i in range(20)) for k in range(700)}  # chain shingles stay infrequent
     source = table(spark, docs).select(F.col("doc_id").alias("id"), "text")
     buckets = source.select(F.lit(1).cast("long").alias("key"), "id")
-    found, labels = neardup.grouped(source, buckets, neardup.weights(source))
+    found, labels = neardup.grouped(source, buckets, *sampled(source))
     assert {(r.a, r.b) for r in found.collect()} == {(k, k + 1) for k in range(7)}
     assert {r.id: r.label for r in labels.collect()} == dict.fromkeys(range(8), 0)
 
@@ -130,7 +186,7 @@ def test_ties_are_links(spark):
     docs |= {100 + k: f"z{k}" for k in range(200)}  # so many that shingles of two documents weigh as much as others
     source = table(spark, docs).select(F.col("doc_id").alias("id"), "text")
     buckets = source.select(F.lit(1).cast("long").alias("key"), "id")
-    assert {(r.a, r.b) for r in neardup.links(source, buckets, neardup.weights(source)).collect()} == {(1, 2), (3, 4)}
+    assert {(r.a, r.b) for r in neardup.links(source, buckets, *sampled(source)).collect()} == {(1, 2), (3, 4)}
 
 
 def test_sampling_estimates_similarity():
@@ -149,6 +205,10 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 50)] + [(100, 100 + i) for i in range(1, 80)] + [(300, 200), (200, 250)]
     got = {r.id: r.label for r in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(51)}, **{i: 100 for i in range(100, 180)}, 200: 200, 250: 200, 300: 200}
+    rounds = []
+    falling = [0, *range(400, 0, -1)]
+    got = {r.id: r.label for r in neardup.components(spark.createDataFrame(list(zip(falling, falling[1:], strict=False)), "a long, b long"), rounds).collect()}
+    assert got == dict.fromkeys(range(401), 0) and rounds[0] < 2 * math.log2(400)
 
 
 # --- LM scores
