@@ -1,90 +1,117 @@
-"""GIF: LZW code streams, palettes, disposal and transparency, timed frames and colour histograms."""
+"""GIF: LZW code streams, palettes, disposal and transparency, timed frames and colour histograms.
+
+Many frames are compressed at once: each is a lane of array operations that take one sample of every lane at a time.
+"""
 
 from __future__ import annotations
 
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from tessera.llm._store import rows_of
 
 WIDTH = 64
 #: Rows of a frame at most; longer payloads go on in further frames.
-FRAME_ROWS = 1024
-_GREY = np.repeat(np.arange(256, dtype=np.uint8), 3).tobytes()
+FRAME_ROWS = 64
+#: Pixels of a canvas, or samples of a frame, that the decoder takes at most.
+MOST_PIXELS = 1 << 24
+#: Payload bytes that are compressed together, and bytes of their tables.
+GROUP_BYTES, TABLE_BYTES = 4 << 20, 32 << 20
+#: The colour of sample b is (b, 73 b + 41, 151 b + 7) modulo 256: no two are equal.
+COLOURS = np.stack([np.arange(256), np.arange(256) * 73 + 41, np.arange(256) * 151 + 7], 1).astype(np.uint8)
+_EMPTY = np.uint32(0xFFFFFFFF)
 
 
 class BadGif(ValueError):
-    """The bytes aren't a complete GIF."""
-
-
-def pack_codes(codes: np.ndarray, bits: int) -> bytes:
-    """Codes of equal width, least bit first."""
-    return np.packbits((codes[:, None] >> np.arange(bits, dtype=codes.dtype)).astype(np.uint8) & 1, bitorder="little").tobytes()
-
-
-def lzw_literal(samples: np.ndarray) -> bytes:
-    """A valid code stream of single samples: the table is cleared before codes would grow to 10 bits. In place of
-    shorter output it's made by array operations at hundreds of MB/s."""
-    step = 254
-    rows = -(-len(samples) // step)
-    codes = np.full((rows, step + 1), 256, np.uint16)
-    padded = np.zeros(rows * step, np.uint16)
-    padded[: len(samples)] = samples
-    codes[:, 1:] = padded.reshape(rows, step)
-    flat = codes.ravel()[: len(samples) + rows]
-    return pack_codes(np.append(flat, np.uint16(257)), 9)
-
-
-def lzw_encode(samples: bytes, size: int = 8) -> bytes:
-    """The usual greedy compression, symbol by symbol; for small images."""
-    clear, out, held, width = 1 << size, 0, 0, size + 1
-    data = bytearray()
-
-    def put(code: int) -> None:
-        nonlocal out, held
-        out |= code << held
-        held += width
-        while held >= 8:
-            data.append(out & 255)
-            out >>= 8
-            held -= 8
-
-    table, following = {bytes([i]): i for i in range(clear)}, clear + 2
-    put(clear)
-    phrase = b""
-    for k in range(len(samples)):
-        longer = phrase + samples[k : k + 1]
-        if longer in table:
-            phrase = longer
-            continue
-        put(table[phrase])
-        if following < 4096:
-            table[longer] = following
-            following += 1
-            if following > 1 << width and width < 12:
-                width += 1
-        else:
-            put(clear)
-            table, following, width = {bytes([i]): i for i in range(clear)}, clear + 2, size + 1
-        phrase = samples[k : k + 1]
-    if phrase:
-        put(table[phrase])
-        following += 1
-        if following > 1 << width and width < 12:
-            width += 1
-    put(clear + 1)
-    if held:
-        data.append(out & 255)
-    return bytes(data)
+    """The bytes aren't a complete GIF, or claim more than MOST_PIXELS."""
+
+
+def _widths(nth: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+    """Bits of the nth code after a clear code: enough for the table's next entry."""
+    following = (1 << np.asarray(size, np.int64)) + 2 + np.maximum(0, nth - 1)
+    return np.minimum(12, np.maximum(np.asarray(size) + 1, np.floor(np.log2(following)).astype(np.int64) + 1))
+
+
+def _lanes(samples: np.ndarray, lengths: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of lanes, one lane after the other, and how many each has. samples is time x lanes, the longest lanes first.
+    A lane's table is a hash table of its own, of entries (code, next sample) << 12 | new code; a full table stays."""
+    time, lanes = samples.shape
+    slots = 1 << int(np.ceil(np.log2(2 * min(time, 4096) + 2)))
+    table = np.full(lanes * slots, _EMPTY, np.uint32)
+    codes, sent = np.zeros((time, lanes), np.uint16), np.zeros((time, lanes), bool)
+    now, free, base = samples[0].astype(np.uint32), ((1 << sizes) + 2).astype(np.uint32), np.arange(lanes) * slots
+    alive = np.searchsorted(-lengths, -np.arange(time), "left")  # lanes longer than t
+    shift, mask = np.uint32(32 - int(np.log2(slots))), slots - 1
+    for t in range(1, time):
+        n = alive[t]
+        key = now[:n] << np.uint32(8) | samples[t, :n]
+        slot = base[:n] + ((key * np.uint32(2654435761)) >> shift)
+        entry = table[slot]
+        open_ = np.flatnonzero((entry >> np.uint32(12) != key) & (entry != _EMPTY))
+        while len(open_):
+            own = base[open_]
+            slot[open_] = own + ((slot[open_] - own + 1) & mask)
+            entry[open_] = table[slot[open_]]
+            open_ = open_[(entry[open_] >> np.uint32(12) != key[open_]) & (entry[open_] != _EMPTY)]
+        miss = entry == _EMPTY
+        codes[t - 1, :n], sent[t - 1, :n] = now[:n], miss
+        new = np.flatnonzero(miss & (free[:n] < 4096))
+        table[slot[new]] = key[new] << np.uint32(12) | free[new]
+        free[new] += np.uint32(1)
+        now[:n] = np.where(miss, samples[t, :n], entry & np.uint32(4095))
+        done = slice(alive[t], alive[t - 1])  # lanes whose last sample was the one before
+        codes[t - 1, done], sent[t - 1, done] = now[done], True
+    codes[time - 1, : alive[time - 1]], sent[time - 1, : alive[time - 1]] = now[: alive[time - 1]], True
+    return np.ascontiguousarray(codes.T)[np.ascontiguousarray(sent.T)].astype(np.int64), sent.sum(0)
+
+
+def _packed(codes: np.ndarray, counts: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """Code streams, least bit first: of each lane a clear code, its codes and an end code."""
+    n, lanes = counts + 2, len(counts)
+    starts = np.cumsum(n) - n
+    lane = np.repeat(np.arange(lanes), n)
+    nth = np.arange(len(lane)) - starts[lane]
+    every = np.zeros(len(lane), np.int64)
+    every[(nth > 0) & (nth <= counts[lane])] = codes
+    every[starts] = 1 << sizes
+    every[starts + n - 1] = (1 << sizes) + 1
+    width = np.where(nth == 0, sizes[lane] + 1, _widths(nth - 1, sizes[lane]))
+    until = np.cumsum(width)
+    bits = np.add.reduceat(width, starts)
+    size = (bits + 7) // 8
+    at = np.cumsum(size) - size
+    place = until - width - np.repeat(np.cumsum(bits) - bits, n) + 8 * at[lane]
+    value, byte = every << (place & 7), place >> 3
+    total = int(size.sum()) + 2
+    out = sum(np.bincount(byte + k, (value >> (8 * k)) & 255, total) for k in range(3)).astype(np.uint8).tobytes()
+    return [out[a : a + b] for a, b in zip(at.tolist(), size.tolist(), strict=True)]
+
+
+def lzw_encode(frames: Sequence[np.ndarray], sizes: Sequence[int]) -> list[bytes]:
+    """The code stream of each frame's samples, none of them empty, for the given code sizes (2 to 8)."""
+    lengths, sizes = np.array([len(x) for x in frames], np.int64), np.array(sizes, np.int64)
+    order, out, at = np.argsort(-lengths, kind="stable"), [b""] * len(frames), 0
+    while at < len(order):
+        time = int(lengths[order[at]])
+        step = max(1, TABLE_BYTES // (8 * min(time, 4096) + 4 * time + 16))
+        some = order[at : at + step]
+        samples = np.zeros((len(some), time), np.uint8)
+        for k, i in enumerate(some):
+            samples[k, : lengths[i]] = frames[i]
+        codes, counts = _lanes(np.ascontiguousarray(samples.T), lengths[some], sizes[some])
+        for i, stream in zip(some, _packed(codes, counts, sizes[some]), strict=True):
+            out[i] = stream
+        at += step
+    return out
 
 
 def _bits_at(data: np.ndarray, at: np.ndarray, width: np.ndarray | int) -> np.ndarray:
@@ -104,9 +131,6 @@ def _segment(codes: np.ndarray, clear: int) -> np.ndarray:
     parent[base:] = codes[:entries]
     if n and (codes[0] >= clear or (codes[1:] > np.minimum(base + np.arange(n - 1), 4095)).any() or ((codes == clear) | (codes == clear + 1)).any()):
         raise BadGif("a code before its table entry")
-    length = np.ones(size, np.int64)
-    length[base:] = 0
-    length[base:] = 1
     root, steps = parent.copy(), (np.arange(size) >= base).astype(np.int64)
     while (root >= base).any():
         steps = steps + steps[root]
@@ -131,20 +155,12 @@ def lzw_decode(data: bytes, size: int, wanted: int) -> np.ndarray:
         raise BadGif("a code size out of range")
     clear, bits = 1 << size, 8 * len(data)
     stream = np.frombuffer(data + b"\0\0\0\0", np.uint8)
-    # All codes at their least width, if the table is cleared before they grow.
-    codes = _bits_at(stream, np.arange(0, bits - size, size + 1), size + 1)
-    stop = np.flatnonzero(codes == clear + 1)
-    codes = codes[: stop[0]] if len(stop) else codes
-    resets = np.flatnonzero(codes == clear)
-    if len(stop) and len(resets) and resets[0] == 0 and np.diff(np.append(resets, len(codes))).max() <= clear - 1 and codes.max(initial=0) <= clear:
-        return codes[codes != clear].astype(np.uint8)[:wanted]
     out, at, have = [], 0, 0
     while have < wanted:
         n = 512
         while True:
             k = np.arange(n)
-            following = clear + 2 + np.maximum(0, k - 1)
-            width = np.minimum(12, np.maximum(size + 1, np.floor(np.log2(following)).astype(np.int64) + 1))
+            width = _widths(k, size)
             where = at + np.cumsum(width) - width
             fits = where + width <= bits
             codes = _bits_at(stream, where[fits], width[fits])
@@ -176,17 +192,55 @@ def _blocks(data: bytes) -> bytes:
     return rows.tobytes() + (bytes([len(rest)]) + rest if rest else b"") + b"\0"
 
 
-def encode(payload: bytes, *, width: int = WIDTH, rows: int = FRAME_ROWS, delay: int = 10) -> bytes:
-    """A GIF whose grey frames hold the payload, a positive multiple of width, as 8-bit samples, row by row."""
-    if not payload or len(payload) % width:
-        raise ValueError(f"the payload isn't a positive multiple of {width} bytes")
-    total = len(payload) // width
-    out = [b"GIF89a", struct.pack("<HHBBB", width, min(total, rows), 0xF7, 0, 0), _GREY]
-    samples = np.frombuffer(payload, np.uint8)
-    for at in range(0, total, rows):
-        n = min(rows, total - at)
-        out += [b"\x21\xf9\x04", struct.pack("<BHBB", 0x04, delay, 0, 0), b"\x2c", struct.pack("<HHHHB", 0, 0, width, n, 0), b"\x08", _blocks(lzw_literal(samples[at * width : (at + n) * width]))]
-    return b"".join(out) + b"\x3b"
+def _frames(payload: np.ndarray, width: int, rows: int) -> tuple[bytes, int, list[tuple]]:
+    """The palette, the code size, and of each frame its samples as indices, its rows, disposal and transparent index.
+
+    The palette has the payload's samples in order and, if there's room, a transparent one: what a frame would draw over
+    equal pixels stays as it is. A frame is disposed of as leaves most pixels of the next one drawn: it's left, or what was
+    before it is restored, or, if no pixel stays either way, its part is cleared."""
+    held = np.flatnonzero(np.bincount(payload, minlength=256))
+    index = np.zeros(256, np.uint8)
+    index[held] = np.arange(len(held))
+    clear = len(held) if len(held) < 256 else None
+    bits = max(1, int(len(held) - (clear is None)).bit_length())
+    palette = np.zeros((1 << bits, 3), np.uint8)
+    palette[: len(held)] = COLOURS[held]
+    parts = [payload[at : at + width * rows] for at in range(0, len(payload), width * rows)]
+    out, canvas = [], np.full(width * rows, -1, np.int16)
+    for k, part in enumerate(parts):
+        n, disposal, samples = len(part), 0, index[part]
+        if clear is not None and k:
+            samples = np.where(canvas[:n] == part, np.uint8(clear), samples)
+        if k + 1 < len(parts):
+            following = parts[k + 1]
+            before, after = canvas.copy(), canvas
+            after[:n] = part
+            kept, restored = ((x[: len(following)] == following).sum() for x in (after, before))
+            disposal = 2 if not max(kept, restored) else 1 if kept >= restored else 3
+            if disposal == 2:
+                canvas[:n] = -1
+            elif disposal == 3:
+                canvas = before
+        out.append((samples, n // width, disposal, clear))
+    return palette.tobytes(), bits, out
+
+
+def encode(payloads: Sequence[bytes], *, width: int = WIDTH, rows: int = FRAME_ROWS, delay: int = 10) -> list[bytes]:
+    """Of each payload, a positive multiple of width, a GIF whose composed frames hold it row by row, as 8-bit samples."""
+    made = []
+    for payload in payloads:
+        if not payload or len(payload) % width:
+            raise ValueError(f"a payload isn't a positive multiple of {width} bytes")
+        made.append(_frames(np.frombuffer(payload, np.uint8), width, rows))
+    sizes = [max(2, bits) for _, bits, frames in made for _ in frames]
+    streams = iter(lzw_encode([x[0] for _, _, frames in made for x in frames], sizes))
+    out = []
+    for palette, bits, frames in made:
+        file = [b"GIF89a", struct.pack("<HHBBB", width, frames[0][1], 0xF0 | (bits - 1), 0, 0), palette]
+        for _, n, disposal, clear in frames:
+            file += [b"\x21\xf9\x04", struct.pack("<BHBB", disposal << 2 | (clear is not None), delay, clear or 0, 0), b"\x2c", struct.pack("<HHHHB", 0, 0, width, n, 0), bytes([max(2, bits)]), _blocks(next(streams))]
+        out.append(b"".join(file) + b"\x3b")
+    return out
 
 
 @dataclass
@@ -194,7 +248,7 @@ class Frame:
     delay: int  #: hundredths of a second
     disposal: int
     box: tuple[int, int, int, int]  #: left, top, width, height of the part that the frame drew
-    rgba: np.ndarray  #: the canvas after the frame, height x width x 4
+    rgba: np.ndarray  #: the canvas after the frame, height x width x 4; the next frame draws on the same one
 
     def part(self) -> np.ndarray:
         x, y, w, h = self.box
@@ -202,7 +256,7 @@ class Frame:
 
 
 def decode(data: bytes) -> Iterator[Frame]:
-    """The frames one by one. BadGif if the bytes aren't a complete GIF."""
+    """The frames one by one, each on the canvas as it is then. BadGif if the bytes aren't a complete GIF."""
     try:
         yield from _decode(data)
     except (struct.error, IndexError) as e:
@@ -214,6 +268,8 @@ def _decode(data: bytes) -> Iterator[Frame]:
         raise BadGif("no GIF header")
     width, height, packed, _, _ = struct.unpack_from("<HHBBB", data, 6)
     at = 13
+    if width * height > MOST_PIXELS:
+        raise BadGif(f"a canvas of {width} x {height} pixels")
 
     def palette(packed: int, at: int) -> tuple[np.ndarray | None, int]:
         if not packed & 0x80:
@@ -270,7 +326,7 @@ def _decode(data: bytes) -> Iterator[Frame]:
         else:
             drawn = image != clear
             part[drawn] = pixels[drawn]
-        yield Frame(delay, disposal, (x, y, w, h), canvas.copy())
+        yield Frame(delay, disposal, (x, y, w, h), canvas)
         if disposal == 2:
             part[:] = 0
         elif before is not None:
@@ -279,34 +335,34 @@ def _decode(data: bytes) -> Iterator[Frame]:
 
 
 def histogram(rgba: np.ndarray) -> np.ndarray:
-    """Pixels by 16 steps of brightness."""
-    level = rgba[..., :3].astype(np.uint16) @ np.array([77, 150, 29], np.uint16) >> 12
-    return np.bincount(level.ravel(), minlength=16)
+    """Opaque pixels by colour: a quarter of the red, of the green and of the blue range each, 64 bins."""
+    some = rgba[rgba[..., 3] > 0]
+    bins = (some[:, 0] >> 6).astype(np.int64) << 4 | (some[:, 1] >> 6) << 2 | some[:, 2] >> 6
+    return np.bincount(bins, minlength=64)
 
 
 def store_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each row's id, n_bytes of its text as UTF-8 (null: empty), and media: a GIF of the text and zeros up to a positive
-    multiple of 64. Rows stay where they are read; equal texts give equal files."""
-    source = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("binary").alias("text"))
+    multiple of 64. Rows stay where they are read; equal texts give equal files. Other columns aren't read."""
+    source = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, held, at, n, files = rows_of(batch, "doc"), 0, 0, [], []
+            ids, held, at, texts = rows_of(batch, "doc"), 0, 0, []
             for k, value in enumerate(rows_of(batch, "text")):
-                raw = value.as_py() or b""
-                n.append(len(raw))
-                files.append(encode(raw + bytes(-len(raw) % WIDTH or (0 if raw else WIDTH))))
-                held += len(files[-1])
-                if held > 16 << 20 or k + 1 == len(ids):
-                    yield pa.RecordBatch.from_arrays([ids.slice(at, k + 1 - at), pa.array(n, pa.int64()), pa.array(files, pa.large_binary())], ["doc", "n_bytes", "media"])
-                    at, held, n, files = k + 1, 0, [], []
+                texts.append(value.as_py() or b"")
+                held += len(texts[-1])
+                if held > GROUP_BYTES or k + 1 == len(ids):
+                    files = encode([x + bytes(-len(x) % WIDTH or (0 if x else WIDTH)) for x in texts])
+                    yield pa.RecordBatch.from_arrays([ids.slice(at, k + 1 - at), pa.array([len(x) for x in texts], pa.int64()), pa.array(files, pa.large_binary())], ["doc", "n_bytes", "media"])
+                    at, held, texts = k + 1, 0, []
 
     return source.mapInArrow(run, f"doc {source.schema['doc'].dataType.simpleString()}, n_bytes long, media binary").withColumnRenamed("doc", id_col)
 
 
 def describe(media: bytes) -> dict:
-    """What the frames of a file hold: the payload's digests are over the red samples of the parts that frames drew."""
-    sha, n, tail, frames, delay, bins = hashlib.sha256(), 0, b"", 0, 0, np.zeros(16, np.int64)
+    """What the frames of a file hold: the payload's digests are over the red samples of the parts that frames show."""
+    sha, n, tail, frames, delay, bins = hashlib.sha256(), 0, b"", 0, 0, np.zeros(64, np.int64)
     for frame in decode(media):
         part = frame.part()
         samples = part[..., 0].tobytes()
@@ -319,31 +375,65 @@ def describe(media: bytes) -> dict:
     return {"payload_bytes": n, "payload_sha256": sha.hexdigest(), "tail_crc32": zlib.crc32(tail), "frames": frames, "duration": delay, "histogram": bins.tolist()}
 
 
+_LONGS = ArrayType(LongType())
+_ABOUT = [("payload_bytes", LongType(), pa.int64()), ("payload_sha256", StringType(), pa.string()), ("tail_crc32", LongType(), pa.int64()), ("media_bytes", LongType(), pa.int64()), ("media_sha256", StringType(), pa.string()), ("frames", IntegerType(), pa.int32()), ("duration", LongType(), pa.int64()), ("histogram", _LONGS, pa.list_(pa.int64())), ("error", StringType(), pa.string())]
+_FRAME = [("frame", IntegerType(), pa.int32()), ("starts", LongType(), pa.int64()), ("delay", LongType(), pa.int64()), ("disposal", IntegerType(), pa.int32()), *((x, IntegerType(), pa.int32()) for x in ("left", "top", "width", "height")), ("histogram", _LONGS, pa.list_(pa.int64())), ("error", StringType(), pa.string())]
+
+
+def _described(media: DataFrame, media_col: str, about: list, rows: object) -> DataFrame:
+    """The columns of media but the files and those that `about` replaces, and what rows() tells of each file."""
+    made = {name for name, _, _ in about}
+    names = [c for c in media.columns if c.lower() != media_col.lower() and c.lower() not in made]
+    schema = StructType([*media.select(*names).schema.fields, *(StructField(name, kind) for name, kind, _ in about)])
+    source = media.select(*names, F.col(media_col).alias("media file"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, place = [], []
+            for k, raw in enumerate(rows_of(batch, "media file")):
+                for x in rows(raw.as_py()):
+                    found.append(x)
+                    place.append(k)
+            others = batch.select(names).take(pa.array(place, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*others.columns, *(pa.array([x.get(name) for x in found], kind) for name, _, kind in about)], schema.names)
+
+    return source.mapInArrow(run, schema)
+
+
 def read_media(media: DataFrame, *, media_col: str = "media") -> DataFrame:
     """The input's other columns, payload_bytes, payload_sha256 and tail_crc32 (of its last 64 bytes) of the samples read
-    back, media_bytes, media_sha256, frames, duration (hundredths of a second), histogram (pixels by 16 steps of
-    brightness) and error. Null or damaged files have an error and null in the other columns."""
-    names = [c for c in media.columns if c != media_col]
-    schema = media.select(*names).schema
-    for name, kind in (("payload_bytes", "long"), ("payload_sha256", "string"), ("tail_crc32", "long"), ("media_bytes", "long"), ("media_sha256", "string"), ("frames", "integer"), ("duration", "long"), ("histogram", ArrayType(LongType())), ("error", "string")):
-        schema = schema.add(name, kind)
-    fields = ["payload_bytes", "payload_sha256", "tail_crc32", "frames", "duration", "histogram"]
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
-
-    def one(raw: bytes | None) -> dict:
+    back, media_bytes, media_sha256, frames, duration (hundredths of a second), histogram (pixels by 64 colours) and error.
+    Null or damaged files, and those that claim more than MOST_PIXELS, have an error and null in the other columns. Input
+    columns of these names are replaced."""
+
+    def rows(raw: bytes | None) -> list[dict]:
         if raw is None:
-            return {"error": "no file"}
+            return [{"error": "no file"}]
         own = {"media_bytes": len(raw), "media_sha256": hashlib.sha256(raw).hexdigest()}
         try:
-            return own | describe(raw)
+            return [own | describe(raw)]
         except BadGif as e:
-            return own | {"error": str(e)}
+            return [own | {"error": str(e)}]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [one(x.as_py()) for x in rows_of(batch, media_col)]
-            made = {k: pa.array([x.get(k) for x in found], t) for k, t in zip([*fields, "media_bytes", "media_sha256", "error"], [*kinds, pa.int64(), pa.string(), pa.string()], strict=True)}
-            order = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "frames", "duration", "histogram", "error"]
-            yield pa.RecordBatch.from_arrays([*(rows_of(batch, c) for c in names), *(made[k] for k in order)], [*names, *order])
+    return _described(media, media_col, _ABOUT, rows)
+
+
+def read_frames(media: DataFrame, *, media_col: str = "media") -> DataFrame:
+    """A row for each frame of each file: the input's other columns, frame (from 0), starts and delay (hundredths of a
+    second), disposal, left, top, width and height of its part, and histogram, the part's pixels by 64 colours. A null or
+    damaged file gives the frames before the damage and a row with an error. Input columns of these names are replaced."""
+
+    def rows(raw: bytes | None) -> Iterator[dict]:
+        if raw is None:
+            yield {"error": "no file"}
+            return
+        starts = 0
+        try:
+            for k, frame in enumerate(decode(raw)):
+                x, y, w, h = frame.box
+                yield {"frame": k, "starts": starts, "delay": frame.delay, "disposal": frame.disposal, "left": x, "top": y, "width": w, "height": h, "histogram": histogram(frame.part()).tolist()}
+                starts += frame.delay
+        except BadGif as e:
+            yield {"error": str(e)}
 
-    return media.mapInArrow(run, schema)
+    return _described(media, media_col, _FRAME, rows)

@@ -43,8 +43,9 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = media.read_media(media.store_texts(read_table(spark, sf_dir, "documents")))
-    shape = F.concat(F.lit("frames="), F.col("frames"), F.lit(";duration="), F.col("duration"), F.lit(";histogram="), F.array_join(F.col("histogram").cast("array<string>"), ","))
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", shape.alias("feature"), "error")
+    colours = F.array_join(F.col("histogram").cast("array<string>"), ",")
+    shape = F.concat(F.lit("frames="), F.col("frames"), F.lit(";duration="), F.col("duration"), F.lit(";histogram="), colours)
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", shape.alias("feature"), "frames", "duration", "error")
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

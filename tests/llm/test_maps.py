@@ -203,64 +203,151 @@ def test_wrapped_license_headers(spark):
 # --- media
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.binary(max_size=3000), st.sampled_from([1, 7, 2, 255]))
-def test_lzw(raw, kinds):
-    samples = np.frombuffer(raw, np.uint8) % kinds
-    for stream in (media.lzw_literal(samples), media.lzw_encode(samples.tobytes())):
-        assert (media.lzw_decode(stream, 8, len(samples)) == samples).all()
-    few = (samples % 4).astype(np.uint8)
-    assert (media.lzw_decode(media.lzw_encode(few.tobytes(), 2), 2, len(few)) == few).all()
+def plain_lzw(samples, size=8):
+    """The usual greedy compression, symbol by symbol; a full table stays."""
+    clear, width, out, table = 1 << size, size + 1, [], {}
+    table = {bytes([i]): i for i in range(clear)}
+    following, bits = clear + 2, []
+
+    def put(code):
+        bits.extend(code >> i & 1 for i in range(width))
+
+    put(clear)
+    phrase, sent = b"", 0
+    for i in range(len(samples)):
+        longer = phrase + samples[i : i + 1]
+        if longer in table:
+            phrase = longer
+            continue
+        width = min(12, max(size + 1, (clear + 2 + max(0, sent - 1)).bit_length()))
+        put(table[phrase])
+        sent += 1
+        if following < 4096:
+            table[longer] = following
+            following += 1
+        phrase = samples[i : i + 1]
+    for code in (table[phrase], clear + 1):
+        width = min(12, max(size + 1, (clear + 2 + max(0, sent - 1)).bit_length()))
+        put(code)
+        sent += 1
+    bits += [0] * (-len(bits) % 8)
+    return bytes(sum(bits[i + k] << k for k in range(8)) for i in range(0, len(bits), 8))
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.binary(min_size=1, max_size=1500), st.sampled_from([(256, 8), (7, 3), (2, 2), (4, 2), (200, 8)])), min_size=1, max_size=6))
+def test_lzw(lanes):
+    frames = [np.frombuffer(raw, np.uint8) % kinds if kinds < 256 else np.frombuffer(raw, np.uint8) for raw, (kinds, _) in lanes]
+    sizes = [size for _, (_, size) in lanes]
+    streams = media.lzw_encode(frames, sizes)
+    for frame, size, stream in zip(frames, sizes, streams, strict=True):
+        assert stream == plain_lzw(frame.astype(np.uint8).tobytes(), size)
+        assert (media.lzw_decode(stream, size, len(frame)) == frame).all()
 
 
 def test_lzw_long():
-    samples = np.random.default_rng(3).integers(0, 9, 100_000).astype(np.uint8)
-    assert (media.lzw_decode(media.lzw_encode(samples.tobytes()), 8, len(samples)) == samples).all()
-    same = np.zeros(100_000, np.uint8)
-    assert (media.lzw_decode(media.lzw_encode(same.tobytes()), 8, len(same)) == same).all()
+    """Full tables, and one of runs: codes of up to 12 bits."""
+    random_ = np.random.default_rng(3)
+    frames = [random_.integers(0, 9, 100_000).astype(np.uint8), np.zeros(100_000, np.uint8), random_.integers(0, 256, 9000).astype(np.uint8)]
+    for frame, stream in zip(frames, media.lzw_encode(frames, [8, 8, 8]), strict=True):
+        assert (media.lzw_decode(stream, 8, len(frame)) == frame).all()
+    assert media.lzw_encode(frames[:1], [8])[0] == plain_lzw(frames[0].tobytes())
+
+
+GREY = np.repeat(np.arange(256, dtype=np.uint8), 3).tobytes()
 
 
 def gif(frames, size=(3, 2)):
     import struct
 
-    out = b"GIF89a" + struct.pack("<HHBBB", *size, 0xF7, 0, 0) + media._GREY
+    out = b"GIF89a" + struct.pack("<HHBBB", *size, 0xF7, 0, 0) + GREY
     for delay, disposal, clear, box, samples, interlaced in frames:
         out += b"\x21\xf9\x04" + struct.pack("<BHBB", disposal << 2 | (clear is not None), delay, clear or 0, 0)
-        out += b"\x2c" + struct.pack("<HHHHB", *box, 0x40 * interlaced) + b"\x08" + media._blocks(media.lzw_encode(bytes(samples)))
+        out += b"\x2c" + struct.pack("<HHHHB", *box, 0x40 * interlaced) + b"\x08" + media._blocks(plain_lzw(bytes(samples)))
     return out + b"\x3b"
 
 
+def shown(data):
+    return [(f.delay, f.disposal, f.rgba.copy()) for f in media.decode(data)]
+
+
 def test_frames():
-    shown = list(media.decode(gif([(5, 1, None, (0, 0, 3, 2), [1, 2, 3, 4, 5, 6], 0), (6, 2, 0, (1, 0, 2, 1), [9, 0], 0), (7, 3, None, (0, 1, 1, 1), [8], 0), (8, 0, None, (2, 1, 1, 1), [7], 0)])))
-    assert [f.delay for f in shown] == [5, 6, 7, 8]
-    red = [f.rgba[..., 0].tolist() for f in shown]
+    found = shown(gif([(5, 1, None, (0, 0, 3, 2), [1, 2, 3, 4, 5, 6], 0), (6, 2, 0, (1, 0, 2, 1), [9, 0], 0), (7, 3, None, (0, 1, 1, 1), [8], 0), (8, 0, None, (2, 1, 1, 1), [7], 0)]))
+    assert [f[0] for f in found] == [5, 6, 7, 8]
+    red = [f[2][..., 0].tolist() for f in found]
     assert red == [[[1, 2, 3], [4, 5, 6]], [[1, 9, 3], [4, 5, 6]], [[1, 0, 0], [8, 5, 6]], [[1, 0, 0], [4, 5, 7]]]
-    assert shown[2].rgba[0, 1, 3] == 0 and shown[1].rgba[0, 2].tolist() == [3, 3, 3, 255]
+    assert found[2][2][0, 1, 3] == 0 and found[1][2][0, 2].tolist() == [3, 3, 3, 255]
     rows = list(range(10))
     order = [0, 8, 4, 2, 6, 1, 3, 5, 7, 9]
-    assert next(media.decode(gif([(0, 0, None, (0, 0, 1, 10), order, 1)], (1, 10)))).rgba[:, 0, 0].tolist() == rows
-    assert media.histogram(shown[0].rgba).tolist() == [6, *[0] * 15]
-    for bad in (b"", b"GIF89a", gif([(0, 0, None, (0, 0, 3, 2), [1, 2], 0)]), gif([(0, 0, None, (2, 0, 3, 2), [1] * 6, 0)]), gif([])[:-1]):
+    assert shown(gif([(0, 0, None, (0, 0, 1, 10), order, 1)], (1, 10)))[0][2][:, 0, 0].tolist() == rows
+    assert media.histogram(found[0][2]).tolist() == [6, *[0] * 63] and media.histogram(found[2][2]).sum() == 4
+    huge = b"GIF89a" + b"\xff\xff\xff\xff\xf0\0\0" + b"\0" * 6 + b"\x3b"
+    for bad in (b"", b"GIF89a", gif([(0, 0, None, (0, 0, 3, 2), [1, 2], 0)]), gif([(0, 0, None, (2, 0, 3, 2), [1] * 6, 0)]), gif([])[:-1], huge):
         with pytest.raises(media.BadGif):
-            list(media.decode(bad))
+            shown(bad)
+
+
+def test_stored_frames_use_palettes_transparency_and_disposal(monkeypatch):
+    a, b, c = b"abcd" * 1024, b"abce" * 1024, b"wxyz" * 1024
+    file = media.encode([a + b + c + a + b + a[:64]])[0]
+    found = shown(file)
+    assert {x[1] for x in found} >= {0, 1, 2}
+    assert len(file) < 6 * 1024 and file[10] == 0xF3  # a palette of 16 colours
+    flags = [file[i + 3] for i in range(len(file) - 8) if file[i : i + 3] == b"\x21\xf9\x04"]
+    assert len(flags) == 6 and all(x & 1 for x in flags)
+    turns = media.encode([a + c + a + b"abcd" * 512 + b"wxyz" * 512])[0]
+    assert b"".join(f.part()[..., 0].tobytes() for f in media.decode(turns)) == a + c + a + b"abcd" * 512 + b"wxyz" * 512
+    whole = bytes(range(256)) * 32
+    assert b"".join(f.part()[..., 0].tobytes() for f in media.decode(media.encode([whole])[0])) == whole
+    calls = []
+    table = media._segment
+    monkeypatch.setattr(media, "_segment", lambda codes, clear: calls.append(codes.max() > clear + 1) or table(codes, clear))
+    assert b"".join(f.part()[..., 0].tobytes() for f in media.decode(file)) == a + b + c + a + b + a[:64]
+    assert calls and any(calls)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.text(alphabet="ab \nñ漢", max_size=700), min_size=1, max_size=5), st.sampled_from([1, 2, 5]))
+def test_media_round_trip(texts, rows):
+    payloads = [x + bytes(-len(x) % 64 or (0 if x else 64)) for x in (t.encode() for t in texts)]
+    for payload, file in zip(payloads, media.encode(payloads, rows=rows), strict=True):
+        assert b"".join(f.part()[..., 0].tobytes() for f in media.decode(file)) == payload
 
 
 def test_media(spark):
     long = "long text " * 20_000
     rows = [(1, "abc"), (2, None), (3, ""), (4, "abc"), (None, "ñ" * 64), (5, long)]
-    stored = media.store_texts(spark.createDataFrame(rows, "doc_id long, text string"))
-    got = media.read_media(stored).toPandas()
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("media", F.lit(1)).withColumn("doc", F.lit(2))
+    stored = media.store_texts(df)
+    got = media.read_media(stored.withColumn("ERROR", F.lit(3)).withColumn("frames", F.lit(4)))
+    assert got.columns.count("frames") == 1 and "ERROR" not in got.columns
+    got = got.toPandas()
     for (_, text), r in zip(rows, got.itertuples(), strict=True):
         raw = (text or "").encode()
         payload = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
         assert sum(r.histogram) == len(payload) and r.error is None
-    assert got.media_sha256[0] == got.media_sha256[3] and got.frames[5] == 4
-    bad = spark.createDataFrame([(1, None), (2, bytearray(b"x"))], "doc_id long, media binary")
-    assert [r.error for r in media.read_media(bad).collect()] == ["no file", "no GIF header"]
+    assert got.media_sha256[0] == got.media_sha256[3] and got.frames[5] == 49 and got.media_bytes[5] < 100_000
+    frames = media.read_frames(stored).where("doc_id = 5").orderBy("frame").toPandas()
+    assert frames.starts.tolist() == [10 * k for k in range(49)] and frames.height.tolist() == [64] * 48 + [53]
+    assert sum(sum(x) for x in frames.histogram) == 200_000
+    bad = spark.createDataFrame([(1, None), (2, bytearray(b"x")), (3, bytearray(b"GIF89a" + b"\xff" * 4 + b"\xf0" + b"\0" * 8 + b"\x3b"))], "doc_id long, media binary")
+    assert [r.error for r in media.read_media(bad).collect()] == ["no file", "no GIF header", "a canvas of 65535 x 65535 pixels"]
+    assert [r.error is None for r in media.read_frames(bad).collect()] == [False] * 3
     assert media.read_media(media.store_texts(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
 
 
+def test_media_query(spark):
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    got = queries.op5_media(spark, DATA).toPandas().set_index("doc_id")
+    assert set(got.index) == set(texts) and got.error.isna().all()
+    for d, raw in texts.items():
+        payload = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
+        r = got.loc[d]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+    assert got.media_bytes.sum() < 0.8 * got.payload_bytes.sum()
+
+
 # --- archives
 
 
