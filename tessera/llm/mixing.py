@@ -2,7 +2,8 @@
 
 Every document has a hash in [0, 2^56). A source takes all its documents a whole number of times and, once more, those
 whose hash is under a threshold. Thresholds come from sums of words by source and hash bucket, made finer only in the
-bucket in which the budget ends; no document is sorted, and a larger budget takes all that a smaller one takes.
+bucket in which the budget ends; no document is sorted but those of the very hash at which it ends, and a larger budget
+takes all that a smaller one takes.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm._store import written
+from tessera.llm._store import fresh, written
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -28,9 +29,11 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def place(doc_id: Column) -> Column:
-    """A document's place in [0, 2^56): the first 14 hex digits of the md5 of its id as text (null as empty)."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 14), 16, 10).cast("long")
+def place(doc_id: Column, text: Column) -> Column:
+    """A document's place in [0, 2^56): the first 14 hex digits of the md5 of its id as text, or, if that's null, of its
+    text's md5 (null as empty)."""
+    named = F.coalesce(doc_id.cast("string"), F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
+    return F.conv(F.substring(F.md5(named.cast("binary")), 1, 14), 16, 10).cast("long")
 
 
 def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST_TIMES) -> DataFrame:
@@ -58,12 +61,11 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
 
 def thresholds(sized: DataFrame, goals: DataFrame) -> DataFrame:
     """source, size, place and source, source_size, target -> goals with copies (whole times that all documents are
-    taken) and threshold (documents with a place below it are taken once more).
+    taken), threshold (documents with a place below it are taken once more) and quota (words to take of those at it).
 
     Level by level the sums by source and bucket show the bucket in which the budget ends; the next level reads that
-    bucket alone. The last bucket, of one place, is taken if that brings the words nearer to the target. Sums are made
-    before they are shuffled, so a source with most documents costs 2^14 sums a task at most. Tables of sources are
-    written, so their sizes are known: Spark broadcasts them only below its own threshold.
+    bucket alone. Sums are made before they are shuffled, so a source with most documents costs 2^14 sums a task at most.
+    Tables of sources are written, so their sizes are known: Spark broadcasts them only below its own threshold.
     """
     goals = goals.withColumn("copies", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
     edge = goals.withColumn("rest", F.col("target") - F.col("copies") * F.col("source_size")).withColumn("low", F.lit(0).cast("long"))
@@ -81,23 +83,32 @@ def thresholds(sized: DataFrame, goals: DataFrame) -> DataFrame:
         first = reached.groupBy("s").agg(F.min(F.struct("bucket", "words", "until")).alias("b"))
         edge = edge.join(first, F.col("source").eqNullSafe(F.col("s")), "left")
         low = F.coalesce(F.col("b.bucket") * width, F.col("low"))
-        if level < LEVELS:
-            before = F.coalesce(F.col("rest") - (F.col("b.until") - F.col("b.words")), F.col("rest"))
-            edge = edge.select("source", "source_size", "target", "copies", before.alias("rest"), low.alias("low"))
-            edge = written(edge, f"edge{level}")  # a row for each source; the levels don't run again in later plans
-        else:
-            nearer = F.col("b.until") - F.col("rest") <= F.col("rest") - (F.col("b.until") - F.col("b.words"))
-            edge = edge.select("source", "source_size", "target", "copies", F.when(F.col("rest") <= 0, F.lit(0).cast("long")).otherwise(low + nearer.cast("long")).alias("threshold"))
-    return written(edge, "thresholds")
+        before = F.coalesce(F.col("rest") - (F.col("b.until") - F.col("b.words")), F.col("rest"))
+        edge = edge.select("source", "source_size", "target", "copies", before.alias("rest"), low.alias("low"))
+        edge = written(edge, f"edge{level}")  # a row for each source; the levels don't run again in later plans
+    some = F.when(F.col("target") > F.col("copies") * F.col("source_size"), F.col("low")).otherwise(F.lit(0).cast("long"))
+    return edge.select("source", "source_size", "target", "copies", some.alias("threshold"), F.when(F.col("target") > F.col("copies") * F.col("source_size"), F.col("rest")).otherwise(F.lit(0.0)).alias("quota"))
+
+
+def _times(rows: DataFrame, names: dict[str, str], order: list) -> DataFrame:
+    """rows, which have columns place, size, copies, threshold, quota and source by the given names, with times. Documents
+    at their source's threshold are taken in order, each if that brings the words nearer to the target; they're few, as only
+    equal ids (or equal texts without one) share a place."""
+    c = {k: F.col(v) for k, v in names.items()}
+    at = c["place"] == c["threshold"]
+    until = F.sum(c["size"]).over(Window.partitionBy(c["source"], c["place"]).orderBy(c["size"], *order).rowsBetween(Window.unboundedPreceding, 0))
+    inside = (c["quota"] > 0) & (2 * until - c["size"] <= 2 * c["quota"])
+    others = rows.where(~at).withColumn(names["times"], c["copies"] + (c["place"] < c["threshold"]).cast("long"))
+    return others.unionByName(rows.where(at).withColumn(names["times"], c["copies"] + inside.cast("long")))
 
 
 def mix(docs: DataFrame, *, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST_TIMES, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
-    """The narrow table id, source, size, place and the sources' table source, source_size, target, copies, threshold.
+    """The narrow table id, source, size, place and the sources' table source, source_size, target, copies, threshold, quota.
 
-    Null ids share a place, as repeated ids do, and are taken together; null texts have size 0; null is a source like any
-    other, last in order; an empty table gives two empty tables. Other columns aren't read.
+    Repeated ids share a place, as equal texts without id do, but are taken one by one; null texts have size 0; null is a
+    source like any other, last in order; an empty table gives two empty tables. Other columns aren't read.
     """
-    sized = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), words(F.col(text_col).cast("string")).alias("size"), place(F.col(id_col)).alias("place")), "sized")
+    sized = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), words(F.col(text_col).cast("string")).alias("size"), place(F.col(id_col), F.col(text_col)).alias("place")), "sized")
     sizes = written(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "targets")
     return sized, thresholds(sized, sizes)
 
@@ -106,15 +117,19 @@ def takes(sized: DataFrame, cuts: DataFrame) -> DataFrame:
     """Each row of sized with source_size, target and times, how often the mix takes it. The sources' table is broadcast
     only while it's small (Spark's own threshold); sources of any number and size join by shuffle else."""
     cuts = cuts.withColumnRenamed("source", "s")
-    joined = sized.join(cuts, F.col("source").eqNullSafe(F.col("s")))
-    return joined.drop("s").withColumn("times", F.col("copies") + (F.col("place") < F.col("threshold")).cast("long"))
+    joined = sized.join(cuts, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    return _times(joined, {k: k for k in ("source", "place", "size", "copies", "threshold", "quota", "times")}, [])
 
 
 def mixed(docs: DataFrame, *, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST_TIMES, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The documents that the mix takes, with all their columns and `times`, how often it takes each (replaced if the input
     has such a column)."""
     _, cuts = mix(docs, weights=weights, share=share, most=most, id_col=id_col, text_col=text_col, source_col=source_col)
-    cuts = cuts.select(F.col("source").alias("__source"), F.col("copies").alias("__copies"), F.col("threshold").alias("__threshold"))
-    joined = docs.drop("times").join(cuts, F.col(source_col).cast("string").eqNullSafe(F.col("__source")))
-    times = F.col("__copies") + (place(F.col(id_col)) < F.col("__threshold")).cast("long")
-    return joined.withColumn("times", times).drop("__source", "__copies", "__threshold").where("times > 0")
+    docs = docs.drop("times")
+    added = ["source", "copies", "threshold", "quota", "place", "size"]
+    names = dict(zip(added, fresh(docs, *(f"{x} of mix" for x in added)), strict=True)) | {"times": "times"}
+    cuts = cuts.select(*(F.col(x).alias(names[x]) for x in added[:4]))
+    joined = docs.join(cuts, F.col(source_col).cast("string").eqNullSafe(F.col(names["source"])))
+    text = F.col(text_col).cast("string")
+    joined = joined.withColumn(names["place"], place(F.col(id_col), F.col(text_col))).withColumn(names["size"], words(text))
+    return _times(joined, names, [F.xxhash64(text)]).drop(*(names[x] for x in added)).where("times > 0")

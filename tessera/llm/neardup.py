@@ -3,7 +3,7 @@
 A shingle is five words; it weighs its count in the text times an inverse document frequency. Documents that agree in all
 samples of a band meet in a bucket and are compared with its most central member by their weighted Jaccard similarity.
 Links make components. Members of a bucket outside its largest component meet all others of the bucket, block by block,
-by their samples alone; pairs that agree in LIKELY of them are compared by their texts, so that no two similar members of a
+by their samples alone; those that agree in LIKELY of them meet again by their texts, so that no two similar members of a
 bucket stay apart.
 
 The inverse document frequency is 1 + ln(N / df), and 1 + ln(N / (FREQUENT N)) for all shingles that fewer than a share of
@@ -37,13 +37,14 @@ FREQUENT = 1 / 64
 SKETCH_BITS = 20
 #: Tasks whose sketches are summed together, before those sums are.
 TASKS = 512
-#: Members that a task compares with a representative at a time, by their texts, and that a block holds, by their samples.
-CHUNK, BLOCK = 256, 1024
+#: Members that a task compares with a representative at a time, and that a block holds.
+CHUNK, BLOCK = 256, 128
 #: Samples of BANDS * ROWS in which members of a bucket agree at least to be compared by their texts: documents of similarity
 #: 0.8 agree in fewer with a probability of 2e-6.
 LIKELY = 24
-#: Into how many parts the members of a bucket are dealt.
-_PARTS = 64
+#: Into how many parts the members of a bucket are dealt before they're repeated, and rows of a bucket that a part holds
+#: where they're not.
+_PARTS, PART = 64, 512
 #: What a similarity may miss the least one by: sums of weights are rounded, and ties are links.
 ROUNDING = 1e-9
 _HASH = np.uint64((1 << 50) - 1)
@@ -291,37 +292,103 @@ def _verified(texts: DataFrame, pairs: DataFrame, weights: Weights, least: float
     return written(rows.mapInArrow(run, f"a {kind}, b {kind}, similarity double"), "links")
 
 
-def _alike(apart: DataFrame, samples: DataFrame) -> DataFrame:
-    """The pairs a, b of each key's members (key, id, major) that aren't both major and agree in LIKELY samples. Members are
-    dealt into blocks of about BLOCK, minor ones first; each block of minor ones and each block meet in a task, as 96 bytes a
-    member. Keys are dealt into parts before their members are repeated for each block."""
+def _overlaps(first: np.ndarray, found: np.ndarray, counts: np.ndarray, weights: Weights) -> np.ndarray:
+    """Weighted Jaccard similarities of all rows with each other: sums of least weights as a product of 0-1 matrices whose
+    columns are a shingle's first, second, ... occurrence."""
+    n = len(first) - 1
+    row = np.repeat(np.arange(n), np.diff(first))
+    weight = weights.of(found, counts)
+    total = np.bincount(row, weight, n)
+    times = np.repeat(np.arange(len(found)), counts)
+    nth = np.arange(len(times)) - np.repeat(np.cumsum(counts) - counts, counts)
+    column, place, held = np.unique(tx.mixed(found[times] ^ (nth.astype(np.uint64) << np.uint64(50))), return_inverse=True, return_counts=True)
+    both = np.zeros((n, n))
+    some = np.flatnonzero(held[place] > 1)
+    kept = np.unique(place[some])
+    unit = np.zeros(len(column), np.float32)
+    unit[place] = np.sqrt(weights.of(found, np.ones(len(found), np.int64)))[times]
+    for at in range(0, len(kept), 1 << 14):
+        part = kept[at : at + (1 << 14)]
+        number = np.full(len(column), -1, np.int64)
+        number[part] = np.arange(len(part))
+        mine = some[number[place[some]] >= 0]
+        dense = np.zeros((n, len(part)), np.float32)
+        dense[row[times[mine]], number[place[mine]]] = unit[place[mine]]
+        both += dense @ dense.T
+    union = total[:, None] + total[None, :] - both
+    return np.where(union > 0, both / np.maximum(union, 1e-300), 0.0)
+
+
+def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Which of the links, in this order, join parts of n members that those before don't."""
+    parent, out = list(range(n)), np.zeros(len(a), bool)
+
+    def top(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    for k, (i, j) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        i, j = top(i), top(j)
+        if i != j:
+            parent[i], out[k] = j, True
+    return out
+
+
+def _blocks(texts: DataFrame, apart: DataFrame, samples: DataFrame, weights: Weights, least: float) -> DataFrame:
+    """Links that join what is similar among each key's members (key, id, major) that aren't both major. Members are dealt
+    into blocks of about BLOCK, minor ones first; each block of minor ones and each block meet in a task, first as 96 bytes
+    a member: those that agree in LIKELY samples with another meet again, as texts, and a task returns a forest of links.
+    Keys are dealt into parts before their members are repeated for each block; no pairs of members are listed."""
+    shared = texts.sparkSession.sparkContext.broadcast(weights)
     blocks = lambda some: F.ceil(F.count_if(some) / BLOCK).cast("int")
     sizes = apart.groupBy("key").agg(blocks(~F.col("major")).alias("minors"), blocks(F.col("major")).alias("majors"))
     sizes = sizes.select("key", "minors", "majors", F.explode(F.sequence(F.lit(0), F.lit(_PARTS - 1))).alias("part"))
-    dealt = apart.join(samples, "id").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(_PARTS)).cast("int")).join(sizes, ["key", "part"])
+    dealt = apart.hint("merge").join(samples, "id").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(_PARTS)).cast("int")).join(sizes, ["key", "part"])
     place = F.xxhash64("id", F.lit(1))
     at = F.when(F.col("major"), F.col("minors") + F.pmod(place, F.col("majors"))).otherwise(F.pmod(place, F.col("minors"))).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.when(F.col("major"), F.col("minors")).otherwise(F.col("minors") + F.col("majors")) - 1)).alias("other")
-    met = dealt.withColumn("own", at).select("key", "id", "own", "samples", other)
-    rows = met.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "samples")
+    met = dealt.withColumn("own", at).select("key", "id", "major", "own", "samples", other)
+    rows = met.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "major", "samples")
     kind = apart.schema["id"].dataType.simpleString()
 
-    def run(table: pa.Table) -> pa.Table:
-        ids, own = table["id"].combine_chunks(), table["own"].to_numpy()
-        all_samples = np.frombuffer(b"".join(table["samples"].to_pylist()), np.uint16).reshape(len(ids), -1)
+    def likely(table: pa.Table) -> pa.Table:
+        own = table["own"].to_numpy()
+        held = np.frombuffer(b"".join(table["samples"].to_pylist()), np.uint16).reshape(len(own), -1)
         left, right = (np.flatnonzero(own == table[c][0].as_py()) for c in ("x", "y"))
-        theirs = np.ascontiguousarray(all_samples[right].T)
-        i, j = [], []
+        theirs, some = np.ascontiguousarray(held[right].T), np.zeros(len(own), bool)
         for k in left:
-            agree = (theirs == all_samples[k][:, None]).sum(0, dtype=np.uint8)
-            some = right[agree >= LIKELY]
-            i.append(np.full(len(some), k))
-            j.append(some)
-        i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (i, j))
-        return pa.table({"a": ids.take(pa.array(i)), "b": ids.take(pa.array(j))})
+            agree = right[((theirs == held[k][:, None]).sum(0, dtype=np.uint8) >= LIKELY) & (right != k)]
+            some[agree] = True
+            some[k] |= len(agree) > 0
+        return table.select(["key", "x", "y", "id", "major"]).filter(pa.array(some))
+
+    few = rows.groupBy("key", "x", "y").applyInArrow(likely, f"key long, x int, y int, id {kind}, major boolean")
+    few = few.withColumnRenamed("id", "need").hint("merge").join(texts, F.col("need") == F.col("id")).select("key", "x", "y", "id", "major", "text")
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, major = table["id"].combine_chunks(), table["major"].to_numpy()
+        parts = [shingles(data, offsets)[:3] for _, _, data, offsets in _chunks(table["text"].combine_chunks())]
+        first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(f) for f, _, _ in parts]))])
+        found, counts = np.concatenate([f for _, f, _ in parts]), np.concatenate([c for _, _, c in parts])
+        near = np.triu(_overlaps(first, found, counts, shared.value) >= least - 1e-3, 1) & ~(major[:, None] & major[None, :])
+        i, j = np.nonzero(near)
+        weight = shared.value.of(found, counts)
+        rows = [(found[a:b], weight[a:b]) for a, b in zip(first, first[1:], strict=False)]
+        same = np.array([similarity(rows[a], rows[b]) for a, b in zip(i, j, strict=True)])  # products are in single precision
+        some = np.flatnonzero(same >= least - ROUNDING)
+        some = some[_forest(i[some], j[some], len(ids))]
+        return pa.table({"a": ids.take(pa.array(i[some])), "b": ids.take(pa.array(j[some])), "similarity": pa.array(same[some], pa.float64())})
+
+    found = few.groupBy("key", "x", "y").applyInArrow(run, f"a {kind}, b {kind}, similarity double")
+    return written(found.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity"), "links")
+
 
-    found = rows.groupBy("key", "x", "y").applyInArrow(run, f"a {kind}, b {kind}")
-    return found.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _dealt(rows: DataFrame, of_keys: DataFrame, n: str = "n") -> DataFrame:
+    """Joins rows (key, id) with the one row of each key, which has the number of its rows: large keys are dealt into parts."""
+    of_keys = of_keys.withColumn("parts", F.ceil(F.col(n) / PART)).select("*", F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))).alias("part")).drop("parts")
+    return rows.withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col(n) / PART)).cast("int")).drop(n).join(of_keys, ["key", "part"]).drop("part")
 
 
 def grouped(source: DataFrame, buckets: DataFrame, samples: DataFrame, weights: Weights, least: float = LEAST) -> tuple[DataFrame, DataFrame]:
@@ -330,24 +397,24 @@ def grouped(source: DataFrame, buckets: DataFrame, samples: DataFrame, weights:
 
     A bucket's representative is its most central member: that whose buckets have most members in all, as an original has
     beside its edited copies (of equal ones that of least id). Their links make components; in a bucket that several of
-    them share, members outside its largest meet all of the bucket (see _alike). Texts of members move once into a table
-    bucketed by id, then to the pairs they're in.
+    them share, members outside its largest meet all of the bucket (see _blocks). Texts of members move once into a table
+    bucketed by id, then to where they're compared.
     """
     sizes = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = written(buckets.join(sizes, "key"), "shared")
     central = shared.groupBy("id").agg(F.sum("n").alias("c")).withColumnRenamed("id", "id_")
-    ranked = written(shared.join(central, F.col("id") == F.col("id_")).select("key", "id", "c"), "ranked")
+    ranked = written(shared.join(central, F.col("id") == F.col("id_")).select("key", "id", "n", "c"), "ranked")
     members = ranked.select("id").distinct()
-    texts = bucketed(source.join(members, "id", "left_semi"), "id", shuffle_partitions(source.sparkSession))
+    texts = bucketed(source.hint("merge").join(members, "id", "left_semi"), "id", shuffle_partitions(source.sparkSession))
     first = F.struct((-F.col("c")).alias("c"), "id")
-    with_first = ranked.join(ranked.groupBy("key").agg(F.min(first)["id"].alias("a")), "key").where("id <> a")
+    with_first = _dealt(ranked, ranked.groupBy("key").agg(F.min(first)["id"].alias("a"), F.count("*").alias("n"))).where("id <> a")
     found = _verified(texts, with_first.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct(), weights, least)
     labels = components(found)
     named = labels.withColumnRenamed("id", "id_")
-    parts = written(ranked.join(named, F.col("id") == F.col("id_"), "left").select("key", "id", F.coalesce("label", "id").alias("label")), "parts")
-    kinds = parts.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "label"))["label"].alias("most"), F.count("*").alias("kinds"))
-    apart = parts.join(kinds.where("kinds > 1"), "key").select("key", "id", (F.col("label") == F.col("most")).alias("major"))
-    new = _verified(texts, _alike(written(apart, "apart"), samples), weights, least)
+    parts = written(ranked.join(named, F.col("id") == F.col("id_"), "left").select("key", "id", "n", F.coalesce("label", "id").alias("label")), "parts")
+    kinds = parts.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "label"))["label"].alias("most"), F.count("*").alias("kinds"), F.sum("n").alias("n"))
+    apart = _dealt(parts, kinds.where("kinds > 1")).select("key", "id", (F.col("label") == F.col("most")).alias("major"))
+    new = _blocks(texts, written(apart, "apart"), samples, weights, least)
     # components of components: what the new links join
     ends = new.select(F.col("a").alias("id")).unionByName(new.select(F.col("b").alias("id"))).distinct()
     labels = written(labels.unionByName(ends.join(labels, "id", "left_anti").select("id", F.col("id").alias("label"))), "labels")
@@ -389,17 +456,23 @@ def components(edges: DataFrame, count: list | None = None) -> DataFrame:
     return star.select(F.col("u").alias("id"), F.col("v").alias("label")).unionByName(star.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct())
 
 
-def _classes(source: DataFrame, least: float, frequent: float) -> tuple[DataFrame, DataFrame]:
-    """Of rows id, text: id, c1, c2; and c1, c2, group_id of the texts that have an id."""
+def _classes(source: DataFrame, least: float, frequent: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of rows id, text: id, c1, c2; c1, c2, group_id of the texts that have an id; and the ids that several rows have."""
     weighed = weights(source, "text", frequent)
     signed = written(_signed(source, weighed), "signed")
     known = signed.where("c1 is not null and id is not null")
     reps = written(known.groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("samples").alias("samples")), "classes")
-    buckets = reps.select(F.explode("bands").alias("key"), F.col("rep").alias("id")).distinct()
-    samples = reps.groupBy(F.col("rep").alias("id")).agg(F.min("samples").alias("samples"))
-    _, labels = grouped(source.where("id is not null"), buckets, samples, weighed, least)
+    again = written(signed.where("id is not null").groupBy("id").count().where("count > 1").select("id"), "again")
+    # an id stands for one text, of several the one of least digest
+    nodes = reps.groupBy(F.col("rep").alias("id")).agg(F.min(F.struct("c1", "c2", "bands", "samples")).alias("b")).select("id", "b.*")
+    several = nodes.join(again, "id", "left_semi").select(F.col("id").alias("rep"), F.col("c1").alias("d1"), F.col("c2").alias("d2"))
+    odd = _digested(source.join(again, "id", "left_semi"), "text", ["c1", "c2"])
+    odd = odd.join(several, (F.col("id") == F.col("rep")) & (F.col("c1") == F.col("d1")) & (F.col("c2") == F.col("d2"))).select("id", "text").dropDuplicates(["id"])
+    own = source.where("id is not null").join(again, "id", "left_anti").unionByName(odd)
+    buckets = nodes.select(F.explode("bands").alias("key"), "id").distinct()
+    _, labels = grouped(own, buckets, nodes.select("id", "samples"), weighed, least)
     final = reps.select("c1", "c2", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("c1", "c2", F.coalesce("label", "rep").alias("group_id"))
-    return signed.select("id", "c1", "c2"), final
+    return signed.select("id", "c1", "c2"), final, again
 
 
 def classes(docs: DataFrame, *, least: float = LEAST, frequent: float = FREQUENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -407,11 +480,11 @@ def classes(docs: DataFrame, *, least: float = LEAST, frequent: float = FREQUENT
 
     Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` with A-Z read as a-z. Texts of equal words are one before anything is
     compared, however many they are. Texts without words, or null, have a class of their own. A null id never stands for a
-    class: such rows have the group_id of their class, null if they're alone. Ids name documents: rows that share an id
-    share a class. Other columns aren't read; an empty table gives no rows.
+    class: such rows have the group_id of their class, null if they're alone. Ids name documents: of several texts with one
+    id that of least digest is compared with others, and all are of its class or of a smaller id's that has the same text. Other columns aren't read; an empty table gives no rows.
     """
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed, final = _classes(source, least, frequent)
+    signed, final, _ = _classes(source, least, frequent)
     out = signed.join(final, ["c1", "c2"], "left").select("id", F.coalesce("group_id", "id").alias("group_id"))
     return out.withColumn("kept", F.coalesce(F.col("id") == F.col("group_id"), F.col("group_id").isNull())).withColumnRenamed("id", id_col)
 
@@ -439,10 +512,10 @@ def deduplicated(docs: DataFrame, *, least: float = LEAST, frequent: float = FRE
     its id is its class's least one, or if no row with an id has a text of its class. Other rows are judged by their id.
     """
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed, final = _classes(source, least, frequent)
+    signed, final, again = _classes(source, least, frequent)
     final = written(final, "final")
     gone, c1, c2, d1, d2, group = fresh(docs, "gone", "c1", "c2", "d1", "d2", "group")
-    again = written(signed.where("id is not null").groupBy("id").count().where("count > 1").select(F.col("id").alias(gone)), "again")
+    again = again.select(F.col("id").alias(gone))
     drop = signed.where("id is not null").join(final, ["c1", "c2"]).where("id <> group_id").select(F.col("id").alias(gone))
     out = docs.where(F.col(id_col).isNotNull()).join(drop.unionByName(again).distinct(), F.col(id_col) == F.col(gone), "left_anti")
     odd = docs.where(F.col(id_col).isNull()).unionByName(docs.join(again, F.col(id_col) == F.col(gone), "left_semi"))

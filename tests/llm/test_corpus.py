@@ -109,11 +109,11 @@ def test_pairs_near_the_least_similarity(spark):
 
 def test_deduplicated_by_text_where_ids_dont_tell(spark):
     text, other = "the quick brown fox jumps over the lazy dog", "quite another text that nobody else has at all here"
-    rows = [(1, text), (7, text), (7, other), (8, other + " x"), (None, text), (None, "alone " * 9), (None, "alone " * 9), (None, None), (5, "p q r s t u v"), (5, "p q r s t u v")]
+    rows = [(1, text), (7, text), (7, other), (8, other + " x y"), (None, text), (None, "alone " * 9), (None, "alone " * 9), (None, None), (5, "p q r s t u v"), (5, "p q r s t u v")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("__gone", F.lit(1)).withColumn("GONE", F.lit(2)).withColumn("c1", F.lit("z"))
     got = neardup.deduplicated(df)
     assert got.columns == df.columns
-    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(1, text), (7, other), (8, other + " x"), (None, "alone " * 9), (None, None), (5, "p q r s t u v")], key=str)
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(1, text), (7, other), (8, other + " x y"), (None, "alone " * 9), (None, None), (5, "p q r s t u v")], key=str)
 
 
 def test_near_duplicates(spark):
@@ -400,23 +400,25 @@ def test_targets(spark):
 def test_mix(spark):
     random.seed(6)
     rows = [(i, random.choice(["x", "y", "y", "y", None]), "w " * random.randint(0, 40)) for i in range(800)]
+    rows += [(None, "alike", "w " * 50)] * 40 + [(2000 + i, "alike", "w " * 20) for i in range(60)] + [(3000, "same", "w " * 10)] * 90
     rows += [(None, "x", "a b"), (5, "x", "again and again"), (801, "only", None), (802, "empty", ""), (803, "big", "z " * 50_000)]
-    df = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("place", F.lit(1)).withColumn("times", F.lit(9))
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("place", F.lit(1)).withColumn("times", F.lit(9)).withColumn("__source", F.lit(8)).withColumn("SIZE", F.lit(7))
     got = mixing.takes(*mixing.mix(df)).toPandas()
     assert len(got) == len(rows)
     for _, own in got.groupby(got.source.fillna("-")):
         target, total = own.target.iloc[0], own["size"].sum()
         taken = (own["size"] * own.times).sum()
-        rest = target - own.copies.iloc[0] * total
-        best, sums = 0, own.groupby("place")["size"].sum().sort_index().cumsum()
-        if rest > 0:
-            reached = sums[sums >= rest].iloc[0]
-            before = reached - own[own.place == sums[sums >= rest].index[0]]["size"].sum()
-            best = reached if reached - rest <= rest - before else before
+        rest, best = target - own.copies.iloc[0] * total, 0
+        for n in own.sort_values(["place", "size"])["size"]:  # one by one, as long as that comes nearer
+            if rest <= 0 or (best + n - rest > rest - best):
+                break
+            best += n
         assert taken == own.copies.iloc[0] * total + best
         assert own.times.max() <= 2
+        if total > 100 and own["size"].max() <= 50:
+            assert abs(taken - target) <= 25
     mixed = mixing.mixed(df)
-    assert mixed.columns == ["doc_id", "source", "text", "place", "times"]
+    assert mixed.columns == ["doc_id", "source", "text", "place", "__source", "SIZE", "times"]
     assert mixed.agg(F.sum("times")).first()[0] == got.times.sum()
     again = mixing.takes(*mixing.mix(df.repartition(3))).toPandas()
     assert sorted(again.times * 1000 + again["size"]) == sorted(got.times * 1000 + got["size"])
