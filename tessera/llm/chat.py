@@ -1,22 +1,27 @@
 """Chat formatting: budgeted windows of whole turns, with the system turn, a little history and a loss mask.
 
 A window is the system turn, the last turns of the window before (both without loss) and as many new turns as the budget
-holds. Prefix sums of the turns' tokens choose the new turns. An assistant's turn has loss in the window in which it's new.
+holds: the last end that a binary search in the prefix sums of the turns' tokens finds under it. An assistant's turn has
+loss in the window in which it's new. Tokens are those of the unigram tokenizer.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm._store import rows_of
+from tessera.llm.tokens import Counter, load
 
-#: Tokens of a window, counted as blank-separated words and three for the marks of each turn.
-BUDGET = 512
+#: Tokens of a window, with three for the marks of each turn.
+BUDGET = 1024
+#: Budgets of turns that are gathered before they're cut into windows.
+AHEAD = 8
 #: Turns of the window before that are repeated, if half the budget holds them.
 HISTORY = 2
 _MARKS = 3
@@ -44,65 +49,77 @@ def unescape(text: str) -> str:
 
 
 class _Writer:
-    """The windows of one conversation, turn by turn; holds the turns of one window."""
+    """The windows of one conversation; holds AHEAD budgets of turns and one more turn at most."""
 
-    def __init__(self, budget: int, history: int) -> None:
-        self.budget, self.history = budget, history
+    def __init__(self, budget: int, history: int, count: Callable[[str], int]) -> None:
+        self.budget, self.history, self.count = budget, history, count
         self.system: tuple | None = None
         self.repeated: list[tuple] = []
-        self.turns: list[tuple] = []
-        self.sums = [0]  # prefix sums of the new turns' tokens
+        self.waiting: list[tuple] = []
+        self.sums = [0]  # prefix sums of the waiting turns' tokens
         self.seen = self.number = 0
 
-    def room(self) -> int:
-        used = sum(t[2] for t in self.repeated) + (self.system[2] if self.system and self.number else 0)
-        return self.budget - used
-
-    def add(self, role: str, text: str) -> tuple | None:
-        """Takes a turn; returns the window that it closes, if any. A turn over budget is a window's only new turn."""
-        turn = (role, text, len(text.split()) + _MARKS)
-        done = None
-        if self.turns and self.sums[-1] + turn[2] > self.room():
-            done = self.close()
-        self.turns.append(turn)
-        self.sums.append(self.sums[-1] + turn[2])
-        if self.seen == 0 and role == "system":
-            self.system = turn
-        self.seen += 1
-        return done
+    def again(self) -> list[tuple]:
+        """What the next window repeats. A system turn of over half the budget is in the first window alone."""
+        return ([self.system] if self.system and self.number else []) + self.repeated
 
-    def close(self) -> tuple:
+    def add(self, role: str, text: str) -> Iterator[tuple]:
+        """Takes a turn; gives the windows that are sure once it's there."""
+        turn = (role, text, self.count(text) + _MARKS)
+        if not self.waiting and not self.number and role == "system" and turn[2] <= self.budget // 2:
+            self.system = turn
+        self.waiting.append(turn)
+        self.sums.append(self.sums[-1] + turn[2])
+        if self.sums[-1] > AHEAD * self.budget:
+            yield from self.cut(self.budget)
+
+    def cut(self, left: int) -> Iterator[tuple]:
+        """Windows, until `left` tokens or fewer wait. A turn over budget is a window's only new turn."""
+        at = 0
+        while at < len(self.waiting) and self.sums[-1] - self.sums[at] > left:
+            room = self.budget - sum(t[2] for t in self.again())
+            to = max(at + 1, bisect_right(self.sums, self.sums[at] + room, at) - 1)
+            yield self.close(self.waiting[at:to])
+            at = to
+        self.waiting = self.waiting[at:]
+        self.sums = [x - self.sums[at] for x in self.sums[at:]]
+
+    def close(self, turns: list[tuple]) -> tuple:
         """window, turn_from, n_turns, n_repeated, text, loss: spans of the texts with loss."""
-        again = ([self.system] if self.system and self.number else []) + self.repeated
+        again = self.again()
         text, at, loss = [], 0, []
-        for k, (role, said, _) in enumerate([*again, *self.turns]):
+        for k, (role, said, _) in enumerate([*again, *turns]):
             head, body = OPEN + escape(role) + MIDDLE, escape(said)
             if k >= len(again) and role == "assistant":
                 loss.append({"from": at + len(head), "to": at + len(head) + len(body)})
             text.append(head + body + CLOSE)
             at += len(text[-1])
-        out = (self.number, self.seen - len(self.turns), len(again) + len(self.turns), len(again), "".join(text), loss)
-        last = self.turns[-self.history :] if self.history else []
-        last = [t for t in last if t is not self.system]
+        out = (self.number, self.seen, len(again) + len(turns), len(again), "".join(text), loss)
+        last = [t for t in turns[-self.history :] if t is not self.system] if self.history else []
         while last and sum(t[2] for t in last) + (self.system[2] if self.system else 0) > self.budget // 2:
             last = last[1:]
-        self.repeated, self.turns, self.sums = last, [], [0]
+        self.repeated = last
+        self.seen += len(turns)
         self.number += 1
         return out
 
 
 WINDOWS = "window long, turn_from long, n_turns long, n_repeated long, text string, loss array<struct<from: long, to: long>>"
+_NAMES = ("window", "turn_from", "n_turns", "n_repeated", "text", "loss")
 _KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))]
 
 
-def format_chats(chats: DataFrame, *, budget: int = BUDGET, history: int = HISTORY, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+def format_chats(chats: DataFrame, *, vocabulary: list[tuple[str, float]] | None = None, budget: int = BUDGET, history: int = HISTORY, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """The windows of all conversations in order: conv_id, window, turn_from (the first new turn), n_turns, n_repeated (the
     first turns without loss that an earlier window has), text, and loss, the spans of text (characters) under the loss.
 
     Rows go by conversation to a partition each and stream through it sorted by turn (null first), role and text, so a
-    conversation of any length holds one window in memory. Null roles and texts are empty; null is a conversation too;
-    repeated rows are turns of their own; other columns aren't read.
+    conversation of any length holds some windows in memory. Null roles and texts are empty; null is a conversation too;
+    repeated rows are turns of their own; other columns aren't read. conv_col can't be named as a column of the windows.
     """
+    if conv_col.lower() in _NAMES:
+        raise ValueError(f"{conv_col} is also a column of the windows")
+    shared = chats.sparkSession.sparkContext.broadcast(Counter(load() if vocabulary is None else vocabulary))
     rows = chats.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("said"))
     rows = rows.repartition("conv").sortWithinPartitions("conv", "turn", "role", "said")
     kind = rows.schema["conv"].dataType.simpleString()
@@ -118,16 +135,16 @@ def format_chats(chats: DataFrame, *, budget: int = BUDGET, history: int = HISTO
             for conv, role, said in zip(*(rows_of(batch, c).to_pylist() for c in ("conv", "role", "said")), strict=True):
                 if writer is None or conv != current:
                     if writer:
-                        out.append((current, writer.close()))
-                    writer, current = _Writer(budget, history), conv
-                if done := writer.add(role, said):
+                        out += [(current, x) for x in writer.cut(0)]
+                    writer, current = _Writer(budget, history, shared.value.count), conv
+                for done in writer.add(role, said):
                     out.append((conv, done))
                     held += len(done[4])
                 if held > 4 << 20 or len(out) > 10_000:
                     yield batch_of()
                     out, held = [], 0
         if writer:
-            out.append((current, writer.close()))
+            out += [(current, x) for x in writer.cut(0)]
             yield batch_of()
 
     return rows.mapInArrow(run, f"conv {kind}, {WINDOWS}").withColumnRenamed("conv", conv_col)
@@ -147,9 +164,11 @@ def parse(text: str, loss: list[dict]) -> Iterator[tuple[str, str, bool]]:
 
 
 def read_chats(windows: DataFrame, *, conv_col: str = "conv_id") -> DataFrame:
-    """Reads the windows of format_chats back, in the order it returns them: for each conversation n_turns, turns_sha256
+    """Reads the windows of format_chats back, stored and dealt in whatever order: for each conversation n_turns, turns_sha256
     (over role, newline, text, newline of each turn), loss_chars and loss_sha256 (of the texts under the loss mask, joined)
-    and formatted_chars (of all windows). Digests go on from window to window; no conversation is held."""
+    and formatted_chars (of all windows). Windows go by conversation to a partition each and stream through it in order, so
+    that digests go on from window to window; no conversation is held."""
+    windows = windows.repartition(conv_col).sortWithinPartitions(conv_col, "window")
     kind = windows.schema[conv_col].dataType.simpleString()
     names = ["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 

@@ -7,7 +7,6 @@ of two words or more. Every suffix of every test item is looked up by binary sea
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,7 +38,8 @@ class Items:
     n_words: np.ndarray
     windows: np.ndarray  #: starts in tokens of the different windows
     width: np.ndarray  #: words of each window
-    window_items: list  #: indices of the items that have the window
+    held: np.ndarray  #: window, item and position in it of all windows of all items, by window
+    held_from: np.ndarray  #: where in held each window begins
 
     @classmethod
     def of(cls, ids: list, texts: list, window: int = WINDOW) -> Items:
@@ -51,18 +51,22 @@ class Items:
         tokens = np.zeros(len(words) + len(n), np.int64)
         tokens[np.arange(len(words)) + tx.owners(first)] = np.searchsorted(vocabulary, words) + 1
         start = first[:-1] + np.arange(len(n))
-        seen: dict[bytes, int] = {}
-        at, width, holders = [], [], []
-        for i in np.flatnonzero(n):
-            w = min(window, int(n[i]))
-            for s in range(int(start[i]), int(start[i] + n[i]) - w + 1):
-                k = seen.setdefault(tokens[s : s + w].tobytes(), len(at))
-                if k == len(at):
-                    at.append(s)
-                    width.append(w)
-                    holders.append(set())
-                holders[k].add(int(i))
-        return cls(ids, vocabulary, tokens, start, n, np.array(at, np.int64), np.array(width, np.int64), [sorted(x) for x in holders])
+        at, width, held, n_seen = [], [], [], 0
+        for w in np.unique(np.minimum(n[n > 0], window)):
+            some = np.flatnonzero(np.minimum(n, window) == w)
+            many = n[some] - w + 1
+            item = np.repeat(some, many)
+            position = np.arange(len(item)) - np.repeat(np.cumsum(many) - many, many)
+            all_at = start[item] + position
+            _, index, place = np.unique(tokens[all_at[:, None] + np.arange(w)], axis=0, return_index=True, return_inverse=True)
+            at.append(all_at[index])
+            width.append(np.full(len(index), w))
+            held.append(np.stack([place.ravel() + n_seen, item, position], 1))
+            n_seen += len(index)
+        held = np.concatenate([np.zeros((0, 3), np.int64), *held])
+        held = held[np.argsort(held[:, 0], kind="stable")]
+        every = lambda x: np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64)
+        return cls(ids, vocabulary, tokens, start, n, every(at), every(width), held, np.searchsorted(held[:, 0], np.arange(n_seen + 1)))
 
     def prefix(self, at: np.ndarray, n: int) -> np.ndarray:
         """The n tokens from each position, 0 from the item's end on."""
@@ -72,6 +76,21 @@ class Items:
         return np.where(index < end[:, None], self.tokens[np.minimum(index, len(self.tokens) - 1)], 0)
 
 
+@dataclass
+class Block:
+    """Some test items, broadcast as texts; a worker indexes them when it first needs them."""
+
+    ids: list
+    texts: list
+    window: int
+    _items: Items | None = None
+
+    def items(self) -> Items:
+        if self._items is None:
+            self._items = Items.of(self.ids, self.texts, self.window)
+        return self._items
+
+
 def _member(codes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Which codes are among the sorted wanted ones; a table of bits leaves few to search for."""
     if not len(wanted):
@@ -210,33 +229,58 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int) ->
         texts.append(row.text)
         held += len(row.text)
         if held > BLOCK_BYTES:
-            blocks.append(broadcast(Items.of(ids, texts, window)))
+            blocks.append(broadcast(Block(ids, texts, window)))
             ids, texts, held = [], [], 0
     if ids:
-        blocks.append(broadcast(Items.of(ids, texts, window)))
+        blocks.append(broadcast(Block(ids, texts, window)))
     return blocks
 
 
-def _scan(blocks: list, text: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, list[set]]]:
-    """Chunk by chunk: rows from, to, their numbers of words and of hit words, and the ids of the items they hold."""
+def _longest(items: Items, found: list[tuple[int, np.ndarray]], doc_start: np.ndarray) -> Iterator[tuple]:
+    """Of each document with occurrences of windows the longest verbatim match with each item: document, words, item,
+    position in the document and in the item; of equally long ones the first. Windows that follow each other in both
+    texts are one match."""
+    at = np.concatenate([np.repeat(x, items.held_from[k + 1] - items.held_from[k]) for k, x in found])
+    held = np.concatenate([np.tile(items.held[items.held_from[k] : items.held_from[k + 1]], (len(x), 1)) for k, x in found])
+    doc = np.searchsorted(doc_start, at, "right") - 1
+    position, item, within = at - doc_start[doc], held[:, 1], held[:, 2]
+    order = np.lexsort((position, position - within, item, doc))
+    doc, position, item, within, width = doc[order], position[order], item[order], within[order], items.width[held[order, 0]]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (np.diff(position) != 1) | (np.diff(within) != 1)
+    first = np.flatnonzero(new)
+    n = np.diff(np.append(first, len(doc))) + width[first] - 1
+    order = np.lexsort((within[first], position[first], -n, item[first], doc[first]))
+    first, n = first[order], n[order]
+    best = np.ones(len(first), bool)
+    best[1:] = (doc[first][1:] != doc[first][:-1]) | (item[first][1:] != item[first][:-1])
+    first, n = first[best], n[best]
+    yield from zip(doc[first].tolist(), n.tolist(), item[first].tolist(), position[first].tolist(), within[first].tolist(), strict=True)
+
+
+def _scan(blocks: list, text: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, list[dict]]]:
+    """Chunk by chunk: rows from, to, their numbers of words and of hit words, and of each the items it holds, by id, with
+    (words, position, position in the item) of the longest match."""
     for low, high, data, offsets in tx.chunks(text, 8 << 20):
         starts, ends, first = tx.spans(data, offsets, tx.ALNUM)
         words = tx.hashes(data, starts, ends)
         n_docs = high - low
         hit = np.zeros(len(words) + n_docs + 1, np.int64)
-        held: list[set] = [set() for _ in range(n_docs)]
+        held: list[dict] = [{} for _ in range(n_docs)]
         doc_start = first[:-1] + np.arange(n_docs)
         for block in blocks:
-            items = block.value
+            items = block.value.items()
             if not len(items.windows):
                 continue
             shard = Shard(words, first, items)
-            for k, at in shard.windows(items):
+            found = list(shard.windows(items))
+            for k, at in found:
                 np.add.at(hit, at, 1)
                 np.add.at(hit, at + items.width[k], -1)
-                names = {items.ids[i] for i in items.window_items[k]}
-                for doc in np.unique(np.searchsorted(doc_start, at, "right") - 1):
-                    held[doc] |= names
+            for doc, *match in _longest(items, found, doc_start) if found else ():
+                name, match = str(items.ids[match[1]]), (match[0], match[2], match[3])
+                if name not in held[doc] or (-held[doc][name][0], *held[doc][name][1:]) > (-match[0], *match[1:]):
+                    held[doc][name] = match
         covered = np.concatenate([[0], np.cumsum(np.cumsum(hit) > 0)])
         bounds = np.append(doc_start, len(words) + n_docs)
         yield low, high, np.diff(first), covered[bounds[1:]] - covered[bounds[:-1]], held
@@ -244,7 +288,9 @@ def _scan(blocks: list, text: pa.Array) -> Iterator[tuple[int, int, np.ndarray,
 
 def scan(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per document: its id, n_words, n_hit (words inside an occurrence of a window of an item), items (the ids
-    of the items with such windows, as strings in order) and contaminated.
+    of the items with such windows, as strings in order), contaminated, and its longest verbatim match: match_words, match_item,
+    match_position and item_position, in words from 0 (0 and nulls without one; of equally long ones the least item, then
+    the first).
 
     Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` with A-Z read as a-z; a window is `window` consecutive words of an
     item, or all words of a shorter one. Null and empty texts have no words and aren't contaminated; items without id or
@@ -259,12 +305,14 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, id_col:
         for batch in batches:
             ids = rows_of(batch, "doc")
             for low, high, words, hits, held in _scan(blocks, rows_of(batch, "text")):
+                best = [min(((-m[0], name, m[1], m[2]) for name, m in x.items()), default=(0, None, None, None)) for x in held]
+                match = [pa.array([-x[0] for x in best], pa.int64()), pa.array([x[1] for x in best], pa.string()), *(pa.array([x[k] for x in best], pa.int64()) for k in (2, 3))]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(low, high - low), pa.array(words, pa.int64()), pa.array(hits, pa.int64()), pa.array([sorted(map(str, x)) for x in held], pa.list_(pa.string())), pa.array(hits > 0, pa.bool_())],
-                    ["doc", "n_words", "n_hit", "items", "contaminated"],
+                    [ids.slice(low, high - low), pa.array(words, pa.int64()), pa.array(hits, pa.int64()), pa.array([sorted(x) for x in held], pa.list_(pa.string())), pa.array(hits > 0, pa.bool_()), *match],
+                    ["doc", "n_words", "n_hit", "items", "contaminated", "match_words", "match_item", "match_position", "item_position"],
                 )
 
-    return source.mapInArrow(run, f"doc {kind.simpleString()}, n_words long, n_hit long, items array<string>, contaminated boolean").withColumnRenamed("doc", id_col)
+    return source.mapInArrow(run, f"doc {kind.simpleString()}, n_words long, n_hit long, items array<string>, contaminated boolean, match_words long, match_item string, match_position long, item_position long").withColumnRenamed("doc", id_col)
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -295,7 +343,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, *, least: int = 2, id
                 starts, ends, first = tx.spans(data, offsets, tx.ALNUM)
                 words = tx.hashes(data, starts, ends)
                 for block in blocks:
-                    items = block.value
+                    items = block.value.items()
                     shard = Shard(words, first, items)
                     all_at = np.flatnonzero(items.tokens)
                     for at in np.array_split(all_at, max(1, len(all_at) * shard.depth >> 22)):
@@ -312,6 +360,3 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, *, least: int = 2, id
     best = F.min(F.struct((-F.col("match_words")).alias("n"), "doc", "doc_position")).alias("best")
     return found.groupBy("item", "position").agg(best).select("item", "position", (-F.col("best.n")).alias("match_words"), "best.doc", "best.doc_position")
 
-
-def digest(ids: list[str]) -> str:
-    return hashlib.sha256(",".join(ids).encode()).hexdigest()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -11,13 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import _text as tx
-from tessera.llm._store import rows_of
+from tessera.llm._store import fresh, rows_of
 from tessera.llm.decontaminate import _member
 
 #: Least cosine of a line to a template.
 LEAST_COSINE = 0.75
 #: Templates of so many words are also compared with windows of as many words, across line ends.
 LEAST_WINDOW = 8
+_PARTS = 64
 
 #: Notices by which works name their licence.
 TEMPLATES = (
@@ -61,8 +63,10 @@ TEMPLATES = (
     ("ISC", 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.'),
     ("Unlicense", 'This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.'),
 )
-#: Names (without suffix, lower case) of the files whose licence holds for their directory.
+#: Beginnings (lower case) of the names of files whose licence holds for their directory, up to a dot, a dash or the end.
 LICENCE_FILES = ("license", "licence", "copying", "notice", "unlicense")
+#: Notices that grant nothing: they're an own result only beside no licence, and no directory inherits them.
+NO_LICENCE = ("All-rights-reserved",)
 
 
 def _words(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -79,7 +83,9 @@ class Scanner:
     vocabulary: np.ndarray
     idf: np.ndarray
     other: float
-    matrix: np.ndarray  #: words x templates
+    entry_from: np.ndarray  #: where each word's entries begin: its templates and its weights in them
+    entry_template: np.ndarray
+    entry_weight: np.ndarray
     least: float
     sizes: np.ndarray  #: words of each template
 
@@ -87,11 +93,22 @@ class Scanner:
     def of(cls, templates: Sequence[tuple[str, str]], vocabulary: np.ndarray, n: int, df: np.ndarray, least: float) -> Scanner:
         idf = np.log((1 + n) / (1 + df)) + 1
         words, first = _words([t for _, t in templates])
-        matrix = np.zeros((len(vocabulary), len(templates)))
-        np.add.at(matrix, (np.searchsorted(vocabulary, words), tx.owners(first)), 1)
-        matrix *= idf[:, None]
-        matrix /= np.maximum(np.sqrt((matrix**2).sum(0)), 1e-300)
-        return cls([x for x, _ in templates], vocabulary, idf, float(np.log(1 + n) + 1), matrix, least, np.diff(first))
+        pairs, times = np.unique(np.searchsorted(vocabulary, words) * len(templates) + tx.owners(first), return_counts=True)
+        word, template = pairs // len(templates), pairs % len(templates)
+        weight = times * idf[word]
+        weight /= np.sqrt(np.bincount(template, weight**2, len(templates)))[template]
+        return cls([x for x, _ in templates], vocabulary, idf, float(np.log(1 + n) + 1), np.searchsorted(word, np.arange(len(vocabulary) + 1)), template, weight, least, np.diff(first))
+
+    @cached_property
+    def behind(self) -> np.ndarray:
+        """1 for notices that are no licence: they stand behind all that are."""
+        return np.isin(self.names, NO_LICENCE).astype(float)
+
+    def weights_in(self, t: int) -> np.ndarray:
+        """The weight of each word of the vocabulary in a template."""
+        out, mine = np.zeros(len(self.vocabulary)), np.flatnonzero(self.entry_template == t)
+        out[np.searchsorted(self.entry_from, mine, "right") - 1] = self.entry_weight[mine]
+        return out
 
     def best(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each text the template that some line or window of words is nearest to (-1: none at the least cosine), that
@@ -109,12 +126,11 @@ class Scanner:
         far = np.bincount(line[~inside], minlength=n_lines)[:n_lines] * self.other**2
         # a cosine is at most the share of a line's length that lies in the templates' words
         some = (near > 0) & (near >= self.least**2 * (near + far) * (1 - 1e-9))
-        out, score, where = np.full(n, -1), np.zeros(n), np.zeros(n, np.int64)
+        out, score, where, rank = np.full(n, -1), np.zeros(n), np.zeros(n, np.int64), np.full(n, -2.0)
         picked = some[line[inside]]
         if picked.any():
             row = np.cumsum(some) - 1
-            count = np.zeros((int(some.sum()), len(self.vocabulary)), np.float32) if some.sum() * len(self.vocabulary) < 1 << 26 else None
-            blocks = [(0, int(some.sum()))] if count is not None else [(a, a + 4096) for a in range(0, int(some.sum()), 4096)]
+            blocks = [(a, a + 4096) for a in range(0, int(some.sum()), 4096)]
             rows, numbers = row[line[inside][picked]], number[picked]
             which = np.flatnonzero(some)
             doc = np.searchsorted(offsets, lines[which], "right") - 1
@@ -122,20 +138,25 @@ class Scanner:
             for a, b in blocks:
                 b = min(b, len(which))
                 mine = (rows >= a) & (rows < b)
-                tf = np.zeros((b - a, len(self.vocabulary)))
-                np.add.at(tf, (rows[mine] - a, numbers[mine]), 1)
-                tf *= self.idf
-                length = np.sqrt((tf**2).sum(1) + far[which[a:b]])
-                cosine = np.round(tf @ self.matrix / length[:, None], 12)
+                # sparse rows: of each line its different words and their counts, against the templates' sparse columns
+                pairs, times = np.unique((rows[mine] - a) * len(self.vocabulary) + numbers[mine], return_counts=True)
+                line_of, word = pairs // len(self.vocabulary), pairs % len(self.vocabulary)
+                weight = times * self.idf[word]
+                length = np.sqrt(np.bincount(line_of, weight**2, b - a) + far[which[a:b]])
+                entries = self.entry_from[word + 1] - self.entry_from[word]
+                spread = np.repeat(np.arange(len(word)), entries)
+                at = np.arange(len(spread)) - np.repeat(np.cumsum(entries) - entries, entries) + self.entry_from[word][spread]
+                dot = np.bincount(line_of[spread] * len(self.names) + self.entry_template[at], weight[spread] * self.entry_weight[at], (b - a) * len(self.names))
+                cosine = np.round(dot.reshape(b - a, len(self.names)) / length[:, None], 12)
                 top = cosine.argmax(1)
                 for k in np.flatnonzero(cosine.max(1) >= self.least):
                     d, s = doc[a + k], cosine[k, top[k]]
-                    if s > score[d]:
-                        out[d], score[d], where[d] = top[k], s, which[a + k] - begins[d]
-        self._windows(words, inside, line, lines, offsets, out, score, where)
+                    if s - self.behind[top[k]] > rank[d]:
+                        out[d], score[d], where[d], rank[d] = top[k], s, which[a + k] - begins[d], s - self.behind[top[k]]
+        self._windows(words, inside, line, lines, offsets, out, score, where, rank)
         return out, score, where
 
-    def _windows(self, words: np.ndarray, inside: np.ndarray, line: np.ndarray, lines: np.ndarray, offsets: np.ndarray, out: np.ndarray, score: np.ndarray, where: np.ndarray) -> None:
+    def _windows(self, words: np.ndarray, inside: np.ndarray, line: np.ndarray, lines: np.ndarray, offsets: np.ndarray, out: np.ndarray, score: np.ndarray, where: np.ndarray, rank: np.ndarray) -> None:
         """Compares every window of as many words as a template has, from each word to the text's end at most."""
         if not len(words):
             return
@@ -150,7 +171,8 @@ class Scanner:
         length = np.concatenate([[0], np.cumsum(squares[number])])
         at = np.arange(len(words))
         for t in np.flatnonzero(self.sizes >= LEAST_WINDOW):
-            weight = np.append(self.idf * self.matrix[:, t], 0.0)
+            own = self.weights_in(t)
+            weight = np.append(self.idf * own, 0.0)
             dot = np.concatenate([[0], np.cumsum(weight[number])])
             end = np.minimum(at + self.sizes[t], stop)
             product = dot[end] - dot[:-1]
@@ -159,9 +181,9 @@ class Scanner:
                 d = doc[i]
                 tf = np.bincount(number[i : end[i]], minlength=k + 1)
                 norm = np.sqrt(((tf[:k] * self.idf) ** 2).sum() + tf[k] * self.other**2)
-                s = np.round((tf[:k] * self.idf) @ self.matrix[:, t] / norm, 12)
-                if s >= self.least and s > score[d]:
-                    out[d], score[d], where[d] = t, s, line[i] - begins[d]
+                s = np.round((tf[:k] * self.idf) @ own / norm, 12)
+                if s >= self.least and s - self.behind[t] > rank[d]:
+                    out[d], score[d], where[d], rank[d] = t, s, line[i] - begins[d], s - self.behind[t]
 
 
 def _frequencies(files: DataFrame, vocabulary: np.ndarray, text_col: str) -> tuple[int, np.ndarray]:
@@ -191,7 +213,7 @@ def scan(files: DataFrame, *, templates: Sequence[tuple[str, str]] = TEMPLATES,
     Every line of the whole text is compared, and every window of as many words as a template of LEAST_WINDOW words or more
     has, so that notices wrapped into comments or standing in long lines are found. Document frequencies of the templates' words are counted over all rows;
     other words weigh as words that no text has. Null and empty texts have no licence; of ties the first line and template
-    stay; columns of these names are replaced.
+    stay; a licence goes before a notice that is none; columns of these names are replaced.
     """
     if not templates:
         raise ValueError("no templates")
@@ -226,19 +248,23 @@ def inherit(scanned: DataFrame, *, path_col: str = "path") -> DataFrame:
     not files: each different directory has a row for each of its ancestors. Null paths inherit nothing.
     """
     files = scanned.drop("license", "license_from", "license_dir")
-    base = F.lower(F.regexp_extract(F.col(path_col), r"([^/.]*)[^/]*$", 1))
-    legal = files.where(base.isin(*LICENCE_FILES) & F.col("own_license").isNotNull() & F.col(path_col).isNotNull())
+    dir_, up_, license_ = fresh(files, "dir", "up", "of_dir")
+    named = F.lower(F.regexp_extract(F.col(path_col), r"([^/]*)$", 1)).rlike(f"^({'|'.join(LICENCE_FILES)})([.-]|$)")
+    legal = files.where(named & F.col("own_license").isNotNull() & ~F.col("own_license").isin(*NO_LICENCE) & F.col(path_col).isNotNull())
     best = F.min(F.struct((-F.col("own_score")).alias("s"), F.col(path_col).alias("p"), F.col("own_license").alias("l")))
     held = legal.groupBy(_directory(F.col(path_col)).alias("up")).agg(best.alias("b")).select("up", F.col("b.l").alias("license"))
     folders = files.where(F.col(path_col).isNotNull()).select(_directory(F.col(path_col)).alias("dir")).distinct()
     parts = F.when(F.col("dir") == "", F.array().cast("array<string>")).otherwise(F.split("dir", "/"))
     ups = folders.select("dir", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(parts, F.lit(1), n), "/").alias("up")))).alias("x")).select("dir", "x.depth", "x.up")
-    nearest = ups.join(held, "up").groupBy("dir").agg(F.max(F.struct("depth", "up", "license")).alias("b"))
-    nearest = nearest.select(F.col("dir").alias("__dir"), F.col("b.up").alias("__up"), F.col("b.license").alias("__license"))
-    joined = files.join(nearest, _directory(F.col(path_col)) == F.col("__dir"), "left")
+    # many directories share an ancestor: each ancestor is dealt into parts, and the few that hold a licence repeated for them
+    ups = ups.withColumn("part", F.pmod(F.xxhash64("dir"), F.lit(_PARTS)))
+    held = held.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(_PARTS - 1))))
+    nearest = ups.join(held, ["up", "part"]).groupBy("dir").agg(F.max(F.struct("depth", "up", "license")).alias("b"))
+    nearest = nearest.select(F.col("dir").alias(dir_), F.col("b.up").alias(up_), F.col("b.license").alias(license_))
+    joined = files.join(nearest, _directory(F.col(path_col)) == F.col(dir_), "left")
     own = F.col("own_license").isNotNull()
     return joined.withColumns({
-        "license": F.coalesce("own_license", "__license"),
-        "license_from": F.when(own, F.lit("own")).when(F.col("__license").isNotNull(), F.lit("directory")),
-        "license_dir": F.when(~own, F.col("__up")),
-    }).drop("__dir", "__up", "__license")
+        "license": F.coalesce("own_license", license_),
+        "license_from": F.when(own, F.lit("own")).when(F.col(license_).isNotNull(), F.lit("directory")),
+        "license_dir": F.when(~own, F.col(up_)),
+    }).drop(dir_, up_, license_)

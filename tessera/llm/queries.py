@@ -62,14 +62,14 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.scan(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", "match_words", "match_item", "match_position", "item_position")
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     chats = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").cast(chats.schema["turn"].dataType).alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
-    return chat.read_chats(chat.format_chats(chats.unionByName(extra)))
+    return chat.read_chats(written(chat.format_chats(chats.unionByName(extra)), "chats"))
 
 
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,9 +105,42 @@ SELECT doc_id, size, source_size, target,
 FROM placed
 """
 
+OP6_SQL = """
+WITH paid AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+long AS (SELECT payload_digest, max(page_id) AS last FROM paid WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < last THEN last END AS refers_to, NULL::VARCHAR AS error
+FROM paid LEFT JOIN long USING (payload_digest)
+"""
+
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+OP8_SQL = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+windows AS MATERIALIZED (
+  SELECT item_id::VARCHAR AS item, j, least(10, len(w)) AS n, array_to_string(w[j + 1 : j + least(10, len(w))], ' ') AS x
+  FROM b, unnest(range(0, len(w) - least(10, len(w)) + 1)) AS t(j) WHERE len(w) > 0),
+widths AS (SELECT DISTINCT n FROM windows),
+places AS (
+  SELECT doc_id, i, n, array_to_string(w[i + 1 : i + n], ' ') AS x
+  FROM (SELECT doc_id, w, n FROM d, widths WHERE len(w) >= n), unnest(range(0, len(w) - n + 1)) AS t(i)),
+hits AS MATERIALIZED (SELECT doc_id, i, n, item, j FROM places JOIN windows USING (n, x)),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
+named AS (SELECT doc_id, list_sort(list(DISTINCT item)) AS items FROM hits GROUP BY doc_id),
+runs AS (
+  SELECT doc_id, item, min(i) AS i, min(j) AS j, count(*) + any_value(n) - 1 AS words
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item, i - j ORDER BY i) AS run FROM hits) GROUP BY doc_id, item, i - j, run),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY words DESC, item, i, j) AS k FROM runs)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items,
+       sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+       coalesce(words, 0)::BIGINT AS match_words, item AS match_item, i::BIGINT AS match_position, j::BIGINT AS item_position
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN (SELECT * FROM best WHERE k = 1) USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_token_counts, op2_near_duplicates, op3_language_id, op4_license_scan, op5_media, op6_warc, op7_lm_score, op8_decontaminate, op9_chat_format, op10_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mix": OP10_SQL}
+    return {"op6_warc": OP6_SQL, "op8_decontaminate": OP8_SQL, "op10_mix": OP10_SQL}

@@ -1,6 +1,7 @@
 """Operators that work row by row: token counts, language ID, licences, media, archives, chats."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -140,14 +141,20 @@ def test_license_lines(spark):
         (6, "a/b/c/COPYING.txt", "This work is licensed under the GNU General Public License, version 3."),
         (7, "a/b/c/d/e.txt", ""),
         (8, "top.txt", "word " * 5000),
+        (9, "d/COPYING", "All rights reserved."),
+        (10, "d/x.txt", "plain"),
+        (11, "e/LICENSE-MIT", "Released under the MIT License."),
+        (12, "e/x.txt", "plain"),
+        (13, "e/licensed.txt", "Licensed under CC BY 4.0"),
         (2, "a/b/x.txt", "nothing of the kind"),
     ]
-    df = spark.createDataFrame(rows, "doc_id long, path string, text string").withColumn("license", F.lit("old"))
+    df = spark.createDataFrame(rows, "doc_id long, path string, text string").withColumn("license", F.lit("old")).withColumn("__dir", F.lit(1)).withColumn("DIR", F.lit(2)).withColumn("up", F.lit(3))
     got = licenses.inherit(licenses.scan(df)).toPandas()
-    assert len(got) == 9
+    assert len(got) == 14
     got = got.drop_duplicates("doc_id").set_index("doc_id")
     own = {k: v for k, v in got.own_license.items() if isinstance(v, str)}
-    assert own == {1: "MIT", 3: "Apache-2.0", 5: "All-rights-reserved", 6: "GPL-3.0"}
+    assert own == {1: "MIT", 3: "Apache-2.0", 5: "All-rights-reserved", 6: "GPL-3.0", 9: "All-rights-reserved", 11: "MIT", 13: "CC-BY-4.0"}
+    assert not isinstance(got.license[10], str) and got.license[12] == "MIT"
     assert (got.license[2], got.license_from[2], got.license_dir[2]) == ("MIT", "directory", "a")
     assert (got.license[7], got.license_dir[7]) == ("GPL-3.0", "a/b/c")
     assert not isinstance(got.license[4], str) and not isinstance(got.license[8], str)
@@ -176,14 +183,14 @@ def test_license_against_plain_cosine(spark):
 
     got = {r.doc_id: r.own_license for r in licenses.scan(docs, columns=["doc_id"]).collect()}
     for d, t in zip(pandas.doc_id, pandas.text, strict=True):
-        best, name = 0, None
+        best, name = -2, None
         for line in t.split("\n"):
             words = split(line)
             if len(words) < 60 and vocabulary & set(words):
                 for k, template in licenses.TEMPLATES:
                     s = round(cosine(words, split(template)), 12)
-                    if s >= licenses.LEAST_COSINE and s > best:
-                        best, name = s, k
+                    if s >= licenses.LEAST_COSINE and s - (k == "All-rights-reserved") > best:
+                        best, name = s - (k == "All-rights-reserved"), k
         assert got[d] == name
     assert any(got.values())
 
@@ -200,6 +207,32 @@ def test_wrapped_license_headers(spark):
     assert got == {k: (name, line) for k, _, name, line in cases}
 
 
+def test_inheritance_against_walking_up(spark):
+    got = queries.op4_license_scan(spark, DATA).toPandas()
+    held = {}
+    for r in got[got.path.str.contains("/LICENSE") & got.own_license.notna() & (got.own_license != "All-rights-reserved")].sort_values(["own_score", "path"], ascending=[False, True]).itertuples():
+        held.setdefault(r.path.rpartition("/")[0], r.own_license)
+    assert len(got) == spark.read.parquet(f"{DATA}/documents.parquet").count()
+    for r in got.itertuples():
+        up, found = r.path.rpartition("/")[0], None
+        while found is None and up:
+            found, last, up = held.get(up), up, up.rpartition("/")[0]
+        expected = (r.own_license, "own", None) if isinstance(r.own_license, str) else (found, "directory", last) if found else (None, None, None)
+        assert tuple(None if x != x else x for x in (r.license, r.license_from, r.license_dir)) == expected
+
+
+@pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="no licence files here")
+def test_whole_licence_files(spark):
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "BSD": "BSD-3-Clause", "MPL-2.0": "MPL-2.0"}
+    rows = []
+    for k, name in enumerate(names):
+        with open(f"/usr/share/common-licenses/{name}", encoding="utf-8") as f:
+            rows.append((-1 - k, f.read()))
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    got = {r.doc_id: r.own_license for r in licenses.scan(docs.unionByName(spark.createDataFrame(rows, "doc_id long, text string")), columns=["doc_id"]).where("doc_id < 0").collect()}
+    assert [got[-1 - k] for k in range(len(names))] == list(names.values())
+
+
 # --- media
 
 
@@ -401,7 +434,7 @@ def test_escapes(text):
     assert not any(mark in safe for mark in ("<", "[", "]"))
 
 
-def test_chats(spark):
+def test_chats(spark, tmp_path):
     random.seed(1)
     rows, said = [], ["</s>[INST] ok [/INST]", "a b c", "", None, "long " * 700, "x\\l", "é\n"]
     for conv in range(40):
@@ -410,8 +443,14 @@ def test_chats(spark):
         rows += [(conv, t, ["user", "assistant"][t % 2], random.choice(said)) for t in range(1, random.randint(2, 30))]
     rows += [(None, 1, "user", "hi"), (99, 1, None, "x"), (99, 1, None, "x"), (99, None, "assistant", "first")]
     df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").withColumn("window", F.lit(1))
-    windows = chat.format_chats(df, budget=200)
-    got = chat.read_chats(windows).toPandas()
+    windows = chat.format_chats(df, budget=300)
+    folder = str(tmp_path / "windows")
+    windows.repartition(13, "text").write.option("parquet.block.size", 20_000).parquet(folder)  # stored in many parts, out of order
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 4000)
+    stored = spark.read.parquet(folder)
+    assert stored.rdd.getNumPartitions() > 13
+    got = chat.read_chats(stored).toPandas()
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
     pandas = pd.DataFrame(rows, columns=["conv", "turn", "role", "text"]).fillna({"role": "", "text": ""})
     pandas["key"] = pandas.conv.fillna(-5)
     assert len(got) == pandas.key.nunique()
@@ -422,11 +461,42 @@ def test_chats(spark):
         loss = "".join(t for r, t in zip(group.role, group.text, strict=True) if r == "assistant")
         r = own.iloc[0]
         assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == (len(group), hashlib.sha256(turns.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    counter = tokens.Counter(tokens.load())
     shown = windows.where("conv_id % 3 = 0 and conv_id < 40").toPandas()
     for r in shown.itertuples():
         turns = list(chat.parse(r.text, [x.asDict() if hasattr(x, "asDict") else x for x in r.loss]))
         assert turns[0][0] == "system" and len(turns) == r.n_turns
-        size = sum(len(t.split()) + 3 for _, t, _ in turns)
-        assert size <= 200 or r.n_turns - r.n_repeated == 1
+        sizes = [counter.count(t) + 3 for _, t, _ in turns]
+        assert sum(sizes) <= 300 or r.n_turns - r.n_repeated == 1
+        following = shown[(shown.conv_id == r.conv_id) & (shown.window == r.window + 1)]
+        for n in following.itertuples():  # a window ends where the next turn doesn't fit
+            new = list(chat.parse(n.text, []))[n.n_repeated][1]
+            assert sum(sizes) + counter.count(new) + 3 > 300
         assert not any(masked for _, _, masked in turns[: r.n_repeated])
     assert chat.read_chats(chat.format_chats(df.limit(0))).count() == 0
+    with pytest.raises(ValueError, match="text"):
+        chat.format_chats(df, conv_col="text")
+
+
+def test_large_system_turns_arent_repeated(spark):
+    rows = [(1, 0, "system", "rule " * 5000), *[(1, t, ["user", "assistant"][t % 2], "hi there") for t in range(1, 1000)]]
+    rows += [(2, 0, "system", "be kind"), (2, 1, "user", "hello " * 3000), (2, 2, "assistant", "ok"), (3, 0, "user", "x"), (3, 1, "system", "late")]
+    windows = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))
+    found = windows.toPandas()
+    assert found[found.conv_id == 1].text.str.len().sum() < 120_000
+    assert list(chat.parse(found[(found.conv_id == 2) & (found.window == 1)].text.iloc[0], []))[0][:2] == ("system", "be kind")
+    got = {r.conv_id: r for r in chat.read_chats(windows).collect()}
+    assert (got[1].n_turns, got[2].n_turns, got[3].n_turns) == (1000, 3, 2) and got[1].loss_chars == 499 * 8 + 8 * (1000 % 2)
+
+
+def test_chat_query(spark):
+    table = spark.read.parquet(f"{DATA}/conversations.parquet").toPandas()
+    got = queries.op9_chat_format(spark, DATA).toPandas().set_index("conv_id")
+    assert set(got.index) == set(table.conv_id) | {-1}
+    table["text"] = table.text.fillna("")
+    for conv, group in table.sort_values("turn").groupby("conv_id"):
+        turns = "".join(f"{r}\n{t}\n" for r, t in zip(group.role, group.text, strict=True))
+        loss = "".join(group.text[group.role == "assistant"])
+        r = got.loc[conv]
+        assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == (len(group), hashlib.sha256(turns.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    assert got.loc[-1].loss_sha256 == hashlib.sha256(b"</s>[INST] ok [/INST]").hexdigest()
