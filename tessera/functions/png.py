@@ -15,6 +15,18 @@ import numpy as np
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Numbers of the failures that callers know.
 ERRORS = {
+    18: "an invalid distance code in the compressed data",
+    20: "an invalid block type in the compressed data",
+    21: "a stored block's length and its complement differ",
+    43: "bKGD of a palette image isn't 1 byte",
+    44: "bKGD of a grey image isn't 2 bytes",
+    45: "bKGD of an RGB image isn't 6 bytes",
+    52: "the compressed data ends early",
+    72: "a text chunk's compression method isn't 0",
+    73: "tIME isn't 7 bytes",
+    74: "pHYs isn't 9 bytes",
+    75: "a text chunk without the end of its keyword",
+    89: "a text chunk's keyword isn't 1 to 79 bytes",
     -1: "the image doesn't have the size of a tile",
     23: "the image data isn't valid",
     24: "the compressed data's check bits are wrong",
@@ -64,10 +76,65 @@ def _inflate(data: bytes) -> bytes:
         raise PngError(25)
     if data[1] & 32:
         raise PngError(26)
+    inflater, out = zlib.decompressobj(-15), b""
     try:
-        return zlib.decompress(data)
+        out = inflater.decompress(data[2:])
     except zlib.error as e:
-        raise PngError(58 if "incorrect data check" in str(e) else 53 if "incomplete" in str(e) else 23) from e
+        found = [code for text, code in (("invalid block type", 20), ("invalid stored block", 21), ("invalid distance code", 18)) if text in str(e)]
+        raise PngError(found[0] if found else 23) from e
+    if not inflater.eof:
+        raise PngError(52)
+    if int.from_bytes(data[-4:]) != zlib.adler32(out):
+        raise PngError(58)
+    return out
+
+
+def _check_ancillary(kind: bytes, body: bytes, colour: int) -> None:
+    """Chunks that never change a pixel can still make a file invalid."""
+    n = len(body)
+    if kind == b"bKGD":
+        size, code = {3: (1, 43), 0: (2, 44), 4: (2, 44)}.get(colour, (6, 45))
+        if n != size:
+            raise PngError(code)
+    elif kind in (b"tIME", b"pHYs"):
+        if n != (7 if kind == b"tIME" else 9):
+            raise PngError(73 if kind == b"tIME" else 74)
+    else:
+        end = body.find(b"\0")
+        end = n if end < 0 else end
+        marks = {b"tEXt": 0, b"zTXt": 2, b"iTXt": 3}[kind]  # bytes after the keyword: its end, flag and method
+        if kind == b"iTXt" and n < 5:
+            raise PngError(30)
+        if marks and end + marks >= n:
+            raise PngError(75)
+        if not 1 <= end <= 79:
+            raise PngError(89)
+        if marks and body[end + marks - 1]:
+            raise PngError(72)
+        if kind == b"zTXt":
+            _inflate(body[end + 2 :])
+        elif kind == b"iTXt" and body[end + 1]:
+            _inflate(b"".join(body[end + 3 :].split(b"\0", 2)[2:]))
+
+
+def _along_diagonals(kinds: np.ndarray, raw: np.ndarray, step: int) -> np.ndarray:
+    """Rows without their filters where a pixel needs its left neighbour: all pixels of a diagonal at once, as those they
+    need stand on the two before."""
+    height, stride = raw.shape
+    width = -(-stride // step)
+    padded = np.zeros((height, width * step), np.int16)
+    padded[:, :stride] = raw
+    pixels, out = padded.reshape(height, width, step), np.zeros((height + 1, width + 1, step), np.int16)
+    kinds = kinds[:, None]
+    for t in range(width + height - 1):
+        y = np.arange(max(0, t - width + 1), min(height, t + 1))
+        x, kind = t - y, kinds[y]
+        a, b, c = out[y + 1, x], out[y, x + 1], out[y, x]
+        da, db, dc = np.abs(b - c), np.abs(a - c), np.abs(a + b - 2 * c)
+        paeth = np.where((da <= db) & (da <= dc), a, np.where(db <= dc, b, c))
+        guess = np.where(kind == 4, paeth, np.where(kind == 3, (a + b) >> 1, np.where(kind == 2, b, np.where(kind == 1, a, 0))))
+        out[y + 1, x + 1] = (pixels[y, x] + guess) & 255
+    return out[1:, 1:].reshape(height, -1)[:, :stride].astype(np.uint8)
 
 
 def _unfiltered(data: bytes, at: int, width: int, height: int, bits: int) -> tuple[np.ndarray, int]:
@@ -76,6 +143,10 @@ def _unfiltered(data: bytes, at: int, width: int, height: int, bits: int) -> tup
     if at + height * (stride + 1) > len(data):
         raise PngError(23)
     raw = np.frombuffer(data, np.uint8, height * (stride + 1), at).reshape(height, stride + 1)
+    if (raw[:, 0] > 4).any():
+        raise PngError(36)
+    if (raw[:, 0] > 2).any():
+        return _along_diagonals(raw[:, 0], raw[:, 1:], step), at + height * (stride + 1)
     out = np.zeros((height, stride), np.uint8)
     above = np.zeros(stride, np.uint8)
     for y in range(height):
@@ -84,26 +155,10 @@ def _unfiltered(data: bytes, at: int, width: int, height: int, bits: int) -> tup
             line = row
         elif kind == 2:
             line = row + above
-        elif kind == 1:
+        else:
             padded = np.zeros(-(-stride // step) * step, np.uint8)
             padded[:stride] = row
             line = np.cumsum(padded.reshape(-1, step), axis=0, dtype=np.uint8).ravel()[:stride]
-        elif kind in (3, 4):
-            line = bytearray(stride)
-            up, values = above.tobytes(), row.tobytes()
-            for x in range(stride):
-                a = line[x - step] if x >= step else 0
-                b = up[x]
-                if kind == 3:
-                    guess = (a + b) >> 1
-                else:
-                    c = up[x - step] if x >= step else 0
-                    da, db, dc = abs(b - c), abs(a - c), abs(a + b - 2 * c)
-                    guess = a if da <= db and da <= dc else b if db <= dc else c
-                line[x] = (values[x] + guess) & 255
-            line = np.frombuffer(bytes(line), np.uint8)
-        else:
-            raise PngError(36)
         out[y] = above = line
     return out, at + height * (stride + 1)
 
@@ -173,7 +228,9 @@ def decode(data: bytes) -> np.ndarray:
                 key = np.frombuffer(body, ">u2").astype(np.uint16)
             else:
                 raise PngError(42)
-        elif kind not in (b"bKGD", b"tEXt", b"zTXt", b"iTXt", b"tIME", b"pHYs"):
+        elif kind in (b"bKGD", b"tEXt", b"zTXt", b"iTXt", b"tIME", b"pHYs"):
+            _check_ancillary(kind, body, colour)
+        else:
             if not kind[0] & 32:
                 raise PngError(69)
             unknown = True
@@ -218,10 +275,39 @@ def chunk(kind: bytes, body: bytes) -> bytes:
     return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
 
 
+def _filtered(rows: np.ndarray, kind: int, step: int) -> bytes:
+    """Rows of bytes with a filter."""
+    wide = rows.astype(np.int16)
+    a, b, c = (np.zeros_like(wide) for _ in range(3))
+    a[:, step:], b[1:], c[1:, step:] = wide[:, :-step], wide[:-1], wide[:-1, :-step]
+    da, db, dc = np.abs(b - c), np.abs(a - c), np.abs(a + b - 2 * c)
+    guess = (0 * a, a, b, (a + b) >> 1, np.where((da <= db) & (da <= dc), a, np.where(db <= dc, b, c)))[kind]
+    out = np.full((len(rows), rows.shape[1] + 1), kind, np.uint8)
+    out[:, 1:] = (wide - guess) & 255
+    return out.tobytes()
+
+
+def encode_as(samples: np.ndarray, colour: int, depth: int, *, kind: int = 0, interlaced: bool = False, chunks: tuple = (), level: int = 6) -> bytes:
+    """height x width x channels at full depth as a file of the colour type and depth, all rows with one filter."""
+    height, width, channels = samples.shape
+    step = max(1, depth * channels // 8)
+
+    def rows(part: np.ndarray) -> bytes:
+        if depth == 16:
+            packed = part.astype(">u2").reshape(len(part), -1).view(np.uint8)
+        elif depth == 8:
+            packed = part.astype(np.uint8).reshape(len(part), -1)
+        else:
+            bits = (part[:, :, 0, None] >> np.arange(depth - 1, -1, -1)).astype(np.uint8) & 1
+            packed = np.packbits(bits.reshape(len(part), -1), axis=1)
+        return _filtered(np.ascontiguousarray(packed), kind, step)
+
+    parts = [samples[y::dy, x::dx] for x, y, dx, dy in PASSES] if interlaced else [samples]
+    data = b"".join(rows(x) for x in parts if x.size)
+    head = struct.pack(">IIBBBBB", width, height, depth, colour, 0, 0, int(interlaced))
+    return SIGNATURE + chunk(b"IHDR", head) + b"".join(chunk(k, x) for k, x in chunks) + chunk(b"IDAT", zlib.compress(data, level)) + chunk(b"IEND", b"")
+
+
 def encode(rgba: np.ndarray, level: int = 6) -> bytes:
     """height x width x 4 bytes as an RGBA file with unfiltered rows."""
-    height, width = rgba.shape[:2]
-    rows = np.zeros((height, 1 + 4 * width), np.uint8)
-    rows[:, 1:] = rgba.reshape(height, -1)
-    head = struct.pack(">IIBBBBB", width, height, 8, 6, 0, 0, 0)
-    return SIGNATURE + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows.tobytes(), level)) + chunk(b"IEND", b"")
+    return encode_as(rgba, 6, 8, level=level)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -25,5 +25,13 @@ def summary(result: DataFrame, max_diff: int) -> DataFrame:
     return result.agg(F.count("*").alias("total"), (F.count("*") - gone).alias("kept"), gone.alias("reduced"), F.lit(max_diff).cast("long").alias("max_diff_pixels"))
 
 
+def counted(result: DataFrame) -> tuple[DataFrame, Observation]:
+    """result, and an observation that holds `hits` (tiles that an earlier leader absorbed) and `misses` (those that became
+    leaders) once an action has run over it: no pass of its own."""
+    seen = Observation("reduction")
+    hit = F.col("tile_id") != F.col("mirror_id")
+    return result.observe(seen, F.count_if(hit).alias("hits"), F.count_if(~hit).alias("misses")), seen
+
+
 def summary_line(row) -> str:
     return f"{row.total} tiles reduced to {row.kept} with max different pixels = {row.max_diff_pixels}"

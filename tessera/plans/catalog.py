@@ -14,9 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import png
-from tessera.functions.pixels import decode_tiles, lanes
+from tessera.functions.pixels import decode_tiles, lanes, tile_diff
 from tessera.operators import pairs, reduce, summary
 from tessera.plans.store import written
+from tessera.sources import stored
 from tessera.sources.files import assign_ids
 
 PIXELS = 16
@@ -172,6 +173,98 @@ def png_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("tile_id", (F.col("px") == F.col("raw")).alias("same"), F.coalesce(F.col("error_code"), F.lit(0)).cast("long").alias("error_code"))
 
 
+def row_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Differing pixels of each tile and the next by row of a 4 x 4 tile."""
+    px = tile_pixels_exploded(spark, sf_dir)
+    after = px.select((F.col("tile_id") - 1).alias("tile_id"), "pos", F.col("color").alias("other"))
+    return px.join(after, ["tile_id", "pos"]).groupBy("tile_id", F.floor(F.col("pos") / 4).alias("y")).agg(F.sum((F.col("color") != F.col("other")).cast("long")).alias("diff"))
+
+
+def reduction_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits and misses of a reduction, observed while it's written."""
+    result, seen = summary.counted(reduce_mid(spark, sf_dir))
+    written(result)
+    return spark.createDataFrame([(seen.get["hits"], seen.get["misses"])], "hits long, misses long")
+
+
+def stored_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files at hand beside no stored set, the same one and one that lacks a file."""
+    files = tile_scan(spark, sf_dir).select("tile_id", "file_path")
+    sets = (("empty", files.limit(0)), ("same", files), ("other", files.where("tile_id > 0")))
+    found = [stored.check(files, s).select(F.lit(name).alias("case_name"), "files", "stored", "status") for name, s in sets]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+def _full_tiles(spark: SparkSession, n: int, each: int) -> DataFrame:
+    """tile_id, px of 256 x 256 tiles: white, then black, then crossing ones, `each` of a kind."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        y, x = np.mgrid[:256, :256]
+        bright = [np.full((256, 256), 255), np.zeros((256, 256)), 255 * ((y ^ x) & 1)]
+        kinds = [np.dstack([b, b, b, np.full((256, 256), 255)]).astype(np.uint8).tobytes() for b in bright]
+        for batch in batches:
+            for at in range(0, batch.num_rows, 32):
+                ids = batch.column(0).slice(at, 32)
+                yield pa.RecordBatch.from_arrays([ids, pa.array([kinds[i // each % 3] for i in ids.to_pylist()], pa.binary())], ["tile_id", "px"])
+
+    return spark.range(n).select(F.col("id").alias("tile_id")).mapInArrow(run, "tile_id long, px binary")
+
+
+def reduce_full_a(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """256 white and 256 black full tiles, threshold 64."""
+    return reduce.reduce_tiles(_full_tiles(spark, 512, 256), 64)
+
+
+def reduce_full_b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reduce.reduce_tiles(_full_tiles(spark, 512, 256), 65536)
+
+
+def reduce_full_c(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As a, and 256 crossing tiles, which differ from both in 32,768 pixels, a pixel over the threshold."""
+    return reduce.reduce_tiles(_full_tiles(spark, 768, 256), 32767)
+
+
+def reduce_full_d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reduce.reduce_tiles(_full_tiles(spark, 768, 256), 32769)
+
+
+def one_vs_many_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first full tile against 1,024, kinds taking turns, by the Arrow kernel."""
+    many = _full_tiles(spark, 1024, 1)
+    one = many.where("tile_id = 0").select(F.col("px").alias("one"))
+    return many.join(F.broadcast(one)).select("tile_id", tile_diff("one", "px").cast("long").alias("diff"))
+
+
+#: Colour type, depth, filter and interlacing of the files of png_decode_matrix.
+_MATRIX = [("grey1", 0, 1, 0, 0), ("grey2", 0, 2, 1, 1), ("grey4", 0, 4, 2, 0), ("grey8key", 0, 8, 3, 1), ("grey16", 0, 16, 4, 0), ("greya8", 4, 8, 4, 1), ("greya16", 4, 16, 3, 0), ("palette1", 3, 1, 0, 1), ("palette4", 3, 4, 4, 0), ("rgb8", 2, 8, 4, 1), ("rgb16key", 2, 16, 1, 0), ("rgba8", 6, 8, 3, 1), ("rgba16", 6, 16, 4, 0)]
+
+
+def png_decode_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles as files of every colour type, many depths, all filters and interlacing, decoded: sums of each channel, pixels
+    weighed by their place. Grey and indices follow the red channel; palette index 0 is (10, 20, 30) with alpha 7, index 1
+    (200, 100, 50); keys make bright pixels transparent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for number, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rgba = np.frombuffer(raw, np.uint8).reshape(4, 4, 4).astype(np.uint16)
+                for name, colour, depth, kind, interlaced in _MATRIX:
+                    most, chunks = (1 << depth) - 1, []
+                    samples = {0: rgba[..., :1], 2: rgba[..., :3], 3: rgba[..., :1], 4: rgba[..., ::3], 6: rgba}[colour] // 255 * (1 if colour == 3 else most)
+                    if colour == 3:
+                        chunks = [(b"PLTE", bytes([10, 20, 30, 200, 100, 50])), (b"tRNS", bytes([7]))]
+                    elif name.endswith("key"):
+                        chunks = [(b"tRNS", most.to_bytes(2) * (3 if colour == 2 else 1))]
+                    rows.append((number, name, png.encode_as(samples, colour, depth, kind=kind, interlaced=bool(interlaced), chunks=tuple(chunks))))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.binary()))], ["tile_id", "variant", "content"])
+
+    files = raw_tiles(spark, sf_dir).mapInArrow(run, "tile_id long, variant string, content binary")
+    found = decode_tiles(files, width=4, height=4)
+    part = lambda k: F.aggregate(F.sequence(F.lit(0), F.lit(15)), F.lit(0).cast("bigint"), lambda total, p: total + (p + 1) * F.conv(F.hex(F.col("px").substr(p * 4 + k + 1, F.lit(1))), 16, 10).cast("bigint"))
+    return found.select("tile_id", "variant", *(part(k).alias(c) for k, c in enumerate("rgba")))
+
+
 _TILES = """
 ch AS MATERIALIZED (SELECT vec_id::BIGINT AS tile_id, list_transform(embedding, lambda x: CASE WHEN x::DOUBLE > 0.15 THEN 255 ELSE 0 END::BIGINT) AS ch FROM embeddings),
 tiles AS MATERIALIZED (SELECT tile_id, list_transform(range(16), lambda p: ((ch[p * 4 + 1] * 256 + ch[p * 4 + 2]) * 256 + ch[p * 4 + 3]) * 256 + ch[p * 4 + 4]) AS lanes FROM ch)"""
@@ -179,6 +272,19 @@ _PX = ", px AS MATERIALIZED (SELECT tile_id, unnest(range(16))::BIGINT AS pos, u
 _DIFFS = ", diffs AS MATERIALIZED (SELECT a.tile_id AS left_id, b.tile_id AS right_id, len(list_filter(range(1, 17), lambda i: a.lanes[i] <> b.lanes[i]))::BIGINT AS diff FROM tiles a JOIN tiles b ON a.tile_id < b.tile_id)"
 
 
+_MATRIX_SQL = f"""WITH {_TILES},
+c AS MATERIALIZED (SELECT tile_id, pos + 1 AS place, ch[pos * 4 + 1] AS r, ch[pos * 4 + 2] AS g, ch[pos * 4 + 3] AS b, ch[pos * 4 + 4] AS a FROM ch, range(16) AS t(pos)),
+v AS (
+  SELECT tile_id, place, unnest(['grey1', 'grey2', 'grey4', 'grey16']) AS variant, r AS r, r AS g, r AS b, 255 AS a FROM c
+  UNION ALL SELECT tile_id, place, 'grey8key', r, r, r, CASE WHEN r = 255 THEN 0 ELSE 255 END FROM c
+  UNION ALL SELECT tile_id, place, unnest(['greya8', 'greya16']), r, r, r, a FROM c
+  UNION ALL SELECT tile_id, place, unnest(['palette1', 'palette4']), CASE WHEN r = 255 THEN 200 ELSE 10 END, CASE WHEN r = 255 THEN 100 ELSE 20 END, CASE WHEN r = 255 THEN 50 ELSE 30 END, CASE WHEN r = 255 THEN 255 ELSE 7 END FROM c
+  UNION ALL SELECT tile_id, place, 'rgb8', r, g, b, 255 FROM c
+  UNION ALL SELECT tile_id, place, 'rgb16key', r, g, b, CASE WHEN r = 255 AND g = 255 AND b = 255 THEN 0 ELSE 255 END FROM c
+  UNION ALL SELECT tile_id, place, unnest(['rgba8', 'rgba16']), r, g, b, a FROM c)
+SELECT tile_id, variant, sum(r * place)::BIGINT AS r, sum(g * place)::BIGINT AS g, sum(b * place)::BIGINT AS b, sum(a * place)::BIGINT AS a FROM v GROUP BY 1, 2"""
+
+
 def _mapping(t: int) -> str:
     """The greedy loop: tile by tile, carrying the leaders so far."""
     return f"""WITH RECURSIVE {_TILES}{_DIFFS},
@@ -225,6 +331,15 @@ def oracle_sql() -> dict[str, str]:
         "channel_abs_diff": f"{with_tiles} SELECT a.tile_id, list_sum(list_transform(range(1, 65), lambda i: abs(a.ch[i] - b.ch[i])))::BIGINT AS abs_diff FROM ch a JOIN ch b ON b.tile_id = a.tile_id + 1",
         "row_column_sums": f"{with_px} SELECT a.tile_id, a.pos % 4 AS x, sum((a.color <> b.color)::INT)::BIGINT AS diff FROM px a JOIN px b ON b.tile_id = a.tile_id + 1 AND a.pos = b.pos GROUP BY 1, 2",
         "pivot_prune": f"{with_diffs}, p AS (SELECT right_id AS tile_id, diff FROM diffs WHERE left_id = 0) SELECT a.tile_id AS left_id, b.tile_id AS right_id FROM p a JOIN p b ON a.tile_id < b.tile_id AND abs(a.diff - b.diff) <= 1",
+        "row_sums": f"{with_px} SELECT a.tile_id, a.pos // 4 AS y, sum((a.color <> b.color)::INT)::BIGINT AS diff FROM px a JOIN px b ON b.tile_id = a.tile_id + 1 AND a.pos = b.pos GROUP BY 1, 2",
+        "reduction_counters": f"{_mapping(6)} SELECT count(*) FILTER (tile_id <> mirror_id) AS hits, count(*) FILTER (tile_id = mirror_id) AS misses FROM mapping",
+        "stored_check": "SELECT case_name, n AS files, s AS stored, status FROM (SELECT count(*)::BIGINT AS n FROM embeddings), LATERAL (VALUES ('empty', 0::BIGINT, 'none'), ('same', n, 'exists'), ('other', n - 1, 'count mismatch')) AS v(case_name, s, status)",
+        "reduce_full_a": "SELECT range AS tile_id, CASE WHEN range < 256 THEN 0 ELSE 256 END::BIGINT AS mirror_id FROM range(512)",
+        "reduce_full_b": "SELECT range AS tile_id, 0::BIGINT AS mirror_id FROM range(512)",
+        "reduce_full_c": "SELECT range AS tile_id, (range // 256 * 256)::BIGINT AS mirror_id FROM range(768)",
+        "reduce_full_d": "SELECT range AS tile_id, CASE WHEN range < 256 OR range >= 512 THEN 0 ELSE 256 END::BIGINT AS mirror_id FROM range(768)",
+        "one_vs_many_full": "SELECT range AS tile_id, CASE range % 3 WHEN 0 THEN 0 WHEN 1 THEN 65536 ELSE 32768 END::BIGINT AS diff FROM range(1024)",
+        "png_decode_matrix": _MATRIX_SQL,
         "png_round_trip": "SELECT vec_id::BIGINT AS tile_id, true AS same, 0::BIGINT AS error_code FROM embeddings",
     }
 

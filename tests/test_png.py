@@ -103,3 +103,34 @@ def test_errors():
     head = struct.pack(">IIBBBBB", 2, 1, 8, 0, 0, 0, 0)
     assert code(png.SIGNATURE + png.chunk(b"IHDR", head) + png.chunk(b"IDAT", bad) + png.chunk(b"IEND", b"")) == 58
     assert pixels(2, 1, 8, 0, b"\0\x10\xff", extra=[(b"abCd", b"x"), (b"tEXt", b"k\0v")])
+
+
+@pytest.mark.parametrize(("kind", "body", "code"), [
+    (b"bKGD", b"1", 45), (b"tIME", b"123456", 73), (b"pHYs", b"12345678", 74), (b"tEXt", b"", 89), (b"tEXt", b"k" * 80 + b"\0x", 89),
+    (b"zTXt", b"key\0", 75), (b"zTXt", b"key\0\1" + zlib.compress(b"x"), 72), (b"zTXt", b"key\0\0" + zlib.compress(b"x")[:-1] + b"!", 58), (b"iTXt", b"k\0\0", 30), (b"iTXt", b"key\0\0\0", 75), (b"iTXt", b"\0\0\0\0\0\0", 89),
+])
+def test_ancillary_chunks_can_fail(kind, body, code):
+    image = np.zeros((2, 2, 4), np.uint8)
+    with pytest.raises(png.PngError) as e:
+        png.decode(png.encode_as(image, 6, 8, chunks=((kind, body),)))
+    assert e.value.code == code
+    good = ((b"bKGD", b"123456"), (b"tIME", b"1234567"), (b"pHYs", b"123456789"), (b"tEXt", b"key\0text"), (b"zTXt", b"key\0\0" + zlib.compress(b"x")), (b"iTXt", b"key\0\1\0en\0\0" + zlib.compress(b"x")))
+    assert (png.decode(png.encode_as(image, 6, 8, chunks=good)) == image).all()
+
+
+@pytest.mark.parametrize(("stream", "code"), [(b"\x07", 20), (b"\x01\x01\0\0\0x", 21), (b"\x01", 52), (b"", 52)])
+def test_inflate_errors(stream, code):
+    with pytest.raises(png.PngError) as e:
+        png._inflate(b"\x78\x01" + stream)
+    assert e.value.code == code
+
+
+def test_full_tiles_with_neighbour_filters_are_fast():
+    import time
+
+    image = np.random.default_rng(1).integers(0, 256, (256, 256, 4)).astype(np.uint8)
+    for kind in (3, 4):
+        file = png.encode_as(image, 6, 8, kind=kind)
+        began = time.perf_counter()
+        assert (png.decode(file) == image).all()
+        assert time.perf_counter() - began < 0.5
