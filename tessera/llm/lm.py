@@ -33,7 +33,7 @@ LEAST_COUNT = 2
 DEPTH = 8
 #: Tokens that a context's suffix counts for in its distribution.
 SMOOTHING = 5.0
-SHARD_BYTES = 12 << 20
+SHARD_BYTES = 8 << 20
 #: Bytes of input, as stored, for each bucket of shards.
 BUCKET_BYTES = 16 << 20
 #: Tokens for each owner, about.
@@ -197,8 +197,7 @@ def _word_counts(store: DataFrame) -> tuple[DataFrame, Sizes]:
         out, at = [], 0
         for k, x in enumerate(keys):
             mine = place[at : at + len(x)]
-            by_step = np.argsort(step[mine], kind="stable")  # in which ranks rise from step to step
-            out.append([_zip(total[mine]), _zip(np.diff(rank[mine][by_step], prepend=0)), *([_zip(about)] if k == 0 else [])])
+            out.append([_zip(total[mine]), _zip(rank[mine]), *([_zip(about)] if k == 0 else [])])
             at += len(x)
         return pa.Table.from_batches([_batch(shard=[x["shard"] for x in asked], owner=[x["owner"] for x in asked], round=[0] * len(asked), body=out)])
 
@@ -223,10 +222,7 @@ class _Walk:
         for x in sorted(row["parts"], key=lambda x: (x["round"], x["owner"])):
             self.parts.setdefault(x["round"], []).append(x)
         vocabulary = self.shard.vocabulary
-        totals, ranks = ([_unzip(x["body"][k], np.int64) for x in self.parts[0]] for k in range(2))
-        for n, steps in zip(totals, ranks, strict=True):
-            steps[np.argsort(_step(n), kind="stable")] = np.cumsum(steps)
-        total, rank = np.concatenate(totals), np.concatenate(ranks)
+        total, rank = (np.concatenate([_unzip(x["body"][k], np.int64) for x in self.parts[0]]) for k in range(2))
         order = np.argsort(vocabulary)
         owner = (vocabulary[order] >> np.uint64(64 - int(np.log2(sizes.offsets.shape[1])))).astype(np.int64)
         number = np.where(total >= LEAST_COUNT, sizes.offsets[_step(total), owner] + rank, 0)
