@@ -14,11 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.pixels import as_lanes, counts
 from tessera.operators.pairs import near_pairs
 from tessera.plans.store import written
 
 #: Bytes of tiles that the driver takes from the undecided at a time, and broadcasts at most.
 BLOCK_BYTES = 32 << 20
+#: Bytes of tiles that meet a leader at once.
+SLICE_BYTES = 4 << 20
 
 
 def first_of_equal(tiles: DataFrame, px_col: str = "px") -> DataFrame:
@@ -37,28 +40,45 @@ def _distinct(tiles: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def greedy(ids: list[int], px: list[bytes], max_diff: int, leaders: list[tuple[int, np.ndarray]]) -> list[tuple[int, int]]:
-    """(tile_id, mirror_id) of a block of tiles in order, none near an earlier leader; its own leaders are appended."""
-    out = []
-    for number, raw in zip(ids, px, strict=True):
-        lanes = np.frombuffer(raw, np.uint32)
-        mirror = next((i for i, x in leaders if np.count_nonzero(x != lanes) <= max_diff), None)
-        if mirror is None:
-            leaders.append((number, lanes))
-        out.append((number, number if mirror is None else mirror))
-    return out
+    """(tile_id, mirror_id) of a block of tiles in order, none near an earlier leader; its own leaders are appended. The
+    first tile that no leader has absorbed is the next one, and meets all that are left at once."""
+    left, open_ = np.stack([np.frombuffer(raw, np.uint32) for raw in px]), np.arange(len(ids))
+    mirrors = list(ids)
+    while len(open_):
+        head, one = ids[open_[0]], left[0]
+        leaders.append((head, one))
+        near = counts(one, left) <= max_diff
+        for k in open_[near]:
+            mirrors[k] = head
+        # a leader that absorbs none leaves a view of the rest, not a copy
+        left, open_ = (left[1:], open_[1:]) if near.sum() == 1 else (left[~near], open_[~near])
+    return list(zip(ids, mirrors, strict=True))
 
 
 def absorbed(tiles: DataFrame, leaders: list[tuple[int, np.ndarray]], max_diff: int) -> DataFrame:
     """tile_id, px and mirror_id: the first of the leaders, a block that is broadcast, that a tile is near to, or null."""
     shared = tiles.sparkSession.sparkContext.broadcast(leaders)
 
+    def first_leaders(left: np.ndarray) -> pa.Array:
+        mirrors, open_ = np.zeros(len(left), np.int64), np.arange(len(left))
+        for number, one in shared.value:
+            if not len(open_):
+                break
+            near = counts(one, left) <= max_diff
+            if near.any():
+                mirrors[open_[near]] = number
+                left, open_ = left[~near], open_[~near]
+        return pa.array(mirrors, mask=np.isin(np.arange(len(mirrors)), open_))
+
     def absorb(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for raw in batch.column(1):
-                lanes = np.frombuffer(raw.as_buffer(), np.uint32)
-                found.append(next((i for i, x in shared.value if np.count_nonzero(x != lanes) <= max_diff), None))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int64())], ["tile_id", "px", "mirror_id"])
+            if not batch.num_rows:
+                continue
+            step = max(1, SLICE_BYTES // max(1, len(batch.column(1)[0].as_buffer())))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                found = first_leaders(np.stack(as_lanes(part.column(1))))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), found], ["tile_id", "px", "mirror_id"])
 
     return written(tiles.select("tile_id", "px").mapInArrow(absorb, "tile_id long, px binary, mirror_id long"))
 

@@ -13,7 +13,7 @@ class ReduceParams:
     max_diff_pixels: int = 32
     max_cache_mb: int = 512  #: bytes of leaders that are broadcast at a time
     max_num_threads: int = 2  #: kept for callers; Spark's partitions decide
-    min_tiles_for_kernel: int = 128  #: pixels per tile from which comparisons leave SQL for array kernels
+    min_tiles_for_kernel: int = 128  #: tiles from which pairs are compared by array kernels instead of SQL
     tile_width: int = 256
     tile_height: int = 256
 

@@ -87,6 +87,25 @@ def test_forms_against_loop(spark, seed):
     assert {(r.left_id, r.right_id, r.diff) for r in few} == {(r.left_id, r.right_id, r.diff) for r in pairs.all_pairs(narrow, block_tiles=16).where("diff <= 1").collect()}
 
 
+def test_kernels_agree(spark):
+    random = np.random.default_rng(5)
+    rows = [(int(i) * 7 - 90, random.integers(0, 2, 16 - i % 3).tolist()) for i in range(40)]
+    rows += [(500, None), (501, None), (502, []), (503, [None, 1]), (504, [2**32 - 1] * 16)]
+    tiles = spark.createDataFrame(rows, "tile_id long, lanes array<long>").cache()
+
+    def found(**how):
+        return sorted((r.left_id, r.right_id, -1 if r.diff is None else r.diff) for r in pairs.all_pairs(tiles, **how).collect())
+
+    whole = found(kernel="sql")
+    assert len(whole) == 45 * 44 // 2
+    assert whole == found(kernel="arrow") == found(kernel="arrow", block_tiles=7) == found(kernel="sql", block_tiles=7) == found(min_tiles_for_kernel=45)
+    near = [x for x in whole if 0 <= x[2] <= 5]
+    assert near and near == found(kernel="arrow", at_most=5, block_tiles=7) == found(kernel="sql", at_most=5)
+    assert pairs.all_pairs(tiles.limit(0), kernel="arrow").count() == 0 == pairs.all_pairs(tiles.limit(1), kernel="arrow").count()
+    with pytest.raises(KeyError):
+        pairs.all_pairs(tiles, kernel="none")
+
+
 def test_chain_and_alpha(spark):
     a, b, c = (np.array(x, "u4").tobytes() for x in ([0, 0, 0], [1, 0, 0], [1, 1, 0]))
     assert mapping(reduce.reduce_tiles(frame(spark, [(0, a), (1, b), (2, c)]), 1)) == {0: 0, 1: 0, 2: 2}
