@@ -28,15 +28,17 @@ def parse(args: list[str] | None = None) -> tuple[ReduceParams, str | None]:
 
 
 def run(spark: SparkSession, params: ReduceParams, out: str | None = None) -> str:
-    """Reduces the folder; returns, and logs, the summary."""
+    """Reduces the folder; returns, and logs, the summary. Files that are no tiles are logged, all of them, and with out also
+    written to the folder of that name with -quarantine at its end; empty files have no id there."""
     tiles, broken = read_tiles(spark, params.path, width=params.tile_width, height=params.tile_height)
-    for row in broken.limit(100).collect():
+    empty = spark.createDataFrame([(None, p, 48, "the file is empty") for p in empty_files(spark, params.path)], broken.schema)
+    quarantine = broken.unionByName(empty)
+    for row in quarantine.toLocalIterator():
         log.error("%s: %s %s", row.file_path, row.error_code, row.error_text)
-    for path in empty_files(spark, params.path)[:100]:
-        log.error("%s: 48 the file is empty", path)
     result = written(reduce_tiles(tiles, params.max_diff_pixels, block_bytes=max(params.pixels * 4, min(params.max_cache_mb, 256) << 20)))
     if out:
         result.write.mode("overwrite").parquet(out)
+        quarantine.write.mode("overwrite").parquet(f"{out.rstrip('/')}-quarantine")
     if log.isEnabledFor(logging.DEBUG):
         for row in reduced(result).toLocalIterator():
             log.debug("%d reduced by %d", row.tile_id, row.mirror_id)

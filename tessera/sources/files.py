@@ -44,9 +44,11 @@ def empty_files(spark: SparkSession, path: str) -> list[str]:
 
 
 def scan_tiles(spark: SparkSession, path: str, *, pattern: str | None = None) -> DataFrame:
-    """tile_id, file_path and content of the files under a folder; ids follow the paths' order, which decides the result."""
+    """tile_id, file_path and content of the files under a folder; ids follow the paths' order, which decides the result.
+    Paths alone are sorted and numbered, without reading contents, and meet the contents of the same listing."""
     files = scan_files(spark, path, pattern=pattern).select(F.col("path").alias("file_path"), "content")
-    return assign_ids(files, "file_path").select("tile_id", "file_path", "content")
+    numbered = assign_ids(files.select("file_path"), "file_path")
+    return files.join(numbered, "file_path").select("tile_id", "file_path", "content")
 
 
 def read_tiles(spark: SparkSession, path: str, *, width: int = 256, height: int = 256, pattern: str | None = None) -> tuple[DataFrame, DataFrame]:

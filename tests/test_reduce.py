@@ -133,6 +133,8 @@ def test_folder_and_cli(spark, tmp_path):
     (tmp_path / "in/f.png").write_bytes(b"")
     params, out = parse(["--path", str(tmp_path / "in"), "--max-diff-pixels", "8", "--out", str(tmp_path / "out")])
     assert run(spark, params, out) == "3 tiles reduced to 2 with max different pixels = 8"
+    kept_back = {r.file_path.rsplit("/", 1)[1]: (r.tile_id, r.error_code) for r in spark.read.parquet(f"{out}-quarantine").collect()}
+    assert kept_back == {"d.png": (4, -1), "e.png": (2, 28), "f.png": (None, 48)}
     tiles, broken = files.read_tiles(spark, str(tmp_path / "in"))
     assert [r.file_path.rsplit("/", 1)[1] for r in tiles.orderBy("tile_id").collect()] == ["a.png", "b.png", "c.png"]
     assert {r.error_code for r in broken.collect()} == {-1, 28}
