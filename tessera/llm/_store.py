@@ -51,6 +51,13 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def carried(df: DataFrame, columns: list[str] | None, *made: str) -> list[str]:
+    """The given columns, all of df's if none are given, but those that an operator makes, in whatever case they're written:
+    Spark doesn't tell `SCORE` from `score`."""
+    made_ = {m.lower() for m in made}
+    return [c for c in (df.columns if columns is None else columns) if c.lower() not in made_]
+
+
 def rows_of(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
@@ -65,4 +72,4 @@ def scanned_bytes(df: DataFrame) -> int:
     return size if size < 1 << 60 else 0
 
 
-__all__ = ["F", "bucketed", "fresh", "read_table", "rows_of", "scanned_bytes", "shared_folder", "shuffle_partitions", "written"]
+__all__ = ["F", "bucketed", "carried", "fresh", "read_table", "rows_of", "scanned_bytes", "shared_folder", "shuffle_partitions", "written"]

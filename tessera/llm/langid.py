@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import _text as tx
-from tessera.llm._store import rows_of
+from tessera.llm._store import carried, fresh, rows_of
 
 #: The fit uses about so many labelled rows at most, evenly from the languages: this bound is a parameter of train().
 SAMPLE_ROWS = 3000
@@ -153,9 +153,9 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text", columns:
     The whole text is read. Null texts, texts without a letter, and any text if the model knows no language, are `und`
     with score 0. Equal texts get equal results. Input columns called lang_pred, score or ambiguous are replaced.
     """
-    names = [c for c in (docs.columns if columns is None else columns) if c not in ("lang_pred", "score", "ambiguous")]
-    source = docs.select(*names, F.col(text_col).cast("string").alias("__text")) if text_col not in names else docs.select(*names)
-    reads = "__text" if text_col not in names else text_col
+    names = carried(docs, columns, "lang_pred", "score", "ambiguous")
+    reads = text_col if text_col in names else fresh(docs, "text read")[0]
+    source = docs.select(*names, *([] if text_col in names else [F.col(text_col).cast("string").alias(reads)]))
     kept = docs.select(*names).schema
     schema = kept.add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
     shared = docs.sparkSession.sparkContext.broadcast(model)

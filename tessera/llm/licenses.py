@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import _text as tx
-from tessera.llm._store import fresh, rows_of
+from tessera.llm._store import carried, fresh, rows_of
 from tessera.llm.decontaminate import _member
 
 #: Least cosine of a line to a template.
@@ -217,17 +217,18 @@ def scan(files: DataFrame, *, templates: Sequence[tuple[str, str]] = TEMPLATES,
     """
     if not templates:
         raise ValueError("no templates")
-    names = [c for c in (files.columns if columns is None else columns) if c not in ("own_license", "own_score", "own_line")]
+    names = carried(files, columns, "own_license", "own_score", "own_line")
     vocabulary = np.unique(_words([t for _, t in templates])[0])
     n, df = _frequencies(files, vocabulary, text_col)
     shared = files.sparkSession.sparkContext.broadcast(Scanner.of(templates, vocabulary, n, df, least))
     schema = files.select(*names).schema.add("own_license", "string").add("own_score", "double").add("own_line", "long")
-    source = files.select(*names, *([] if text_col in names else [F.col(text_col).cast("string").alias(text_col)]))
+    reads = text_col if text_col in names else fresh(files, "text read")[0]
+    source = files.select(*names, *([] if text_col in names else [F.col(text_col).cast("string").alias(reads)]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = shared.value
         for batch in batches:
-            parts = [scanner.best(data, offsets) for _, _, data, offsets in tx.chunks(rows_of(batch, text_col))]
+            parts = [scanner.best(data, offsets) for _, _, data, offsets in tx.chunks(rows_of(batch, reads))]
             top, score, line = (np.concatenate(x) if parts else np.zeros(0) for x in (zip(*parts, strict=True) if parts else ([], [], [])))
             found = [None if k < 0 else scanner.names[int(k)] for k in top]
             lines = [None if k < 0 else int(x) for k, x in zip(top, line, strict=True)]

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._store import rows_of
+from tessera.llm._store import carried, fresh, rows_of
 
 #: The public vocabulary that the query uses; a parameter of every function that needs one.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -109,15 +109,16 @@ def count_tokens(docs: DataFrame, vocabulary: list[tuple[str, float]], *, text_c
     Null and empty texts have 0 tokens. An input column n_tokens is replaced. Rows stay where they were read; a worker
     holds the automaton and a bounded table of words.
     """
-    names = [c for c in (docs.columns if columns is None else columns) if c != "n_tokens"]
+    names = carried(docs, columns, "n_tokens")
     schema = docs.select(*names).schema.add("n_tokens", "long")
     shared = docs.sparkSession.sparkContext.broadcast(Counter(vocabulary))
-    source = docs.select(*names, *([] if text_col in names else [F.col(text_col).cast("string").alias(text_col)]))
+    reads = text_col if text_col in names else fresh(docs, "text read")[0]
+    source = docs.select(*names, *([] if text_col in names else [F.col(text_col).cast("string").alias(reads)]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = shared.value
         for batch in batches:
-            n = [0 if not t.is_valid else counter.count(t.as_py()) for t in rows_of(batch, text_col)]
+            n = [0 if not t.is_valid else counter.count(t.as_py()) for t in rows_of(batch, reads)]
             yield pa.RecordBatch.from_arrays([*(rows_of(batch, c) for c in names), pa.array(n, pa.int64())], [*names, "n_tokens"])
 
     return source.mapInArrow(run, schema)

@@ -117,6 +117,60 @@ def test_language_id(spark):
     assert langid.identify(odd.limit(0), model).count() == 0
 
 
+def _plain_language(model, text):
+    """lang_pred and score of one text by loops over its n-grams, bits and codewords."""
+    if text is None or not re.search(r"[^\W\d_]", text):
+        return "und", 0.0
+    data = text.lower().encode()
+    counts = {}
+    for i in range(len(data) - 2):
+        gram = (data[i] << 16 | data[i + 1] << 8 | data[i + 2]) * 2654435761 % (1 << 32) >> 20
+        counts[gram] = counts.get(gram, 0) + 1
+    for x in data:
+        counts[langid.TRIGRAMS + x] = counts.get(langid.TRIGRAMS + x, 0) + 1
+    n = sum(counts.values())
+    losses = []
+    for word in model.code:
+        loss = 0.0
+        for bit, sign in enumerate(word):
+            margin = float(model.bias[bit]) + sum((c / n) ** 0.5 * float(model.weights[g, bit]) for g, c in counts.items())
+            loss += float(model.trust[bit]) * np.logaddexp(0, -sign * margin)
+        losses.append(loss)
+    best = min(range(len(losses)), key=losses.__getitem__)
+    return model.languages[best], 1 / sum(np.exp(losses[best] - x) for x in losses)
+
+
+def test_language_id_against_plain_decoding(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    rest = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    model = langid.train(docs, may_learn=rest != 1)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in queries.op3_language_id(spark, DATA).collect()}
+    for r in docs.select("doc_id", "text").collect():
+        lang, score = _plain_language(model, r.text)
+        assert got[r.doc_id][0] == lang and got[r.doc_id][1] == pytest.approx(score, abs=1e-4)
+
+
+def test_replaced_columns_in_other_case(spark):
+    docs = spark.createDataFrame([(1, "the and of with", "a", "b"), (2, None, None, None)], "doc_id long, text string, SCORE string, Own_Line string")
+    model = langid.train(spark.read.parquet(f"{DATA}/documents.parquet"))
+    assert [r.score for r in langid.identify(docs, model).orderBy("doc_id").select("score").collect()][1] == 0.0
+    counted = tokens.count_tokens(docs.withColumnRenamed("SCORE", "N_TOKENS"), tokens.load())
+    assert counted.select("n_tokens").collect()[1][0] in (0, 4) and counted.columns.count("N_TOKENS") == 0
+    assert {r.own_line for r in licenses.scan(docs).select("own_line").collect()} == {None}
+
+
+def test_repeated_tied_and_long_texts_of_languages(spark):
+    model = langid.train(spark.read.parquet(f"{DATA}/documents.parquet"))
+    long = "the and of with that " * 200_000
+    rows = spark.createDataFrame([(1, "uno dos"), (1, "uno dos"), (2, long), (3, long)], "doc_id long, text string")
+    found = [tuple(r) for r in langid.identify(rows, model, columns=["doc_id"]).orderBy("doc_id").collect()]
+    assert found[0] == found[1] and found[2][1:] == found[3][1:] and found[2][1] == "en"
+    code = langid.codewords(2)
+    tied = langid.Model(["a", "b"], code, np.zeros((langid.TRIGRAMS + 256, 1), np.float32), np.zeros(1, np.float32), np.ones(1, np.float32))
+    best, score, flag = tied.decode(np.zeros((1, langid.TRIGRAMS + 256), np.float32))
+    assert best[0] == 0 and score[0] == 0.5 and flag[0]
+
+
 def test_mixed_and_unknown_languages_go(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").where("lang is not null and text is not null")
     first = {r.lang: r.t for r in docs.where("length(text) > 800").groupBy("lang").agg(F.min(F.substring("text", 1, 800)).alias("t")).collect()}
