@@ -59,12 +59,30 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
     return t.select("source", "source_size", F.least(F.col("cap"), F.coalesce(F.col("right") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
+def _ending(sums: DataFrame, edge: DataFrame) -> DataFrame:
+    """s, bucket, words -> s and b: of each source the first bucket (with words and until, the words up to its end) up to
+    which its words reach its rest. First over runs of 2^7 buckets, then over those of one run, so that no task puts more
+    than 2^7 sums of a source in order, however many documents it has."""
+    rest = edge.select(F.col("source").alias("e"), "rest")
+
+    def first(rows: DataFrame, at: str, before: Column) -> DataFrame:
+        until = before + F.sum("words").over(Window.partitionBy("s").orderBy(at))
+        reached = rows.withColumn("until", until).join(rest, F.col("s").eqNullSafe(F.col("e"))).where("until >= rest")
+        return reached.groupBy("s").agg(F.min(F.struct(at, "words", "until")).alias("b"))
+
+    run = F.shiftright("bucket", LEVEL_BITS // 2)
+    runs = first(sums.groupBy("s", run.alias("run")).agg(F.sum("words").alias("words")), "run", F.lit(0))
+    runs = runs.select(F.col("s").alias("of"), "b.run", (F.col("b.until") - F.col("b.words")).alias("before"))
+    return first(sums.join(runs, F.col("s").eqNullSafe(F.col("of")) & (run == F.col("run"))), "bucket", F.col("before"))
+
+
 def thresholds(sized: DataFrame, goals: DataFrame) -> DataFrame:
     """source, size, place and source, source_size, target -> goals with copies (whole times that all documents are
     taken), threshold (documents with a place below it are taken once more) and quota (words to take of those at it).
 
     Level by level the sums by source and bucket show the bucket in which the budget ends; the next level reads that
-    bucket alone. Sums are made before they are shuffled, so a source with most documents costs 2^14 sums a task at most.
+    bucket alone. Sums are made before they are shuffled, so a source with most documents costs 2^14 sums a task at most,
+    which go by source and bucket.
     Tables of sources are written, so their sizes are known: Spark broadcasts them only below its own threshold.
     """
     goals = goals.withColumn("copies", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
@@ -75,12 +93,9 @@ def thresholds(sized: DataFrame, goals: DataFrame) -> DataFrame:
         if level > 1:
             found = edge.select(F.col("source").alias("s"), "low")
             rows = sized.join(found, F.col("source").eqNullSafe(F.col("s")) & (F.col("place") >= F.col("low")) & (F.col("place") < F.col("low") + width * (1 << LEVEL_BITS)))
-        sums = rows.groupBy("source", F.shiftright("place", LEVEL_BITS * (LEVELS - level)).alias("bucket")).agg(F.sum("size").alias("words"))
-        inside = Window.partitionBy("source").orderBy("bucket")
-        sums = sums.withColumn("until", F.sum("words").over(inside)).withColumnRenamed("source", "s")
+        sums = rows.groupBy(F.col("source").alias("s"), F.shiftright("place", LEVEL_BITS * (LEVELS - level)).alias("bucket")).agg(F.sum("size").alias("words"))
         # the first bucket that reaches the budget; without one, the whole range fits under it
-        reached = sums.join(edge.select(F.col("source").alias("e"), "rest"), F.col("s").eqNullSafe(F.col("e"))).where("until >= rest")
-        first = reached.groupBy("s").agg(F.min(F.struct("bucket", "words", "until")).alias("b"))
+        first = _ending(sums, edge)
         edge = edge.join(first, F.col("source").eqNullSafe(F.col("s")), "left")
         low = F.coalesce(F.col("b.bucket") * width, F.col("low"))
         before = F.coalesce(F.col("rest") - (F.col("b.until") - F.col("b.words")), F.col("rest"))
