@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.pixels import as_lanes, counts
+from tessera.functions.pixels import as_lanes, counts, tile_diff
 from tessera.operators.pairs import near_pairs
 from tessera.plans.store import written
 
@@ -22,6 +22,10 @@ from tessera.plans.store import written
 BLOCK_BYTES = 32 << 20
 #: Bytes of tiles that meet a leader at once.
 SLICE_BYTES = 4 << 20
+#: Runs of pixels for each difference allowed and one more: tiles whose hashes differ in more runs than the threshold are far.
+RUNS = 4
+#: Runs are used if a key has HOT tiles at most and all keys PAIRS_A_TILE pairs for each tile and key; else blocks are.
+HOT, PAIRS_A_TILE = 8192, 64
 
 
 def first_of_equal(tiles: DataFrame, px_col: str = "px") -> DataFrame:
@@ -109,6 +113,52 @@ def reduce_by_blocks(tiles: DataFrame, max_diff: int, *, block_bytes: int = BLOC
     return out
 
 
+def hashed_runs(tiles: DataFrame, max_diff: int, pixels: int) -> DataFrame:
+    """tile_id, runs: hashes of (max_diff + 1) * RUNS runs of a tile's pixels, as even as can be."""
+    n = (max_diff + 1) * RUNS
+    at = f"int(({{}}) * {pixels}L div {n}) * 4"
+    low, high = at.format("k"), at.format("k + 1")
+    return tiles.select("tile_id", F.expr(f"transform(sequence(0, {n - 1}), k -> xxhash64(substring(px, {low} + 1, {high} - {low})))").alias("runs"))
+
+
+def reduce_by_runs(tiles: DataFrame, max_diff: int, pixels: int, *, hot: int = HOT, pairs_a_tile: int = PAIRS_A_TILE) -> DataFrame | None:
+    """tile_id, mirror_id of different tiles (tile_id, px), or None where equal runs of pixels don't tell tiles apart: a key
+    with over `hot` tiles, or over pairs_a_tile pairs for each tile and key.
+
+    Tiles within the threshold agree in one of max_diff + 1 keys, each of RUNS runs, and differ in max_diff runs at most; pairs that
+    don't are dropped by their hashes. Round by round the tiles without an undecided lower neighbour become leaders, and
+    only pairs of a new leader and a tile that no lower leader has are compared by their pixels. Rounds are as many as the
+    longest chain of undecided neighbours; nothing is broadcast or collected.
+    """
+    hashed = written(hashed_runs(tiles, max_diff, pixels))
+    keyed = hashed.select("tile_id", F.explode(F.expr(f"transform(sequence(0, {max_diff}), p -> xxhash64(p, slice(runs, p * {RUNS} + 1, {RUNS})))")).alias("key"))
+    n = F.col("n").cast("double")
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).agg(F.max("n").alias("most"), F.sum(n * (n - 1) / 2).alias("pairs"), F.sum(n).alias("keys")).first()
+    if sizes.most is not None and (sizes.most > hot or sizes.pairs > pairs_a_tile * sizes.keys):
+        return None
+
+    def of(df: DataFrame, side: str, value: str) -> DataFrame:
+        return df.select(F.col("tile_id").alias(f"{side}_id"), F.col(value).alias(f"{side}_{value}"))
+
+    left, right = of(keyed, "left", "key"), of(keyed, "right", "key")
+    met = left.join(right, (F.col("left_key") == F.col("right_key")) & (F.col("left_id") < F.col("right_id"))).select("left_id", "right_id").distinct()
+    met = met.join(of(hashed, "left", "runs"), "left_id").join(of(hashed, "right", "runs"), "right_id")
+    differ = F.size(F.filter(F.zip_with("left_runs", "right_runs", lambda a, b: a != b), lambda x: x))
+    open_ = written(met.where(differ <= max_diff).select("left_id", "right_id"))
+    found = open_.limit(0)
+    while not open_.isEmpty():
+        # the lower tile of an open pair is undecided, so one that is in no pair as the higher one is a leader
+        heads = written(open_.select("left_id").distinct().join(open_.select(F.col("right_id").alias("left_id")), "left_id", "left_anti"))
+        asked = open_.join(heads, "left_id", "left_semi").join(of(tiles, "left", "px"), "left_id").join(of(tiles, "right", "px"), "right_id")
+        near = written(asked.where(tile_diff("left_px", "right_px") <= max_diff).select("left_id", "right_id"))
+        found = found.unionByName(near)
+        first = near.groupBy("right_id").agg(F.min("left_id").alias("first"))
+        left_over = open_.join(heads, "left_id", "left_anti").join(first.select(F.col("right_id").alias("left_id")), "left_id", "left_anti")
+        open_ = written(left_over.join(first, "right_id", "left").where("first is null or left_id < first").select("left_id", "right_id"))
+    mirrors = found.groupBy("right_id").agg(F.min("left_id").alias("m"))
+    return hashed.select("tile_id").join(mirrors, F.col("tile_id") == F.col("right_id"), "left").select("tile_id", F.coalesce("m", "tile_id").alias("mirror_id"))
+
+
 def reduce_by_edges(ids: DataFrame, edges: DataFrame) -> DataFrame:
     """tile_id, mirror_id from the near pairs left_id, right_id. Round by round an undecided tile is absorbed if a lower
     neighbour is a leader, and a leader if all of them are absorbed; then each takes its least leader."""
@@ -130,7 +180,8 @@ def reduce_tiles(tiles: DataFrame, max_diff: int, *, id_col: str = "tile_id", px
 
     Ids are unique. An empty table gives no rows; null pixels are an error, as are negative thresholds. At a threshold of 0
     equal tiles meet in one shuffle; at all pixels or more everything mirrors the first tile; else different tiles are
-    reduced block by block.
+    reduced by equal runs of pixels if they're more than a block, runs have 8 pixels or more and tell them apart, and block
+    by block if not.
     """
     if max_diff < 0:
         raise ValueError("the threshold is negative")
@@ -145,8 +196,12 @@ def reduce_tiles(tiles: DataFrame, max_diff: int, *, id_col: str = "tile_id", px
     same, reps = _distinct(tiles)
     if max_diff == 0:
         return same.select("tile_id", F.col("rep").alias("mirror_id"))
-    reduced = reduce_by_blocks(reps, max_diff, block_bytes=block_bytes).withColumnRenamed("tile_id", "rep")
-    return same.join(reduced, "rep").select("tile_id", "mirror_id")
+    reduced = None
+    if (max_diff + 1) * 8 <= shape.high // 4 and same.where("tile_id = rep").count() * shape.high > block_bytes:
+        reduced = reduce_by_runs(reps, max_diff, shape.high // 4)
+    if reduced is None:
+        reduced = reduce_by_blocks(reps, max_diff, block_bytes=block_bytes)
+    return same.join(reduced.withColumnRenamed("tile_id", "rep"), "rep").select("tile_id", "mirror_id")
 
 
 def reduce_narrow(tiles: DataFrame, max_diff: int, pixels: int) -> DataFrame:

@@ -90,6 +90,11 @@ def reduce_mid_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce.reduce_tiles(raw_tiles(spark, sf_dir), 6, block_bytes=50 * 4 * PIXELS)
 
 
+def reduce_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles differing in one pixel at most, by equal runs of pixels."""
+    return reduce.reduce_tiles(raw_tiles(spark, sf_dir), 1, block_bytes=1)
+
+
 def reduce_high(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce.reduce_tiles(raw_tiles(spark, sf_dir), 8)
 
@@ -316,6 +321,7 @@ def oracle_sql() -> dict[str, str]:
         "reduce_t0": f"{with_tiles} SELECT tile_id, min(tile_id) OVER (PARTITION BY lanes) AS mirror_id FROM tiles",
         "reduce_mid": f"{_mapping(6)} SELECT * FROM mapping",
         "reduce_mid_blocks": f"{_mapping(6)} SELECT * FROM mapping",
+        "reduce_runs": f"{_mapping(1)} SELECT * FROM mapping",
         "reduce_high": f"{_mapping(8)} SELECT * FROM mapping",
         "reduce_edges": f"{_mapping(4)} SELECT * FROM mapping",
         "reduce_all": f"{with_tiles} SELECT tile_id, min(tile_id) OVER () AS mirror_id FROM tiles",

@@ -25,7 +25,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", ["tile_scan", "pixel_inequality", "pair_diff_histogram", "reduce_t0", "reduce_mid_blocks", "reduce_summary", "exact_dup_docs", "color_overlap_bound", "pivot_prune", "png_round_trip", "row_sums", "reduction_counters", "stored_check", "reduce_full_a", "reduce_full_c", "reduce_full_d", "one_vs_many_full", "png_decode_matrix"])
+@pytest.mark.parametrize("name", ["tile_scan", "pixel_inequality", "pair_diff_histogram", "reduce_t0", "reduce_mid_blocks", "reduce_runs", "reduce_summary", "exact_dup_docs", "color_overlap_bound", "pivot_prune", "png_round_trip", "row_sums", "reduction_counters", "stored_check", "reduce_full_a", "reduce_full_c", "reduce_full_d", "one_vs_many_full", "png_decode_matrix"])
 def test_queries(spark, duck, name):
     got = catalog.queries()[name](spark, DATA)
     names = sorted(got.columns)

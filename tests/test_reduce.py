@@ -106,6 +106,30 @@ def test_kernels_agree(spark):
         pairs.all_pairs(tiles, kernel="none")
 
 
+@pytest.mark.parametrize("t", [1, 3, 6])
+def test_runs_against_loop(spark, t):
+    """By equal runs, with chains of near tiles, tiles that agree in most runs but not in pixels, and shuffled ids."""
+    random = np.random.default_rng(t)
+    base = random.integers(0, 2, (6, 61)).astype("u4")
+    drift = base[0].copy()
+    rows = []
+    for i in random.permutation(90):
+        x = base[random.integers(6)].copy() if i % 3 else drift.copy()
+        drift[random.integers(61)] += 1
+        x[random.integers(0, 61, random.integers(0, 2 * t))] = random.integers(2, 5)
+        rows.append((int(i) * 5 - 100, x.tobytes()))
+    rows = sorted({px: (i, px) for i, px in sorted(rows, reverse=True)}.values())
+    df = frame(spark, rows).repartition(5)
+    assert mapping(reduce.reduce_by_runs(df, t, 61)) == loop(rows, t)
+    assert reduce.reduce_by_runs(df, t, 61, hot=1) is None and reduce.reduce_by_runs(df, t, 61, pairs_a_tile=0) is None
+    assert mapping(reduce.reduce_tiles(df, t, block_bytes=500)) == loop(rows, t)
+
+
+def test_runs_of_no_or_one_tile(spark):
+    assert reduce.reduce_by_runs(frame(spark, []), 1, 16).count() == 0
+    assert mapping(reduce.reduce_by_runs(frame(spark, [(3, bytes(64))]), 1, 16)) == {3: 3}
+
+
 def test_chain_and_alpha(spark):
     a, b, c = (np.array(x, "u4").tobytes() for x in ([0, 0, 0], [1, 0, 0], [1, 1, 0]))
     assert mapping(reduce.reduce_tiles(frame(spark, [(0, a), (1, b), (2, c)]), 1)) == {0: 0, 1: 0, 2: 2}
