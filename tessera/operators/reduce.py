@@ -7,6 +7,7 @@ before anything is compared: the first of them decides for all, as they're equal
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.pixels import as_lanes, counts, tile_diff
 from tessera.operators.pairs import near_pairs
-from tessera.plans.store import written
+from tessera.plans.store import dropped, written
 
 #: Bytes of tiles that the driver takes from the undecided at a time, and broadcasts at most.
 BLOCK_BYTES = 32 << 20
@@ -105,8 +106,10 @@ def reduce_by_blocks(tiles: DataFrame, max_diff: int, *, block_bytes: int = BLOC
         if len(block) < n:
             break
         later = absorbed(rest.where(F.col("tile_id") > block[-1].tile_id), leaders, max_diff)
-        done.append(later.where("mirror_id is not null").select("tile_id", "mirror_id"))
+        done.append(written(later.where("mirror_id is not null").select("tile_id", "mirror_id")))
+        dropped(rest)  # pixels are kept once, not for each round
         rest = later.where("mirror_id is null").select("tile_id", "px")
+    dropped(rest)
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
@@ -145,17 +148,22 @@ def reduce_by_runs(tiles: DataFrame, max_diff: int, pixels: int, *, hot: int = H
     met = met.join(of(hashed, "left", "runs"), "left_id").join(of(hashed, "right", "runs"), "right_id")
     differ = F.size(F.filter(F.zip_with("left_runs", "right_runs", lambda a, b: a != b), lambda x: x))
     open_ = written(met.where(differ <= max_diff).select("left_id", "right_id"))
-    found = open_.limit(0)
+    found = []
     while not open_.isEmpty():
         # the lower tile of an open pair is undecided, so one that is in no pair as the higher one is a leader
         heads = written(open_.select("left_id").distinct().join(open_.select(F.col("right_id").alias("left_id")), "left_id", "left_anti"))
         asked = open_.join(heads, "left_id", "left_semi").join(of(tiles, "left", "px"), "left_id").join(of(tiles, "right", "px"), "right_id")
         near = written(asked.where(tile_diff("left_px", "right_px") <= max_diff).select("left_id", "right_id"))
-        found = found.unionByName(near)
+        found.append(near)
         first = near.groupBy("right_id").agg(F.min("left_id").alias("first"))
         left_over = open_.join(heads, "left_id", "left_anti").join(first.select(F.col("right_id").alias("left_id")), "left_id", "left_anti")
-        open_ = written(left_over.join(first, "right_id", "left").where("first is null or left_id < first").select("left_id", "right_id"))
-    mirrors = found.groupBy("right_id").agg(F.min("left_id").alias("m"))
+        after = written(left_over.join(first, "right_id", "left").where("first is null or left_id < first").select("left_id", "right_id"))
+        dropped(open_)
+        dropped(heads)
+        open_ = after
+    if not found:
+        return hashed.select("tile_id", F.col("tile_id").alias("mirror_id"))
+    mirrors = functools.reduce(DataFrame.unionByName, found).groupBy("right_id").agg(F.min("left_id").alias("m"))
     return hashed.select("tile_id").join(mirrors, F.col("tile_id") == F.col("right_id"), "left").select("tile_id", F.coalesce("m", "tile_id").alias("mirror_id"))
 
 
@@ -168,7 +176,8 @@ def reduce_by_edges(ids: DataFrame, edges: DataFrame) -> DataFrame:
         around = edges.join(state.withColumnRenamed("tile_id", "left_id"), "left_id").groupBy("right_id").agg(F.max(F.when(F.col("s") == 1, 1).otherwise(0)).alias("led"), F.min((F.col("s") == 2).cast("int")).alias("free"))
         nearer = state.join(around, F.col("tile_id") == F.col("right_id"), "left")
         after = F.when(F.col("s") != 0, F.col("s")).when(F.col("led") == 1, 2).when(F.col("free") == 1, 1).otherwise(0)
-        state = written(nearer.select("tile_id", after.alias("s")))
+        before, state = state, written(nearer.select("tile_id", after.alias("s")))
+        dropped(before)
     leaders = state.where("s = 1").select(F.col("tile_id").alias("left_id"))
     mirrors = edges.join(leaders, "left_id").groupBy("right_id").agg(F.min("left_id").alias("m"))
     # a leader has no leader below it, so it has no row among the mirrors

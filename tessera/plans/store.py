@@ -18,8 +18,27 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/tiles-{uuid.uuid4().hex}"
 
 
+def _files(spark: SparkSession, folder: str) -> tuple:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
 def written(df: DataFrame) -> DataFrame:
-    """df, written as Parquet and read again: cuts the lineage of loops and survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/table"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df, written as Parquet and read again: cuts the lineage of loops and survives lost executors. The files go when the
+    driver ends, or with dropped()."""
+    spark = df.sparkSession
+    folder = shared_folder(spark)
+    df.write.parquet(f"{folder}/table")
+    files, path = _files(spark, folder)
+    files.deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(f"{folder}/table")
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes the written() table that df reads; nothing may read it any more."""
+    folders = {f.rsplit("/", 2)[0] for f in df.inputFiles()}
+    for folder in folders:
+        if not folder.rsplit("/", 1)[1].startswith("tiles-"):
+            raise ValueError(f"not a written table: {folder}")
+        files, path = _files(df.sparkSession, folder)
+        files.delete(path, True)

@@ -1,5 +1,7 @@
 """Distances and reductions: full-size tiles, a literal loop on random ones, and the invariants of the result."""
 
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +10,7 @@ from tessera.cli import parse, run
 from tessera.functions import pixels, png
 from tessera.operators import pairs, reduce, summary
 from tessera.params import ReduceParams
+from tessera.plans import store
 from tessera.sources import files
 from tessera.streaming.reduce_stream import StreamReducer
 
@@ -125,6 +128,17 @@ def test_runs_against_loop(spark, t):
     assert mapping(reduce.reduce_tiles(df, t, block_bytes=500)) == loop(rows, t)
 
 
+def test_tables_of_rounds_are_dropped(spark, tmp_path, monkeypatch):
+    numbers = itertools.count()
+    monkeypatch.setattr(store, "shared_folder", lambda _: f"file://{tmp_path}/tiles-{next(numbers)}")
+    rows = [(i, np.array([i, i // 2, 5, 5], "u4").tobytes()) for i in range(40)]
+    assert mapping(reduce.reduce_by_blocks(frame(spark, rows), 1, block_bytes=64)) == loop(rows, 1)
+    left = [spark.read.parquet(f"file://{t}/table").columns for t in tmp_path.glob("tiles-*")]
+    assert left and all(columns == ["tile_id", "mirror_id"] for columns in left)
+    with pytest.raises(ValueError):
+        store.dropped(spark.read.parquet("/root/testdata/sf0.001/region.parquet"))
+
+
 def test_runs_of_no_or_one_tile(spark):
     assert reduce.reduce_by_runs(frame(spark, []), 1, 16).count() == 0
     assert mapping(reduce.reduce_by_runs(frame(spark, [(3, bytes(64))]), 1, 16)) == {3: 3}
