@@ -20,18 +20,27 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/tessera-{uuid.uuid4().hex}"
 
 
+def _until_exit(spark: SparkSession, folder: str) -> None:
+    """The files of a folder go when the driver ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
 def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """The rows of df, written once as Parquet and read again; cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """The rows of df, written once as Parquet and read again; cuts the lineage and survives lost executors. The files go
+    when the driver ends."""
+    spark, folder = df.sparkSession, shared_folder(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(f"{folder}/{name}")
+    _until_exit(spark, folder)
+    return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
 def bucketed(df: DataFrame, column: str, n: int) -> DataFrame:
     """As written(), dealt by a column into n buckets: joins on it move the other side alone."""
     spark, name = df.sparkSession, f"tessera_{uuid.uuid4().hex}"
-    df.write.bucketBy(n, column).option("path", f"{shared_folder(spark)}/{name}").option("compression", "zstd").saveAsTable(name)
+    folder = shared_folder(spark)
+    df.write.bucketBy(n, column).option("path", f"{folder}/{name}").option("compression", "zstd").saveAsTable(name)
+    _until_exit(spark, folder)
     return spark.table(name)
 
 
