@@ -257,8 +257,8 @@ def _signed(source: DataFrame, weights: Weights) -> DataFrame:
 
 
 def _verified(texts: DataFrame, pairs: DataFrame, weights: Weights, least: float) -> DataFrame:
-    """Of the pairs a, b those whose texts are similar, written. Texts go to tasks by a and a part of its members: at most
-    about CHUNK members at a time, however many a has, and a copy of a's text for each part."""
+    """Of the pairs a, b those whose texts are similar, written with the lesser id as a. Texts go to tasks by a and a part
+    of its members: at most about CHUNK members at a time, however many a has, and a copy of a's text for each part."""
     shared = texts.sparkSession.sparkContext.broadcast(weights)
     sizes = pairs.groupBy("a").agg(F.count("*").alias("n")).withColumnRenamed("a", "a_")
     parted = pairs.join(sizes, F.col("a") == F.col("a_")).select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / CHUNK)).alias("part"))
@@ -289,7 +289,8 @@ def _verified(texts: DataFrame, pairs: DataFrame, weights: Weights, least: float
             t = rows_of(batch, "a").type
             yield pa.RecordBatch.from_arrays([pa.array(left, t), pa.array(right, t), pa.array(how, pa.float64())], ["a", "b", "similarity"])
 
-    return written(rows.mapInArrow(run, f"a {kind}, b {kind}, similarity double"), "links")
+    found = rows.mapInArrow(run, f"a {kind}, b {kind}, similarity double")
+    return written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity"), "links")
 
 
 def _overlaps(first: np.ndarray, found: np.ndarray, counts: np.ndarray, weights: Weights) -> np.ndarray:
@@ -408,7 +409,8 @@ def grouped(source: DataFrame, buckets: DataFrame, samples: DataFrame, weights:
     texts = bucketed(source.hint("merge").join(members, "id", "left_semi"), "id", shuffle_partitions(source.sparkSession))
     first = F.struct((-F.col("c")).alias("c"), "id")
     with_first = _dealt(ranked, ranked.groupBy("key").agg(F.min(first)["id"].alias("a"), F.count("*").alias("n"))).where("id <> a")
-    found = _verified(texts, with_first.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct(), weights, least)
+    # by the representative, which has the many members; being more central (or of lesser id), it's never its member's member
+    found = _verified(texts, with_first.select("a", F.col("id").alias("b")).distinct(), weights, least)
     labels = components(found)
     named = labels.withColumnRenamed("id", "id_")
     parts = written(ranked.join(named, F.col("id") == F.col("id_"), "left").select("key", "id", "n", F.coalesce("label", "id").alias("label")), "parts")
