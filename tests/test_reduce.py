@@ -4,6 +4,7 @@ import collections
 import itertools
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,6 +129,31 @@ def test_equal_counts_without_a_row_for_each_shared_color(spark, block_tiles):
     assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("block_tiles", [7, 2048])
+def test_color_bound_without_a_row_for_each_shared_color(spark, block_tiles):
+    tiles, counts = colored_tiles(spark)
+    expected = {(i, j): 15 - s for i, a in counts.items() for j, b in counts.items() if i < j and (s := sum(min(a[c], b[c]) for c in a))}
+    found = pairs.color_bound(tiles, 15, block_tiles=block_tiles)
+    assert sorted((r.left_id, r.right_id, r.bound) for r in found.collect()) == sorted((*k, s) for k, s in expected.items())
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.schema.simpleString() == "struct<left_id:bigint,right_id:bigint,bound:bigint>"
+    assert pairs.color_bound(tiles.limit(0), 15).count() == 0
+
+
+@pytest.mark.parametrize("most_pairs,matches,frequent", [(33, 10, 1), (333, 100, 8), (1 << 18, 1 << 20, 10**9)])
+@pytest.mark.parametrize("colors", [16, 500, 100_000])
+def test_color_sums_of_common_and_rare_colors(most_pairs, matches, frequent, colors, monkeypatch):
+    """Sums beyond a byte, too, whichever colours count as frequent and however few pairs are looked at at a time."""
+    for name, value in (("PAIRS", most_pairs), ("MATCHES", matches), ("FREQUENT", frequent)):
+        monkeypatch.setattr(pairs, name, value)
+    random = np.random.default_rng(colors)
+    for match in (np.minimum, np.equal):
+        blocks = [[dict(zip(*(x.tolist() for x in np.unique(random.zipf(1.3, 400).clip(max=colors), return_counts=True)), strict=True)) for _ in range(n)] for n in (20, 23)]
+        left, right = (pairs._Colors(np.arange(len(b)), *(pa.array([list(f(t)) for t in b], pa.list_(pa.int64())) for f in (dict.keys, dict.values))) for b in blocks)
+        found = np.vstack([sums for _, sums in pairs.color_sums(left, right, match)])
+        assert found.tolist() == [[sum(int(match(a[c], b[c])) for c in a.keys() & b.keys()) for b in blocks[1]] for a in blocks[0]]
+
+
 @pytest.mark.parametrize("t", [1, 3, 6])
 def test_runs_against_loop(spark, t):
     """By equal runs, with chains of near tiles, tiles that agree in most runs but not in pixels, and shuffled ids."""
