@@ -44,29 +44,28 @@ def _distinct(tiles: DataFrame) -> tuple[DataFrame, DataFrame]:
     return same, tiles.join(same.where("tile_id = rep").select("tile_id"), "tile_id", "left_semi")
 
 
-def greedy(ids: list[int], px: list[bytes], max_diff: int, leaders: list[tuple[int, np.ndarray]]) -> list[tuple[int, int]]:
-    """(tile_id, mirror_id) of a block of tiles in order, none near an earlier leader; its own leaders are appended. The
-    first tile that no leader has absorbed is the next one, and meets all that are left at once."""
-    left, open_ = np.stack([np.frombuffer(raw, np.uint32) for raw in px]), np.arange(len(ids))
-    mirrors = list(ids)
+def greedy(ids: np.ndarray, px: np.ndarray, max_diff: int) -> tuple[np.ndarray, np.ndarray]:
+    """The mirrors of a block of tiles in order, none near an earlier leader, and the places of its own leaders. The first
+    tile that no leader has absorbed is the next one, and meets all that are left at once. Leaders are kept by their places:
+    a row of what is left would keep all of it."""
+    left, open_, heads = px, np.arange(len(ids)), []
+    mirrors = ids.copy()
     while len(open_):
-        head, one = ids[open_[0]], left[0]
-        leaders.append((head, one))
-        near = counts(one, left) <= max_diff
-        for k in open_[near]:
-            mirrors[k] = head
+        heads.append(open_[0])
+        near = counts(left[0], left) <= max_diff
+        mirrors[open_[near]] = ids[open_[0]]
         # a leader that absorbs none leaves a view of the rest, not a copy
         left, open_ = (left[1:], open_[1:]) if near.sum() == 1 else (left[~near], open_[~near])
-    return list(zip(ids, mirrors, strict=True))
+    return mirrors, np.array(heads, np.int64)
 
 
-def absorbed(tiles: DataFrame, leaders: list[tuple[int, np.ndarray]], max_diff: int) -> DataFrame:
-    """tile_id, px and mirror_id: the first of the leaders, a block that is broadcast, that a tile is near to, or null."""
-    shared = tiles.sparkSession.sparkContext.broadcast(leaders)
+def absorbed(tiles: DataFrame, ids: np.ndarray, px: np.ndarray, max_diff: int) -> DataFrame:
+    """tile_id, px and mirror_id: the first of the leaders (ids and px), a block that is broadcast, that a tile is near to, or null."""
+    shared = tiles.sparkSession.sparkContext.broadcast((ids, px))
 
     def first_leaders(left: np.ndarray) -> pa.Array:
         mirrors, open_ = np.zeros(len(left), np.int64), np.arange(len(left))
-        for number, one in shared.value:
+        for number, one in zip(*shared.value, strict=True):
             if not len(open_):
                 break
             near = counts(one, left) <= max_diff
@@ -98,14 +97,14 @@ def reduce_by_blocks(tiles: DataFrame, max_diff: int, *, block_bytes: int = BLOC
     if size is None:
         return rest.select("tile_id", F.col("tile_id").alias("mirror_id"))
     n, done = max(1, block_bytes // max(1, size)), []
-    schema = "tile_id long, mirror_id long"
-    while block := rest.orderBy("tile_id").limit(n).collect():
-        leaders: list[tuple[int, np.ndarray]] = []
-        decided = greedy([r.tile_id for r in block], [bytes(r.px) for r in block], max_diff, leaders)
-        done.append(spark.createDataFrame(decided, schema))
-        if len(block) < n:
+    # columns, not rows: a row of Python objects takes many times the bytes of a small tile
+    while (block := rest.orderBy("tile_id").limit(n).toArrow()).num_rows:
+        ids, px = block["tile_id"].to_numpy(), np.stack(as_lanes(block["px"]))
+        mirrors, heads = greedy(ids, px, max_diff)
+        done.append(written(spark.createDataFrame(pa.table({"tile_id": ids, "mirror_id": mirrors}))))
+        if len(ids) < n:
             break
-        later = absorbed(rest.where(F.col("tile_id") > block[-1].tile_id), leaders, max_diff)
+        later = absorbed(rest.where(F.col("tile_id") > int(ids[-1])), ids[heads], px[heads], max_diff)
         done.append(written(later.where("mirror_id is not null").select("tile_id", "mirror_id")))
         dropped(rest)  # pixels are kept once, not for each round
         rest = later.where("mirror_id is null").select("tile_id", "px")

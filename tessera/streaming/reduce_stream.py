@@ -18,20 +18,21 @@ class StreamReducer:
     def __init__(self, folder: str, max_diff: int, *, block_bytes: int = BLOCK_BYTES) -> None:
         self.folder, self.max_diff, self.block_bytes = folder.rstrip("/"), max_diff, block_bytes
 
-    def _leaders(self, spark: SparkSession, number: int) -> Iterator[list[tuple[int, np.ndarray]]]:
-        """The leaders of the batches before this one, in order of arrival, block_bytes of pixels at a time."""
+    def _leaders(self, spark: SparkSession, number: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids and pixels of the leaders of the batches before this one, in order of arrival, block_bytes of pixels at a time."""
         if not number:
             return
-        top, block, held = f"{self.folder}/leaders", [], 0
+        top, ids, px, held = f"{self.folder}/leaders", [], [], 0
         known = spark.read.option("basePath", top).schema("tile_id long, px binary, batch int").parquet(*[f"{top}/batch={k}" for k in range(number)])
         for row in known.orderBy("batch", "tile_id").toLocalIterator():
-            block.append((row.tile_id, np.frombuffer(bytes(row.px), np.uint32)))
+            ids.append(row.tile_id)
+            px.append(np.frombuffer(bytes(row.px), np.uint32))
             held += len(row.px)
             if held >= self.block_bytes:
-                yield block
-                block, held = [], 0
-        if block:
-            yield block
+                yield np.array(ids), np.stack(px)
+                ids, px, held = [], [], 0
+        if ids:
+            yield np.array(ids), np.stack(px)
 
     def batch(self, tiles: DataFrame, number: int) -> None:
         """Reduces a batch (tile_id, px). Leaders of earlier batches come first, in order, whatever their ids; they meet the
@@ -39,8 +40,8 @@ class StreamReducer:
         fresh = tiles.select(F.col("tile_id").cast("long").alias("tile_id"), "px")
         same, rest = _distinct(fresh)
         done = []
-        for block in self._leaders(tiles.sparkSession, number):
-            later = absorbed(rest, block, self.max_diff)
+        for ids, px in self._leaders(tiles.sparkSession, number):
+            later = absorbed(rest, ids, px, self.max_diff)
             done.append(later.where("mirror_id is not null").select("tile_id", "mirror_id"))
             rest = later.where("mirror_id is null").select("tile_id", "px")
         reduced = reduce_by_blocks(rest, self.max_diff, block_bytes=self.block_bytes)

@@ -2,6 +2,7 @@
 
 import collections
 import itertools
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -173,6 +174,22 @@ def test_runs_against_loop(spark, t):
     assert mapping(reduce.reduce_tiles(df, t, block_bytes=500)) == loop(rows, t)
 
 
+def test_leaders_dont_keep_what_they_met(spark):
+    """2,000 tiles of 1 KB, half of them leaders that absorb one each: the driver holds a few times the block, not a copy of the
+    rest for each leader (740 MB)."""
+    rows = [(i, np.array([i // 2, i % 2, *[i // 2] * 254], "u4").tobytes()) for i in range(2000)]
+    df = frame(spark, rows).repartition(4).cache()
+    df.count()
+    expected = {i: i // 2 * 2 for i, _ in rows}
+    assert mapping(reduce.reduce_tiles(df, 1)) == expected
+    tracemalloc.start()
+    result = reduce.reduce_by_blocks(df, 1)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40 << 20
+    assert mapping(result) == expected
+
+
 def test_tables_of_rounds_are_dropped(spark, tmp_path, monkeypatch):
     numbers = itertools.count()
     monkeypatch.setattr(store, "shared_folder", lambda _: f"file://{tmp_path}/tiles-{next(numbers)}")
