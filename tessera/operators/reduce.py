@@ -12,15 +12,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.pixels import as_lanes, counts, tile_diff
+from tessera.functions.pixels import LONG, as_rows, counts, tile_diff
 from tessera.operators.pairs import near_pairs
 from tessera.plans.store import dropped, written
 
-#: Bytes of tiles that the driver takes from the undecided at a time, and broadcasts at most.
-BLOCK_BYTES = 32 << 20
+#: Bytes of tiles, and tiles, that the driver takes from the undecided at a time, and broadcasts at most.
+BLOCK_BYTES, BLOCK_TILES = 32 << 20, 1 << 17
 #: Bytes of tiles that meet a leader at once.
 SLICE_BYTES = 4 << 20
 #: Runs of pixels for each difference allowed and one more: tiles whose hashes differ in more runs than the threshold are far.
@@ -44,35 +45,52 @@ def _distinct(tiles: DataFrame) -> tuple[DataFrame, DataFrame]:
     return same, tiles.join(same.where("tile_id = rep").select("tile_id"), "tile_id", "left_semi")
 
 
+class _Open:
+    """Tiles that no leader has absorbed, in order. Absorbed ones go once they're an eighth of those kept."""
+
+    def __init__(self, px: np.ndarray):
+        self.px, self.at, self.free, self.left = px, np.arange(len(px)), np.ones(len(px), bool), len(px)
+
+    def first(self) -> int:
+        """The place of the first open tile."""
+        return int(self.at[np.argmax(self.free)])
+
+    def absorbed(self, one: np.ndarray, max_diff: int) -> np.ndarray:
+        """The places of the open tiles near to one; they're open no more."""
+        near = np.flatnonzero(self.free & (counts(one, self.px) <= max_diff))
+        places = self.at[near]
+        self.free[near] = False
+        self.left -= len(near)
+        if self.left * 8 <= len(self.free) * 7:
+            self.px = self.px[self.free] if self.px.shape[1] >= LONG else self.px.T.compress(self.free, axis=1).T
+            self.at, self.free = self.at[self.free], np.ones(self.left, bool)
+        return places
+
+
 def greedy(ids: np.ndarray, px: np.ndarray, max_diff: int) -> tuple[np.ndarray, np.ndarray]:
     """The mirrors of a block of tiles in order, none near an earlier leader, and the places of its own leaders. The first
     tile that no leader has absorbed is the next one, and meets all that are left at once. Leaders are kept by their places:
     a row of what is left would keep all of it."""
-    left, open_, heads = px, np.arange(len(ids)), []
-    mirrors = ids.copy()
-    while len(open_):
-        heads.append(open_[0])
-        near = counts(left[0], left) <= max_diff
-        mirrors[open_[near]] = ids[open_[0]]
-        # a leader that absorbs none leaves a view of the rest, not a copy
-        left, open_ = (left[1:], open_[1:]) if near.sum() == 1 else (left[~near], open_[~near])
+    open_, heads, mirrors = _Open(px), [], ids.copy()
+    while open_.left:
+        heads.append(open_.first())
+        mirrors[open_.absorbed(px[heads[-1]], max_diff)] = ids[heads[-1]]
     return mirrors, np.array(heads, np.int64)
 
 
 def absorbed(tiles: DataFrame, ids: np.ndarray, px: np.ndarray, max_diff: int) -> DataFrame:
-    """tile_id, px and mirror_id: the first of the leaders (ids and px), a block that is broadcast, that a tile is near to, or null."""
+    """tile_id, px and mirror_id: the first of the leaders (ids and px), a block that is broadcast, that a tile is near to, or
+    null. Absorbed tiles have no px any more."""
     shared = tiles.sparkSession.sparkContext.broadcast((ids, px))
 
-    def first_leaders(left: np.ndarray) -> pa.Array:
-        mirrors, open_ = np.zeros(len(left), np.int64), np.arange(len(left))
+    def first_leaders(tiles: np.ndarray) -> pa.Array:
+        mirrors, missing, open_ = np.zeros(len(tiles), np.int64), np.ones(len(tiles), bool), _Open(tiles)
         for number, one in zip(*shared.value, strict=True):
-            if not len(open_):
+            if not open_.left:
                 break
-            near = counts(one, left) <= max_diff
-            if near.any():
-                mirrors[open_[near]] = number
-                left, open_ = left[~near], open_[~near]
-        return pa.array(mirrors, mask=np.isin(np.arange(len(mirrors)), open_))
+            near = open_.absorbed(one, max_diff)
+            mirrors[near], missing[near] = number, False
+        return pa.array(mirrors, mask=missing)
 
     def absorb(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,30 +99,37 @@ def absorbed(tiles: DataFrame, ids: np.ndarray, px: np.ndarray, max_diff: int) -
             step = max(1, SLICE_BYTES // max(1, len(batch.column(1)[0].as_buffer())))
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
-                found = first_leaders(np.stack(as_lanes(part.column(1))))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), found], ["tile_id", "px", "mirror_id"])
+                found = first_leaders(as_rows(part.column(1)))
+                rest = pc.if_else(pc.is_null(found), part.column(1), pa.scalar(None, part.column(1).type))
+                yield pa.RecordBatch.from_arrays([part.column(0), rest, found], ["tile_id", "px", "mirror_id"])
 
-    return written(tiles.select("tile_id", "px").mapInArrow(absorb, "tile_id long, px binary, mirror_id long"))
+    out = written(tiles.select("tile_id", "px").mapInArrow(absorb, "tile_id long, px binary, mirror_id long"))
+    shared.destroy()
+    return out
 
 
 def reduce_by_blocks(tiles: DataFrame, max_diff: int, *, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """tile_id, mirror_id of different tiles (tile_id, px). The first undecided tiles, block_bytes of them, are reduced among
-    themselves; their leaders are broadcast, absorb later undecided tiles near them, and the rest goes into the next round.
+    """tile_id, mirror_id of different tiles (tile_id, px). The first undecided tiles, block_bytes of them and BLOCK_TILES at
+    most, are reduced among themselves; their leaders are broadcast, absorb later undecided tiles near them, and the rest goes
+    into the next round.
     As leaders of earlier blocks come first, that's exact. Compares each tile with leaders alone."""
     spark = tiles.sparkSession
     rest = written(tiles.select("tile_id", "px"))
     size = rest.agg(F.max(F.length("px"))).first()[0]
     if size is None:
         return rest.select("tile_id", F.col("tile_id").alias("mirror_id"))
-    n, done = max(1, block_bytes // max(1, size)), []
-    # columns, not rows: a row of Python objects takes many times the bytes of a small tile
-    while (block := rest.orderBy("tile_id").limit(n).toArrow()).num_rows:
-        ids, px = block["tile_id"].to_numpy(), np.stack(as_lanes(block["px"]))
+    n, done = max(1, min(BLOCK_TILES, block_bytes // max(1, size))), []
+    # ids alone are sorted by the engine, so no task gets the first pixels of all others
+    while (last := rest.select("tile_id").orderBy("tile_id").limit(n).agg(F.max("tile_id")).first()[0]) is not None:
+        # columns, not rows or tiles: an object for each takes many times the bytes of a small tile
+        block = rest.where(F.col("tile_id") <= last).toArrow().sort_by("tile_id")
+        ids, px = block["tile_id"].to_numpy(), as_rows(block["px"])
+        del block
         mirrors, heads = greedy(ids, px, max_diff)
         done.append(written(spark.createDataFrame(pa.table({"tile_id": ids, "mirror_id": mirrors}))))
         if len(ids) < n:
             break
-        later = absorbed(rest.where(F.col("tile_id") > int(ids[-1])), ids[heads], px[heads], max_diff)
+        later = absorbed(rest.where(F.col("tile_id") > last), ids[heads], px[heads], max_diff)
         done.append(written(later.where("mirror_id is not null").select("tile_id", "mirror_id")))
         dropped(rest)  # pixels are kept once, not for each round
         rest = later.where("mirror_id is null").select("tile_id", "px")

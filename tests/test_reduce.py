@@ -190,6 +190,43 @@ def test_leaders_dont_keep_what_they_met(spark):
     assert mapping(result) == expected
 
 
+def test_driver_takes_a_bounded_block_of_small_tiles(spark):
+    """200,000 tiles of 16 pixels: the driver holds a few times 8 MB, not an object for each of them."""
+    ids = np.arange(200_000)
+    lanes = np.repeat((ids % 50)[:, None] * 20, 16, axis=1).astype("u4")
+    lanes[:, 0] += ids.astype("u4")
+    px = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(np.arange(0, 64 * len(ids) + 1, 64, "i4")), pa.py_buffer(lanes)])
+    df = spark.createDataFrame(pa.table({"tile_id": ids, "px": px})).repartition(4).cache()
+    df.count()
+    tracemalloc.start()
+    result = reduce.reduce_by_blocks(df, 1)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40 << 20
+    assert result.where("mirror_id <> tile_id % 50").count() == 0 and result.count() == result.distinct().count() == 200_000
+
+
+def test_blocks_of_few_tiles_against_loop(spark, monkeypatch):
+    """BLOCK_TILES bounds a block whatever its bytes; only ids are sorted by the engine."""
+    taken, greedy = [], reduce.greedy
+    monkeypatch.setattr(reduce, "BLOCK_TILES", 7)
+    monkeypatch.setattr(reduce, "greedy", lambda ids, px, t: taken.append(len(ids)) or greedy(ids, px, t))
+    random = np.random.default_rng(8)
+    rows = sorted((int(i) * 3 - 60, random.integers(0, 3, 6).astype("u4").tobytes()) for i in random.permutation(50))
+    assert mapping(reduce.reduce_by_blocks(frame(spark, rows).repartition(5), 2)) == loop(rows, 2)
+    assert len(taken) > 1 and max(taken) == 7
+
+
+def test_rows_of_columns():
+    tiles = [np.arange(k, k + 3).astype("u4").tobytes() for k in range(5)]
+    for kind in (pa.binary(), pa.large_binary()):
+        assert pixels.as_rows(pa.array(tiles, kind).slice(1, 3)).tolist() == [[1, 2, 3], [2, 3, 4], [3, 4, 5]]
+        assert pixels.as_rows(pa.chunked_array([tiles[:2], tiles[4:]], kind)).tolist() == [[0, 1, 2], [1, 2, 3], [4, 5, 6]]
+        for bad in ([tiles[0], None], [None, tiles[0]], [tiles[0], tiles[1] + bytes(4)], [tiles[0] + bytes(4), tiles[1], bytes(8)]):
+            with pytest.raises(ValueError):
+                pixels.as_rows(pa.array(bad, kind))
+
+
 def test_tables_of_rounds_are_dropped(spark, tmp_path, monkeypatch):
     numbers = itertools.count()
     monkeypatch.setattr(store, "shared_folder", lambda _: f"file://{tmp_path}/tiles-{next(numbers)}")
