@@ -6,6 +6,7 @@ import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from tessera.cli import parse, run
 from tessera.functions import pixels, png
 from tessera.operators import pairs, reduce, summary
 from tessera.params import ReduceParams
-from tessera.plans import store
+from tessera.plans import catalog, store
 from tessera.sources import files
 from tessera.streaming.reduce_stream import StreamReducer
 
@@ -233,6 +234,34 @@ def test_blocks_of_few_tiles_against_loop(spark, monkeypatch):
     assert len(taken) > 1 and max(taken) == 7
 
 
+@pytest.fixture(scope="module")
+def many_embeddings(tmp_path_factory):
+    """A folder with embeddings of 160,000 tiles of 16 kinds in turn, far apart, each tile within three pixels of its kind."""
+    n, random = 160_000, np.random.default_rng(6)
+    px = np.repeat((np.arange(n) % 16)[:, None], 16, axis=1)
+    for _ in range(3):
+        px[np.arange(n), random.integers(0, 16, n)] = random.integers(0, 16, n)
+    channels = (px[..., None] >> np.arange(4) & 1).astype("f4").reshape(n, 64)
+    folder = tmp_path_factory.mktemp("embeddings")
+    pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": pa.FixedSizeListArray.from_arrays(channels.ravel(), 64).cast(pa.list_(pa.float32()))}), folder / "embeddings.parquet")
+    return str(folder)
+
+
+def of_bounded_memory(query, spark, folder):
+    """A query's result; the driver holds a few times a block of 8 MB for it, no object for each tile and no copy for each leader."""
+    tracemalloc.start()
+    result = catalog.queries()[query](spark, folder)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40 << 20
+    return result
+
+
+def test_summary_of_many_tiles(spark, many_embeddings):
+    found = of_bounded_memory("reduce_summary", spark, many_embeddings)
+    assert list(map(tuple, found.collect())) == [(160_000, 16, 159_984, 6)]
+
+
 def test_rows_of_columns():
     tiles = [np.arange(k, k + 3).astype("u4").tobytes() for k in range(5)]
     for kind in (pa.binary(), pa.large_binary()):
