@@ -267,6 +267,11 @@ def test_pairs_of_many_tiles(spark, many_embeddings):
     assert found.count() == found.distinct().count() == 159_984 and found.where("tile_id < 16 or mirror_id <> tile_id % 16").count() == 0
 
 
+def test_counters_of_many_tiles(spark, many_embeddings):
+    found = of_bounded_memory("reduction_counters", spark, many_embeddings)
+    assert list(map(tuple, found.collect())) == [(159_984, 16)]
+
+
 def test_rows_of_columns():
     tiles = [np.arange(k, k + 3).astype("u4").tobytes() for k in range(5)]
     for kind in (pa.binary(), pa.large_binary()):
